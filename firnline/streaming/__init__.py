@@ -1,0 +1 @@
+"""Intentionally empty: every stage of the workflow reads complete tables, so there is no streaming operator."""

@@ -6,7 +6,7 @@ holes have the opposite one, so signed sums over all edges handle both.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -75,11 +75,19 @@ def boundary_distance(es: Column, px: Column, py: Column) -> Column:
     return F.sqrt(nearest_boundary_point(es, px, py)["d2"])
 
 
-def interior_point(es: Column) -> Column:
-    """The centroid if it lies inside, else the nearest point of the boundary."""
-    c = centroid(es)
-    n = nearest_boundary_point(es, c["x"], c["y"])
-    return F.when(contains(es, c["x"], c["y"]), c).otherwise(F.struct(n["x"].alias("x"), n["y"].alias("y")))
+def with_interior_point(df: DataFrame, es: str, name: str) -> DataFrame:
+    """Add the centroid if it lies inside, else the nearest point of the boundary.
+
+    The centroid becomes a column first, so the per-edge terms do not repeat it.
+    """
+    c = F.col("_centroid")
+    near = nearest_boundary_point(F.col(es), c["x"], c["y"])
+    return (
+        df.withColumn("_centroid", centroid(F.col(es)))
+        .withColumn("_inside", contains(F.col(es), c["x"], c["y"]))
+        .withColumn(name, F.when(F.col("_inside"), c).otherwise(F.struct(near["x"].alias("x"), near["y"].alias("y"))))
+        .drop("_centroid", "_inside")
+    )
 
 
 def box(es: Column, grow: float = 0.0) -> Column:

@@ -16,20 +16,15 @@ def connected_components(edges: DataFrame, vertices: DataFrame, key: list[str] |
     vertex it can see, first among its larger neighbours and then among its smaller
     ones. Minima are pre-aggregated, and the join side that carries them has one row
     per vertex, so a vertex with very many neighbours can be split by skew handling.
-    Each round is a written table, and the loop ends when a round changes nothing.
+    Each round is a written table, and the loop ends when only stars are left.
     """
     current = materialise(
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
     )
-    fingerprint = _fingerprint(current)
-    while True:
+    while not _only_stars(current):
         current = materialise(_small_star(_large_star(current)))
-        latest = _fingerprint(current)
-        if latest == fingerprint:
-            break
-        fingerprint = latest
     roots = current.select(F.col("hi").alias("v"), F.col("lo").alias("component"))
     return (
         vertices.select("v").join(roots, "v", "left")
@@ -55,6 +50,11 @@ def _small_star(e: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
-def _fingerprint(e: DataFrame):
-    # order-free checksum of an edge set: one row reaches the driver
-    return e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(hi, lo))"), F.sum(F.expr("xxhash64(lo, hi) % 1000003L"))).first()
+def _only_stars(e: DataFrame) -> bool:
+    """True once every vertex is either a root or linked to exactly one root."""
+    ends = e.select(F.explode(F.array(
+        F.struct(F.col("hi").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("lo").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+    )).alias("s")).select("s.*")
+    per_vertex = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per_vertex.where("up > 1 or (up = 1 and down = 1)").isEmpty()

@@ -27,12 +27,13 @@ def with_auxiliary_columns(inventory: DataFrame, rings: str = "rings") -> DataFr
     whoever supplies ``cenlat`` and ``cenlon``.
     """
     out = with_dense_ids(require_columns(inventory, ["entry_id", rings]))
-    es = geometry.edges(F.col(rings))
+    out = out.withColumn("_edges", geometry.edges(F.col(rings)))
     if "area_km2" not in out.columns:
-        out = out.withColumn("area_km2", geometry.area(es) / 1e6)
+        out = out.withColumn("area_km2", geometry.area(F.col("_edges")) / 1e6)
     if "cenlat" not in out.columns or "cenlon" not in out.columns:
-        p = geometry.interior_point(es)
-        out = out.withColumns({"cenlat": p["y"], "cenlon": p["x"]})
+        out = geometry.with_interior_point(out, "_edges", "_p")
+        out = out.withColumns({"cenlat": F.col("_p.y"), "cenlon": F.col("_p.x")}).drop("_p")
+    out = out.drop("_edges")
     if "utm_zone" not in out.columns or "utm_epsg" not in out.columns:
         out = out.withColumn("utm_epsg", geometry.utm_code(F.col("cenlat"), F.col("cenlon")))
         out = out.withColumn("utm_zone", geometry.utm_zone(F.col("utm_epsg")))

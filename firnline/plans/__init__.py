@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["image_queries", "inventory_queries", "pixel_queries"]
+MODULES = ["image_queries", "inventory_queries", "pixel_queries", "spatial_queries"]
 
 
 def registry():

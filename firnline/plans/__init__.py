@@ -2,7 +2,10 @@
 
 import importlib
 
-MODULES = ["image_queries", "inventory_queries", "pixel_queries", "spatial_queries"]
+MODULES = [
+    "image_queries", "inventory_queries", "pixel_queries", "spatial_queries", "evaluation_queries",
+    "calibration_queries", "change_queries", "io_queries",
+]
 
 
 def registry():

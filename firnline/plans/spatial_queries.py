@@ -40,19 +40,19 @@ def average_coords(spark, sf):
 
 
 def _ell(cx, cy, h):
-    """An L-shaped ring whose centroid lies outside the body when the arms are thin."""
+    """An L-shaped ring (arms 1 and 2 wide, 10 long) whose centroid lies outside the body."""
     def p(dx, dy):
         return F.struct((cx + dx * h).alias("x"), (cy + dy * h).alias("y"))
 
-    return F.array(F.array(p(0, 0), p(10, 0), p(10, 1), p(1, 1), p(1, 10), p(0, 10)))
+    return F.array(F.array(p(0, 0), p(10, 0), p(10, 1), p(2, 1), p(2, 10), p(0, 10)))
 
 
 @query("x20_interior_points", "X20", "poly", """
 with a as (select entry_id, cx, cy, half as h from poly)
 select entry_id, 'square' as shape, cx as x, cy as y from a
-union all select entry_id, 'ell', round(cx + h, 6), round(cy + h * 54.5 / 19, 6) from a""")
+union all select entry_id, 'ell', round(cx + 2 * h, 6), round(cy + h * cast(104 as double) / 28, 6) from a""")
 def interior_points(spark, sf):
-    """Square: the centroid. Thin L: centroid (54.5/19, 54.5/19)h is outside, both arms are equally far, the lower point wins."""
+    """Square: the centroid. L: the centroid (68/28, 104/28)h is outside, and the upright arm is nearer."""
     p = fx.poly(spark, sf)
     shapes = p.select("entry_id", F.lit("square").alias("shape"), "rings").unionByName(
         p.select("entry_id", F.lit("ell").alias("shape"), _ell(F.col("cx"), F.col("cy"), F.col("half")).alias("rings")))

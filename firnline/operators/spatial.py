@@ -1,7 +1,7 @@
 """Joins between outlines, points and cells.
 
-Every join first meets on a square tile, so Spark plans an equi-join; the exact
-predicate is a filter on the pairs that share a tile.
+Every join first meets on a square tile of a grid with several levels, so Spark plans
+an equi-join; the exact predicate is a filter on the pairs that share a tile.
 """
 
 from __future__ import annotations
@@ -17,70 +17,106 @@ from firnline.operators.components import connected_components
 from firnline.session import materialise
 
 
-def _tiles(low: Column, high: Column, side: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / side), F.floor(high / side)))
-
-
 def with_edges(outlines: DataFrame, rings: str = "rings", grow: float = 0.0) -> DataFrame:
     """Add the edge array and the (grown) box of every outline."""
     out = outlines.withColumn("edges", geometry.edges(F.col(rings)))
     return out.withColumn("box", geometry.box(F.col("edges"), grow))
 
 
-def spread_over_tiles(outlines: DataFrame, side: float) -> DataFrame:
-    """One row per tile that the box of an outline touches."""
+def _with_level(df: DataFrame) -> DataFrame:
+    """Grid level whose tile side, a power of two, is the first to reach the size of the box."""
     b = F.col("box")
-    return outlines.withColumn("_ty", _tiles(b["miny"], b["maxy"], side)).withColumn(
-        "_tx", _tiles(b["minx"], b["maxx"], side)
-    )
+    size = F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"], F.lit(1e-6))
+    return df.withColumn("_level", F.ceil(F.log2(size)).cast("int"))
 
 
-def points_in_outlines(points: DataFrame, outlines: DataFrame, side: float, attributes: list[str]) -> DataFrame:
-    """Left join of points ``px, py`` to the outline that contains them.
+def _levels(df: DataFrame) -> list[int]:
+    # exponents of box sizes: a few dozen values at most
+    return sorted(r[0] for r in df.select("_level").distinct().collect())
 
-    A point lies in one tile only, so it meets an outline at most once.
-    """
-    keyed = points.withColumns({"_ty": F.floor(F.col("py") / side), "_tx": F.floor(F.col("px") / side)})
-    areas = spread_over_tiles(with_edges(outlines), side).select("_ty", "_tx", "edges", *attributes)
-    inside = (
-        (keyed["_ty"] == areas["_ty"]) & (keyed["_tx"] == areas["_tx"])
-        & geometry.contains(areas["edges"], keyed["px"], keyed["py"])
+
+def _on_tiles(df: DataFrame) -> DataFrame:
+    """One row per tile of its level that a box touches: four at most on its own level."""
+    side, b = F.pow(F.lit(2.0), F.col("_level")), F.col("box")
+
+    def span(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(b[low] / side), F.floor(b[high] / side)))
+
+    return df.withColumn("_ty", span("miny", "maxy")).withColumn("_tx", span("minx", "maxx"))
+
+
+def _probing(df: DataFrame, levels: list[int], above_only: bool) -> DataFrame:
+    """Repeat every box on the levels at or above its own, where it touches four tiles at most."""
+    wanted = F.filter(
+        F.array(*[F.lit(v) for v in levels]),
+        lambda v: v > F.col("_own") if above_only else v >= F.col("_own"),
     )
-    return keyed.join(areas, inside, "left").select(*points.columns, *attributes)
+    return _on_tiles(df.withColumnRenamed("_level", "_own").withColumn("_level", F.explode(wanted)))
 
 
-def _first_common_tile(a: Column, b: Column, side: float) -> Column:
+_TILE = ["_level", "_ty", "_tx"]
+
+
+def _first_common_tile(a: Column, b: Column) -> Column:
     """True in exactly one of the tiles that two meeting boxes share."""
+    side = F.pow(F.lit(2.0), F.col("_level"))
     y = F.floor(F.greatest(a["miny"], b["miny"]) / side)
     x = F.floor(F.greatest(a["minx"], b["minx"]) / side)
     return (F.col("_ty") == y) & (F.col("_tx") == x)
 
 
-def close_pairs(outlines: DataFrame, distance: float, side: float, key: str = "entry_id") -> DataFrame:
-    """Pairs ``a < b`` of outlines within ``distance`` of each other, each once."""
-    grown = with_edges(outlines.select(key, "rings"), grow=distance)
-    left = spread_over_tiles(grown, side).select(F.col(key).alias("a"), F.col("edges").alias("ea"), F.col("box").alias("ba"), "_ty", "_tx")
-    exact = spread_over_tiles(with_edges(outlines.select(key, "rings")), side)
-    right = exact.select(F.col(key).alias("b"), F.col("edges").alias("eb"), F.col("box").alias("bb"), "_ty", "_tx")
-    return (
-        left.join(right, ["_ty", "_tx"])
-        .where((F.col("a") < F.col("b")) & geometry.boxes_meet(F.col("ba"), F.col("bb")))
-        .where(_first_common_tile(F.col("ba"), F.col("bb"), side))
-        .where(geometry.within_distance(F.col("ea"), F.col("eb"), distance))
-        .select("a", "b")
+def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of rows whose boxes ``ba`` and ``bb`` meet, each once.
+
+    The smaller box of a pair looks the larger one up on the level of the larger one.
+    Tiles are as large as the boxes they hold, so a tile brings together little more
+    than the pairs that really meet, wherever outlines crowd and whatever their sizes.
+    """
+    left, right = _with_level(left), _with_level(right)
+
+    def pairs(probe: DataFrame, held: DataFrame, above_only: bool) -> DataFrame:
+        p, h = _probing(probe, _levels(held), above_only), _on_tiles(held)
+        p = p.withColumnRenamed("box", "ba" if probe is left else "bb").drop("_own")
+        h = h.withColumnRenamed("box", "ba" if held is left else "bb")
+        return p.join(h, _TILE).where(geometry.boxes_meet(F.col("ba"), F.col("bb"))).where(
+            _first_common_tile(F.col("ba"), F.col("bb"))
+        ).drop(*_TILE)
+
+    return pairs(left, right, False).unionByName(pairs(right, left, True))
+
+
+def points_in_outlines(points: DataFrame, outlines: DataFrame, attributes: list[str], key: str = "entry_id") -> DataFrame:
+    """Left join of points ``px, py`` with a unique ``key`` to the outlines that contain them.
+
+    A point looks outlines up in its one tile of every level in use, so it meets an
+    outline at most once.
+    """
+    areas = _with_level(with_edges(outlines))
+    levels = F.array(*[F.lit(v) for v in _levels(areas)])
+    side = F.pow(F.lit(2.0), F.col("_level"))
+    keyed = (
+        points.select(key, "px", "py").withColumn("_level", F.explode(levels))
+        .withColumns({"_ty": F.floor(F.col("py") / side), "_tx": F.floor(F.col("px") / side)})
     )
+    held = _on_tiles(areas).select(*_TILE, "edges", *attributes)
+    hits = keyed.join(held, _TILE).where(geometry.contains(F.col("edges"), F.col("px"), F.col("py")))
+    return points.join(hits.select(key, *attributes), key, "left")
+
+
+def close_pairs(outlines: DataFrame, distance: float, key: str = "entry_id") -> DataFrame:
+    """Pairs ``a < b`` of outlines within ``distance`` of each other, each once."""
+    half = distance / 2
+    boxed = with_edges(outlines.select(key, "rings"), grow=half)
+    left = boxed.select(F.col(key).alias("a"), F.col("edges").alias("ea"), "box")
+    right = boxed.select(F.col(key).alias("b"), F.col("edges").alias("eb"), "box")
+    # both boxes grow by half the distance, so boxes of close outlines meet
+    near = _meeting(left, right).where(F.col("a") < F.col("b"))
+    return near.where(geometry.within_distance(F.col("ea"), F.col("eb"), distance)).select("a", "b")
 
 
-def box_pairs(left: DataFrame, right: DataFrame, side: float, left_key: str, right_key: str) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Pairs of rows whose ``box`` columns meet, each once."""
-    lt = spread_over_tiles(left.select(left_key, "box"), side).withColumnRenamed("box", "ba")
-    rt = spread_over_tiles(right.select(right_key, "box"), side).withColumnRenamed("box", "bb")
-    return (
-        lt.join(rt, ["_ty", "_tx"])
-        .where(geometry.boxes_meet(F.col("ba"), F.col("bb")))
-        .where(_first_common_tile(F.col("ba"), F.col("bb"), side))
-        .select(left_key, right_key)
-    )
+    return _meeting(left.select(left_key, "box"), right.select(right_key, "box")).select(left_key, right_key)
 
 
 def require_hits(left: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -175,16 +211,16 @@ def outline_mask(cells: DataFrame, covered: DataFrame, name: str = "mask_glacier
     return cells.join(hit, [key, "y", "x"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def outline_components(outlines: DataFrame, distance: float, side: float, key: str = "entry_id") -> DataFrame:
+def outline_components(outlines: DataFrame, distance: float, key: str = "entry_id") -> DataFrame:
     """Component of every outline in the graph of outlines within ``2 * distance + 1``."""
-    pairs = close_pairs(outlines, 2 * distance + 1, side, key)
+    pairs = close_pairs(outlines, 2 * distance + 1, key)
     labels = connected_components(pairs, outlines.select(F.col(key).alias("v")))
     return labels.withColumnRenamed("v", key)
 
 
-def buffers_by_component(outlines: DataFrame, reaches: list[int], gsd: float, side: float, key: str = "entry_id") -> DataFrame:
+def buffers_by_component(outlines: DataFrame, reaches: list[int], gsd: float, key: str = "entry_id") -> DataFrame:
     """Non-overlapping buffers of several sizes; outlines compete within their component only."""
-    parts = outline_components(outlines, max(reaches) * gsd, side, key)
+    parts = outline_components(outlines, max(reaches) * gsd, key)
     cells = rasterise(outlines.join(parts, key), gsd, key, ["component"]).withColumnRenamed(key, "id")
     cells = materialise(cells)
     grown = [

@@ -79,12 +79,13 @@ def best_regional(sweep: DataFrame, areas: DataFrame, group: list[str] | None =
     means = per.groupBy(*group, "thr_1", "thr_2").agg(
         F.avg("iou").alias("iou"), F.sum(F.col("iou") * F.col("area")).alias("_wi"), F.count("iou").alias("_k")
     )
-    # the scale table has one row per fold, or a single row
-    joined = means.join(F.broadcast(scale), group) if group else means.withColumns(
+    joined = means.join(scale, group) if group else means.withColumns(
         dict(zip(("_scale", "_m"), [F.lit(v) for v in scale.first()]))
     )
     weighted = joined.withColumn("w_iou", F.try_divide(F.col("_wi") * F.col("_scale"), F.col("_k")))
-    top = F.max_by(F.struct("thr_1", "thr_2", "iou", "w_iou"), F.struct("w_iou", -F.col("thr_1"), -F.col("thr_2")))
+    # equal thresholds must not be told apart by the order in which doubles were added
+    goal = F.struct(F.round("w_iou", 12).alias("g"), -F.col("thr_1"), -F.col("thr_2"))
+    top = F.max_by(F.struct("thr_1", "thr_2", "iou", "w_iou"), goal)
     return weighted.groupBy(*group).agg(top.alias("_b")).select(*group, "_b.*")
 
 

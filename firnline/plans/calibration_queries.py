@@ -57,7 +57,7 @@ REGIONAL_SQL = SWEEP_SQL + """
 w as (select u.*, fold, area / sum(area) over (partition by {part} thr_1, thr_2) * count(*) over (partition by {part} thr_1, thr_2) as w from u join a using (entry_id)),
 m as (select {fold} thr_1, thr_2, avg(iou) as iou, avg(iou * w) as w_iou from w group by all)
 select {fold} round(thr_1, 6) as thr_1, round(thr_2, 6) as thr_2, round(iou, 6) as iou, round(w_iou, 6) as w_iou from
-  (select *, row_number() over ({over} order by w_iou desc, thr_1, thr_2) as rn from m) t where rn = 1
+  (select *, row_number() over ({over} order by round(w_iou, 12) desc, thr_1, thr_2) as rn from m) t where rn = 1
 """
 
 
@@ -160,11 +160,11 @@ def deviation_from_bounds(spark, sf):
 
 
 @query("a18_deviation_over_seeds", "A18", "inv", STATS_SQL + """
-select entry_id, is_inv_year, round(arg_min(area_nok, seed), 4) as area_nok, round(avg(area_pred), 4) as area_pred, round(stddev_samp(area_pred), 4) as area_pred_std,
-  round(avg(recall), 6) as recall, round(stddev_samp(recall), 6) as recall_std from al group by entry_id, is_inv_year""")
+select entry_id, is_inv_year, round(arg_min(area_nok, seed), 7) as area_nok, round(avg(area_pred), 7) as area_pred, round(stddev_samp(area_pred), 7) as area_pred_std,
+  round(avg(recall), 7) as recall, round(stddev_samp(recall), 7) as recall_std from al group by entry_id, is_inv_year""")
 def deviation_over_seeds(spark, sf):
     s = ensemble.deviation_over_seeds(stats_table(spark, sf), ["area_pred", "recall"])
-    return rounded(s.select("entry_id", "is_inv_year", "area_nok", "area_pred", "area_pred_std", "recall", "recall_std"), 4, recall=6, recall_std=6)
+    return rounded(s.select("entry_id", "is_inv_year", "area_nok", "area_pred", "area_pred_std", "recall", "recall_std"), 7)
 
 
 # --- calibration -------------------------------------------------------------------------------

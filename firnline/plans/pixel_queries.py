@@ -64,17 +64,17 @@ def band_ratio_class(spark, sf):
 
 
 @query("x4_indices", "X4", "px", """
-with z as (select *, case when y % 7 = 0 then 0.0 else g end as g0, case when y % 7 = 0 then 0.0 else swir end as s0 from px)
-select entry_id, y, x, round((g0 - s0) / (case when g0 + s0 = 0 then 1 else g0 + s0 end), 6) as ndsi,
- round((b - r) / (case when b + r = 0 then 1 else b + r end), 6) as ndvi,
- round((g0 - b) / (case when g0 + b = 0 then 1 else g0 + b end), 6) as ndwi from z""")
+with z as (select *, case when y % 7 = 0 then cast(0 as double) else g end as g0, case when y % 7 = 0 then cast(0 as double) else swir end as s0 from px)
+select entry_id, y, x, (g0 - s0) / (case when g0 + s0 = 0 then 1 else g0 + s0 end) as ndsi,
+ (b - r) / (case when b + r = 0 then 1 else b + r end) as ndvi,
+ (g0 - b) / (case when g0 + b = 0 then 1 else g0 + b end) as ndwi from z""")
 def indices(spark, sf):
     zero = F.col("y") % 7 == 0
     g = F.when(zero, F.lit(0.0)).otherwise(F.col("g"))
     s = F.when(zero, F.lit(0.0)).otherwise(F.col("swir"))
-    return rounded(fx.px(spark, sf).select(
+    return fx.px(spark, sf).select(
         *CELL, spectral.ndsi(g, s).alias("ndsi"), spectral.ndvi(F.col("b"), F.col("r")).alias("ndvi"),
-        spectral.ndwi(g, F.col("b")).alias("ndwi")))
+        spectral.ndwi(g, F.col("b")).alias("ndwi"))
 
 
 @query("x5_terrain_inputs", "X5", "px", """

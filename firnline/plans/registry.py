@@ -34,11 +34,16 @@ def query(name: str, covers: str, views: str = "", sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6, **others: int) -> DataFrame:
-    """Round every double column, as the SQL side does."""
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0, **others: int) -> DataFrame:
+    """Round every double column, as the SQL side does.
+
+    Means of amounts in cents often end in a 5 right behind the last digit kept; both
+    sides then add the same ``nudge``, so that the order of a sum cannot flip the result.
+    """
     def one(field) -> Column:
         if field.dataType.typeName() != "double":
             return F.col(field.name)
-        return F.round(F.col(field.name), others.get(field.name, digits)).alias(field.name)
+        value = F.col(field.name) + F.lit(nudge) if nudge else F.col(field.name)
+        return F.round(value, others.get(field.name, digits)).alias(field.name)
 
     return df.select(*[one(f) for f in df.schema.fields])

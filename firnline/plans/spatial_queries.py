@@ -92,7 +92,7 @@ with z as (select n_name as country, (n_nationkey % 5) * 700 + 100 as zx, floor(
 select entry_id, country from poly left join z on cx >= zx - 310 and cx < zx + 310 and cy >= zy - 310 and cy < zy + 310""")
 def country_of_points(spark, sf):
     points = fx.poly(spark, sf).select("entry_id", F.col("cx").alias("px"), F.col("cy").alias("py"))
-    return spatial.points_in_outlines(points, _zones(spark, sf), 700.0, ["country"]).select("entry_id", "country")
+    return spatial.points_in_outlines(points, _zones(spark, sf), ["country"]).select("entry_id", "country")
 
 
 PAIRS_SQL = """
@@ -103,12 +103,12 @@ where pow(greatest(abs(a.cx - b.cx) - a.half - b.half, 0), 2) + pow(greatest(abs
 
 @query("j9_overlapping_pairs", "J9", "poly", PAIRS_SQL.format(d2=0))
 def overlapping_pairs(spark, sf):
-    return spatial.close_pairs(fx.poly(spark, sf), 0.0, 400.0)
+    return spatial.close_pairs(fx.poly(spark, sf), 0.0)
 
 
 @query("j9_pairs_within_distance", "J9", "poly", PAIRS_SQL.format(d2="41 * 41"))
 def pairs_within_distance(spark, sf):
-    return spatial.close_pairs(fx.poly(spark, sf), 41.0, 400.0)
+    return spatial.close_pairs(fx.poly(spark, sf), 41.0)
 
 
 @query("j10_box_intersections", "J10", "poly", """
@@ -119,7 +119,7 @@ def box_intersections(spark, sf):
     tiles = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("tile"), F.struct(
         tx.alias("minx"), ty.alias("miny"), (tx + 250).alias("maxx"), (ty + 250).alias("maxy")).alias("box"))
     left = spatial.with_edges(fx.poly(spark, sf), grow=100)
-    return spatial.require_hits(left, spatial.box_pairs(left, tiles, 500.0, "entry_id", "tile"), "entry_id")
+    return spatial.require_hits(left, spatial.box_pairs(left, tiles, "entry_id", "tile"), "entry_id")
 
 
 @query("j14_nearest_centroids", "J14", "poly", """
@@ -138,9 +138,9 @@ def nearest_centroids(spark, sf):
 
 GSD = 20.0
 COVER_SQL = """
-with recursive axis as materialized (select unnest(range(-12, 160)) as i),
-covered as materialized (select entry_id, ay.i as y, ax.i as x from poly, axis ax, axis ay
-  where (ax.i + 0.5) * 20 >= cx - half and (ax.i + 0.5) * 20 < cx + half and (ay.i + 0.5) * 20 >= cy - half and (ay.i + 0.5) * 20 < cy + half)
+with recursive covered as materialized (select entry_id, yy as y, xx as x from poly,
+  unnest(range(cast(ceil((cy - half) / 20 - 0.5) as bigint), cast(ceil((cy + half) / 20 - 0.5) as bigint))) as a(yy),
+  unnest(range(cast(ceil((cx - half) / 20 - 0.5) as bigint), cast(ceil((cx + half) / 20 - 0.5) as bigint))) as b(xx))
 """
 
 
@@ -150,17 +150,19 @@ def rasterised(spark, sf):
 
 
 @query("j18_id_raster", "J18", "poly", COVER_SQL + """
-, cells as (select ay.i as y, ax.i as x from axis ax, axis ay where ax.i between 0 and 99 and ay.i between 0 and 99)
+, n as (select min(y) y0, max(y) y1, min(x) x0, max(x) x1 from covered),
+cells as (select yy as y, xx as x from n, unnest(range(y0, y1 + 1)) as a(yy), unnest(range(x0, x1 + 1)) as b(xx))
 select cells.y, cells.x, coalesce(max(entry_id), -1) as entry_id from cells left join covered on cells.y = covered.y and cells.x = covered.x group by cells.y, cells.x""")
 def id_raster(spark, sf):
-    cells = spark.range(100).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint"))).alias("x"))
     covered = spatial.rasterise(fx.poly(spark, sf), GSD)
-    return spatial.id_raster(cells, covered, "entry_id", "entry_id")
+    one = covered.select(F.lit("all").alias("raster"), "y", "x")
+    grid = inventory.crop(one.distinct(), inventory.cell_extents(one, key="raster"), pad=True, key="raster")
+    return spatial.id_raster(grid.select("y", "x"), covered, "entry_id", "entry_id")
 
 
 @query("j19_buffered_outline_masks", "J19", "poly", COVER_SQL + """
 , n as (select entry_id, min(y) - 3 y0, max(y) + 3 y1, min(x) - 3 x0, max(x) + 3 x1 from covered group by entry_id),
-cells as (select entry_id, ay.i as y, ax.i as x from n, axis ax, axis ay where ay.i between y0 and y1 and ax.i between x0 and x1)
+cells as (select entry_id, yy as y, xx as x from n, unnest(range(y0, y1 + 1)) as a(yy), unnest(range(x0, x1 + 1)) as b(xx))
 select c.entry_id, c.y, c.x, bool_or(coalesce(pow(c.y - k.y, 2) + pow(c.x - k.x, 2) <= 0, false)) as mask_glacier,
   bool_or(coalesce(pow(c.y - k.y, 2) + pow(c.x - k.x, 2) <= 4, false)) as mask_glacier_b2
 from cells c left join covered k on c.entry_id = k.entry_id and abs(c.y - k.y) <= 2 and abs(c.x - k.x) <= 2 group by c.entry_id, c.y, c.x""")
@@ -179,18 +181,17 @@ with recursive e as materialized (select a, b from (""" + PAIRS_SQL.format(d2="4
 reach(v, r) as (select entry_id, entry_id from poly union select reach.v, e.b from reach join e on reach.r = e.a)
 select v as entry_id, min(r) as component from reach group by v""")
 def outline_components(spark, sf):
-    return spatial.outline_components(fx.poly(spark, sf), 20.0, 400.0)
+    return spatial.outline_components(fx.poly(spark, sf), 20.0)
 
 
 @query("w17_buffers_by_component", "W17 W13", "poly", COVER_SQL + """
-, g as (select ay.i as y, ax.i as x from axis ax, axis ay),
+, g as (select distinct y + dy as y, x + dx as x from covered, unnest(range(-3, 4)) as a(dy), unnest(range(-3, 4)) as b(dx)),
 d as (select g.y, g.x, k.entry_id, min(pow(g.y - k.y, 2) + pow(g.x - k.x, 2)) as d2 from g join covered k on abs(g.y - k.y) <= 3 and abs(g.x - k.x) <= 3 group by g.y, g.x, k.entry_id),
-near as (select y, x, entry_id, d2, row_number() over (partition by y, x order by d2, entry_id) as rn from d),
-own as (select y, x from covered)
+near as (select y, x, entry_id, d2, row_number() over (partition by y, x order by d2, entry_id) as rn from d)
 select r.reach, entry_id, y, x from near, (values (1), (3)) r(reach) where rn = 1 and d2 > 0 and d2 <= r.reach * r.reach
 union all select r.reach, entry_id, y, x from covered, (values (1), (3)) r(reach)""")
 def buffers_by_component(spark, sf):
-    out = spatial.buffers_by_component(fx.poly(spark, sf), [1, 3], GSD, 400.0)
+    out = spatial.buffers_by_component(fx.poly(spark, sf), [1, 3], GSD)
     return out.select("reach", "entry_id", "y", "x")
 
 

@@ -21,10 +21,15 @@ def clip(value: Column, low, high) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value, low), high))
 
 
+def logit(p: Column) -> Column:
+    """Log-odds of a probability clipped away from 0 and 1."""
+    q = clip(p, TEMPERATURE_CLIP, 1.0 - TEMPERATURE_CLIP)
+    return F.log(q / (F.lit(1.0) - q))
+
+
 def temperature_scale(p: Column, t) -> Column:
     """Sigmoid of the logit divided by ``t``."""
-    q = clip(p, TEMPERATURE_CLIP, 1.0 - TEMPERATURE_CLIP)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.log(q / (F.lit(1.0) - q)) / t)))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(logit(p) / t)))
 
 
 def confidence(p: Column) -> Column:
@@ -37,9 +42,9 @@ def half_entropy(p: Column) -> Column:
     return -(q * F.log(q) + (F.lit(1.0) - q) * F.log(F.lit(1.0) - q)) / 2
 
 
-def log_loss(p: Column, y: Column) -> Column:
-    """Negative log-likelihood of a 0/1 label, for ``p`` strictly inside (0, 1)."""
-    return F.when(y == 1, -F.log(p)).otherwise(-F.log(F.lit(1.0) - p))
+def logit_loss(z: Column, y: Column) -> Column:
+    """Negative log-likelihood of a 0/1 label whose log-odds are ``z``."""
+    return F.log1p(F.exp(F.when(y == 1, -z).otherwise(z)))
 
 
 def binary_cross_entropy(p: Column, y: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions import probability as pr
 from firnline.operators.inventory import with_parameters
+from firnline.session import materialise
 
 # Search limits of the temperature and number of reliability bins.
 TEMPERATURE_LIMITS = (0.5, 5.0)
@@ -49,8 +50,8 @@ def temperature_losses(samples: DataFrame, keys: list[str], p: Column, y: Column
     ``temperatures`` is a short array, the same or one per row; losses are combined
     before the shuffle, so only one row per key and temperature leaves a task.
     """
-    spread = samples.select(*keys, p.alias("_p"), y.alias("_y"), F.explode(temperatures).alias("t"))
-    loss = pr.log_loss(pr.temperature_scale(F.col("_p"), F.col("t")), F.col("_y"))
+    spread = samples.select(*keys, pr.logit(p).alias("_logit"), y.alias("_y"), F.explode(temperatures).alias("t"))
+    loss = pr.logit_loss(F.col("_logit") / F.col("t"), F.col("_y"))
     return spread.groupBy(*keys, "t").agg(F.avg(loss).alias("nll"))
 
 
@@ -62,6 +63,7 @@ def best_temperature(
     The loss is convex in ``1 / t``, so a grid over the limits brackets the minimum and
     each further pass searches the two neighbouring intervals on a grid of the same size.
     """
+    samples = materialise(samples.select(key, p, y))  # read once per pass
     low, high = (float(x) for x in limits)
     bracket = samples.select(key).distinct().select(key, F.lit(low).alias("_a"), F.lit(high).alias("_z"))
     while True:

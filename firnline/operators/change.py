@@ -69,9 +69,9 @@ def change_rates(t0: DataFrame, t1: DataFrame, check: bool = True) -> DataFrame:
     b = t1.select("entry_id", F.col("area_pred").alias("area_t1"), F.col("area_pred_std").alias("area_t1_std"),
                   F.col("year").alias("year_t1"))
     if check:
-        unmatched = a.select("entry_id").join(b.select("entry_id"), "entry_id", "full").select("entry_id")
-        sizes = [df.agg(F.count(F.lit(1))).first()[0] for df in (a, b, unmatched)]
-        if len(set(sizes)) != 1:
+        seen = a.select("entry_id", F.lit(1).alias("e")).unionByName(b.select("entry_id", F.lit(2).alias("e")))
+        per = seen.groupBy("entry_id").agg(F.sum("e").alias("s"), F.count(F.lit(1)).alias("n"))
+        if not per.where("s <> 3 or n <> 2").isEmpty():
             raise ValueError("the two epochs hold different entries")
     return with_rates(a.join(b, "entry_id"))
 

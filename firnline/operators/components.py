@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame, key: list[str] |
     vertex it can see, first among its larger neighbours and then among its smaller
     ones. Minima are pre-aggregated, and the join side that carries them has one row
     per vertex, so a vertex with very many neighbours can be split by skew handling.
-    Each round is a written table, and the loop ends when only stars are left.
+    Both halves of a round are written tables, as each is read twice; the loop ends when
+    only stars are left.
     """
     current = materialise(
         edges.where(F.col("a") != F.col("b"))
@@ -24,7 +25,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame, key: list[str] |
         .distinct()
     )
     while not _only_stars(current):
-        current = materialise(_small_star(_large_star(current)))
+        current = materialise(_small_star(materialise(_large_star(current))))
     roots = current.select(F.col("hi").alias("v"), F.col("lo").alias("component"))
     return (
         vertices.select("v").join(roots, "v", "left")
@@ -46,8 +47,10 @@ def _large_star(e: DataFrame) -> DataFrame:
 
 def _small_star(e: DataFrame) -> DataFrame:
     least = e.groupBy("hi").agg(F.min("lo").alias("m"))
-    linked = e.join(least, "hi").where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return linked.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
+    links = F.array(
+        F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    )
+    return e.join(least, "hi").select(F.inline(links)).where(F.col("hi") != F.col("lo")).distinct()
 
 
 def _only_stars(e: DataFrame) -> bool:

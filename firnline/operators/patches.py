@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,7 +96,9 @@ def cut(cells: DataFrame, patches: DataFrame, radius: int, whole_only: bool = Tr
 
     Patches and cells meet in square blocks as wide as a patch, so a patch touches at
     most four blocks and a large entry is spread over all of its blocks. With
-    ``whole_only`` a patch that the raster does not cover completely is left out.
+    ``whole_only`` a patch that the raster does not cover completely is left out; its
+    cells are counted in a window of one patch, whose partitioning a later grouping by
+    patch can reuse.
     """
     side = 2 * radius
     by = F.sequence(F.floor(F.col("miny") / side), F.floor((F.col("maxy") - 1) / side))
@@ -110,9 +112,8 @@ def cut(cells: DataFrame, patches: DataFrame, radius: int, whole_only: bool = Tr
     hits = keyed.join(placed, ["entry_id", "_by", "_bx"]).where(inside).drop("_by", "_bx")
     if not whole_only:
         return hits
-    key = ["entry_id", "y_center", "x_center"]
-    whole = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == side * side).select(*key)
-    return hits.join(whole, key, "left_semi")
+    w = Window.partitionBy("entry_id", "y_center", "x_center")
+    return hits.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") == side * side).drop("_n")
 
 
 def subsample(

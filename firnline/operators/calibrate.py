@@ -56,7 +56,7 @@ def temperature_losses(samples: DataFrame, keys: list[str], p: Column, y: Column
 
 
 def best_temperature(
-    samples: DataFrame, key: str, p: str, y: str, limits: tuple[float, float] = TEMPERATURE_LIMITS, points: int = 19, tolerance: float = 1e-4
+    samples: DataFrame, key: str, p: str, y: str, limits: tuple[float, float] = TEMPERATURE_LIMITS, points: int = 31, tolerance: float = 1e-4
 ) -> DataFrame:
     """Temperature with the least log-loss per member.
 
@@ -66,26 +66,22 @@ def best_temperature(
     samples = materialise(samples.select(key, p, y))  # read once per pass
     low, high = (float(x) for x in limits)
     bracket = samples.select(key).distinct().select(key, F.lit(low).alias("_a"), F.lit(high).alias("_z"))
+    width = (high - low) / (points - 1)
     while True:
-        width = (high - low) / (points - 1)
         grid = F.transform(
             F.sequence(F.lit(0), F.lit(points - 1)),
             lambda i: F.col("_a") + i * (F.col("_z") - F.col("_a")) / (points - 1),
         )
-        losses = temperature_losses(with_parameters(samples, bracket, [key]), [key], F.col(p), F.col(y), grid)
-        best = losses.groupBy(key).agg(F.min(F.struct("nll", "t")).alias("_b")).select(
+        losses = temperature_losses(samples.join(bracket, key), [key], F.col(p), F.col(y), grid)
+        best = materialise(losses.groupBy(key).agg(F.min(F.struct("nll", "t")).alias("_b")).select(
             key, F.col("_b.t").alias("best_t"), F.col("_b.nll").alias("nll")
-        )
+        ))
         if width <= tolerance:
             return best
-        # one row per member: bounded by the size of the ensemble
-        members = best.limit(10_001).collect()
-        if len(members) > 10_000:
-            raise ValueError("too many members for a temperature search")
-        rows = [(r[key], max(limits[0], r["best_t"] - width), min(limits[1], r["best_t"] + width)) for r in members]
-        schema = f"{key} {samples.schema[key].dataType.simpleString()}, _a double, _z double"
-        bracket = samples.sparkSession.createDataFrame(rows, schema)
-        low, high = 0.0, 2 * width
+        bracket = best.select(
+            key, F.greatest(F.col("best_t") - width, F.lit(low)).alias("_a"), F.least(F.col("best_t") + width, F.lit(high)).alias("_z")
+        )
+        width = 2 * width / (points - 1)
 
 
 def scale_members(members: DataFrame, temperatures: DataFrame, seed: str = "seed", p: str = "p") -> DataFrame:

@@ -105,8 +105,11 @@ def equal_area_distance(
     histogram of arrivals and departures and its running sum give the area at every
     step. ``keys`` name the region that is balanced as a whole (a constant column makes
     everything one region). ``within`` restricts the ring to existing cells. The reach doubles until every
-    key has an answer or ``limit`` is passed; keys without one are NULL.
+    key has an answer or ``limit`` is passed; keys without one are NULL. A ``limit`` is
+    required with ``within``.
     """
+    if within is not None and limit is None:
+        raise ValueError("a ring inside given cells may never be large enough: set a limit")
     at = [*keys, "y", "x"]
     selected = materialise(selected.select(*at).distinct().withColumn("id", F.lit(0)))
     rest = materialise(rest.select(*at).distinct().withColumn("id", F.lit(0)))

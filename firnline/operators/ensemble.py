@@ -104,11 +104,12 @@ def deviation_from_bounds(stats: DataFrame, columns: list[str] | None = None) ->
 
 
 def deviation_over_seeds(stats: DataFrame, columns: list[str] | None = None, seed: str = "seed") -> DataFrame:
-    """Mean and sample deviation over the seeds of an entry; other columns from the first seed."""
+    """Mean and sample deviation over the seeds of an entry; other columns take their first known value."""
     columns = columns or predicted_columns(stats)
     keys = ["entry_id", "is_inv_year"]
     rest = [c for c in stats.columns if c not in columns and c not in keys]
-    aggs = [F.min_by(c, seed).alias(c) for c in rest if c != seed] + [F.min(seed).alias(seed)]
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(seed))).alias(c) for c in rest if c != seed]
+    aggs = [*first, F.min(seed).alias(seed)]
     for c in columns:
         aggs += [F.avg(c).alias(c), F.stddev_samp(c).alias(f"{c}_std")]
     return stats.groupBy(*keys).agg(*aggs)

@@ -22,15 +22,15 @@ CELL = ["entry_id", "y", "x"]
 def nearest_fill(cells: DataFrame, value: str, to_fill: Column, ok: Column, k: int = FILL_CELLS) -> DataFrame:
     """Mean of the ``k`` nearest usable cells of the entry, ties included.
 
-    Returns ``entry_id, y, x, filled``. Entries with fewer than ``k`` usable cells are left
-    out. Cells meet in square blocks as wide as the search radius, so a large entry is
+    Returns ``entry_id, y, x, filled``. A usable cell without a value is no source. Entries
+    with fewer than ``k`` sources are left out. Cells meet in square blocks as wide as the search radius, so a large entry is
     spread out; cells that do not find ``k`` neighbours go on with twice the radius.
     """
     base = materialise(
         cells.select(*CELL, F.col(value).cast("double").alias("_v"), to_fill.alias("_fill"), ok.alias("_ok"))
         .where(F.col("_fill") | F.col("_ok"))
     )
-    sources = base.where("_ok").select(*CELL, "_v")
+    sources = base.where(F.col("_ok") & F.col("_v").isNotNull()).select(*CELL, "_v")
     enough = sources.groupBy("entry_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
     pending = base.where("_fill").select(*CELL).join(enough.select("entry_id"), "entry_id", "left_semi")
     radius = max(1, math.ceil(math.sqrt(k)))
@@ -81,7 +81,7 @@ def elevation_fill(cells: DataFrame, value: str, elevation: str, to_fill: Column
     """
     base = cells.select(*CELL, F.col(value).cast("double").alias("_v"), F.col(elevation).alias("_h"),
                         to_fill.alias("_fill"), ok.alias("_ok"))
-    used = F.col("_ok") & F.col("_h").isNotNull()
+    used = F.col("_ok") & F.col("_h").isNotNull() & F.col("_v").isNotNull()
     levels = base.where(F.col("_fill") | used).where(F.col("_h").isNotNull()).groupBy("entry_id", "_h").agg(
         F.sum(F.when(used, 1).otherwise(0)).alias("_c"),
         F.sum(F.when(used, F.col("_v")).otherwise(0.0)).alias("_s"),

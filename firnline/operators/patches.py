@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firnline.operators.ordering import row_numbers
+from firnline.session import materialise
 
 # Fixed value: share of the patch size dropped on every side before mosaicking.
 MARGIN_SHARE = 0.05
@@ -123,7 +124,7 @@ def subsample(
 
     Rounding differences go to the entries that keep most. Too few patches: all stay.
     """
-    counts = patches.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialise(patches.groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
     total, groups = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
     if total is None or total < n:
         return patches

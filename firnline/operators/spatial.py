@@ -107,10 +107,13 @@ def close_pairs(outlines: DataFrame, distance: float, key: str = "entry_id") ->
     """Pairs ``a < b`` of outlines within ``distance`` of each other, each once."""
     half = distance / 2
     boxed = with_edges(outlines.select(key, "rings"), grow=half)
-    left = boxed.select(F.col(key).alias("a"), F.col("edges").alias("ea"), "box")
-    right = boxed.select(F.col(key).alias("b"), F.col("edges").alias("eb"), "box")
-    # both boxes grow by half the distance, so boxes of close outlines meet
-    near = _meeting(left, right).where(F.col("a") < F.col("b"))
+    left = boxed.select(F.col(key).alias("a"), "box")
+    right = boxed.select(F.col(key).alias("b"), "box")
+    # both boxes grow by half the distance, so boxes of close outlines meet; edges, which
+    # can be long, join only the pairs that are left
+    near = _meeting(left, right).where(F.col("a") < F.col("b")).select("a", "b")
+    near = near.join(boxed.select(F.col(key).alias("a"), F.col("edges").alias("ea")), "a")
+    near = near.join(boxed.select(F.col(key).alias("b"), F.col("edges").alias("eb")), "b")
     return near.where(geometry.within_distance(F.col("ea"), F.col("eb"), distance)).select("a", "b")
 
 
@@ -130,6 +133,8 @@ def require_hits(left: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 def nearest_points(left: DataFrame, right: DataFrame, start: float, left_key: str, right_key: str) -> DataFrame:
     """The nearest right point of every left point; ties go to the lower key.
 
+    A left point without coordinates gets NULL.
+
     Points meet in 3x3 tiles as wide as the search radius. Whoever finds a point within
     the radius is done; the others go on with twice the radius. Start with a radius that
     is small against the densest spot, since dense spots are settled first.
@@ -140,7 +145,8 @@ def nearest_points(left: DataFrame, right: DataFrame, start: float, left_key: st
     )
     if candidates.isEmpty():
         raise ValueError("no candidate points")
-    pending, radius, done = left.select(left_key, "px", "py"), float(start), []
+    known = F.col("px").isNotNull() & F.col("py").isNotNull()
+    pending, radius, done = left.select(left_key, "px", "py").where(known), float(start), []
     while True:
         def near(c: str, r=radius) -> Column:
             return F.explode(F.sequence(F.floor(F.col(c) / r) - 1, F.floor(F.col(c) / r) + 1))
@@ -161,7 +167,8 @@ def nearest_points(left: DataFrame, right: DataFrame, start: float, left_key: st
             break
         radius *= 2
     every = reduce(lambda a, b: a.unionByName(b), done)
-    return every.select(left_key, F.col("_b._q").alias(right_key), F.sqrt("_b._d2").alias("distance"))
+    found = every.select(left_key, F.col("_b._q").alias(right_key), F.sqrt("_b._d2").alias("distance"))
+    return left.select(left_key).join(found, left_key, "left")
 
 
 def rasterise(outlines: DataFrame, gsd: float, key: str = "entry_id", keep: list[str] | None = None) -> DataFrame:

@@ -142,6 +142,14 @@ def test_nearest_fill_against_brute_force(spark):
         assert out[(y, x)] == pytest.approx(v[oy[near], ox[near]].mean())
 
 
+def test_sources_without_value_are_ignored(spark):
+    df = grid(spark, np.ones((8, 8))).withColumn("v", F.when(F.col("x") > 0, F.col("v"))).withColumn("h", F.lit(1))
+    gap = (F.col("y") == 4) & (F.col("x") == 4)
+    assert neighbours.nearest_fill(df, "v", gap, ~gap, 55).first()["filled"] == 1.0
+    assert neighbours.nearest_fill(df, "v", gap, ~gap, 56).count() == 0
+    assert neighbours.elevation_fill(df, "v", "h", gap, ~gap, 10).first()["filled"] == 1.0
+
+
 def test_fill_is_skipped_with_too_few_sources(spark):
     df = grid(spark, np.ones((5, 5)))
     ok = F.col("y") == 0
@@ -244,6 +252,12 @@ def test_equal_area_distance_of_a_lone_square(spark):
     assert got == 10.0 * next(d for d in range(1, 30) if ring(d) >= 100)
 
 
+def test_ring_inside_given_cells_needs_a_limit(spark):
+    seeds = seed_table(spark, [(0, 0, 0)])
+    with pytest.raises(ValueError):
+        buffers.equal_area_distance(seeds, seeds.where("id < 0"), ["entry_id"], 0.0, 10.0, 10.0, within=seeds)
+
+
 # --- geometry ----------------------------------------------------------------------------------
 
 def outline_table(spark, shapes):
@@ -299,10 +313,10 @@ def test_close_pairs_of_very_different_sizes(spark):
 
 
 def test_nearest_points_expand_until_found(spark):
-    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 1000.0, 1000.0)], "l int, px double, py double")
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 1000.0, 1000.0), (3, None, 1.0)], "l int, px double, py double")
     right = spark.createDataFrame([(7, 3.0, 4.0), (5, -3.0, 4.0)], "r int, px double, py double")
     got = rows(spatial.nearest_points(left, right, 1.0, "l", "r"), "l", "r", "distance")
-    assert got[0] == (1, 5, 5.0) and got[1][1] == 7
+    assert got[0] == (1, 5, 5.0) and got[1][1] == 7 and got[2] == (3, None, None)
 
 
 def test_empty_intersection_is_an_error(spark):

@@ -49,7 +49,7 @@ def albedo(blue: Column, green: Column, red: Column, scale: float = REFLECTANCE_
 
 
 def band_ratio(red: Column, swir: Column) -> Column:
-    return red / F.greatest(swir, F.lit(1.0))
+    return red / F.when(swir.isNotNull(), F.greatest(swir, F.lit(1.0)))
 
 
 def band_ratio_class(red: Column, swir: Column, blue: Column, ratio_thr, blue_thr) -> Column:
@@ -57,9 +57,9 @@ def band_ratio_class(red: Column, swir: Column, blue: Column, ratio_thr, blue_th
 
 
 def flag_mask(flags: list[str]) -> Column:
-    """OR of flag bands equal to 1; a leading ``~`` negates a flag."""
+    """OR of flag bands equal to 1; a leading ``~`` negates a flag. A missing flag is not 1."""
     def one(name: str) -> Column:
-        hit = F.col(name.lstrip("~")) == 1
+        hit = F.col(name.lstrip("~")).eqNullSafe(F.lit(1))
         return ~hit if name.startswith("~") else hit
 
     return reduce(lambda a, b: a | b, [one(f) for f in flags])

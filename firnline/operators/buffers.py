@@ -52,6 +52,12 @@ def plain_buffer(seeds: DataFrame, reach: int, keys: list[str]) -> DataFrame:
     return grown.unionByName(seeds.select(*keys, "id", "y", "x")).distinct()
 
 
+def exclusive_distances(seeds: DataFrame, reach: int, keys: list[str]) -> DataFrame:
+    """Nearest outline and squared distance of the cells around, but outside of, all outlines."""
+    grown = distances(edge_cells(seeds, keys), reach, keys, per_id=False)
+    return grown.join(seeds.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
+
+
 def buffer_non_overlapping(seeds: DataFrame, reach: int, keys: list[str]) -> DataFrame:
     """Grow all outlines by ``reach``; contested cells go to the nearest outline.
 
@@ -60,13 +66,21 @@ def buffer_non_overlapping(seeds: DataFrame, reach: int, keys: list[str]) -> Dat
     own = seeds.select(*keys, "id", "y", "x").distinct()
     if reach <= 0:
         return own
-    grown = distances(edge_cells(seeds, keys), reach, keys, per_id=False).select(*keys, "id", "y", "x")
-    outside = grown.join(own.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
-    return outside.unionByName(own)
+    return exclusive_distances(seeds, reach, keys).select(*keys, "id", "y", "x").unionByName(own)
 
 
-def minus(cells: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
-    return cells.join(other.select(*on), on, "left_anti")
+def buffers_non_overlapping(seeds: DataFrame, reaches: list[int], keys: list[str]) -> DataFrame:
+    """Non-overlapping buffers of several sizes, told apart by ``reach``.
+
+    The nearest outline of a cell does not depend on the size of the buffer, so the
+    distances are computed once, for the largest.
+    """
+    near = exclusive_distances(seeds, max(reaches), keys)
+    sizes = F.array(*[F.lit(r) for r in reaches])
+    grown = near.withColumn("reach", F.explode(F.filter(sizes, lambda r: r * r >= F.col("d2"))))
+    own = seeds.select(*keys, "id", "y", "x").distinct().withColumn("reach", F.explode(sizes))
+    columns = ["reach", *keys, "id", "y", "x"]
+    return grown.select(*columns).unionByName(own.select(*columns))
 
 
 def region_layers(
@@ -75,22 +89,29 @@ def region_layers(
     """The five regions of every outline as one table ``layer, keys, id, y, x``.
 
     Distances are in cells. The snow-index region leaves out every outline; the
-    false-positive ring is the outer buffer minus the inner one.
+    false-positive ring is the outer buffer minus the inner one. All layers are cut from
+    two distance tables: one per outline, and one in which the nearest outline wins.
     """
-    seeds = materialise(seeds.select(*keys, "id", "y", "x"))
-    at = [*keys, "y", "x"]
-    clouds = plain_buffer(seeds, qc, keys)
-    inner = buffer_non_overlapping(seeds, infer, keys)
-    ring_from = inner if fp[0] == infer else buffer_non_overlapping(seeds, fp[0], keys)
-    outer = buffer_non_overlapping(seeds, fp[1], keys)
+    columns = [*keys, "id", "y", "x"]
+    own = materialise(seeds.select(*columns).distinct())
+    per = materialise(distances(edge_cells(own, keys), max(qc, patch_sampling), keys, per_id=True))
+    near = materialise(exclusive_distances(own, max(infer, *fp), keys))
+
+    def within(table: DataFrame, reach: int) -> DataFrame:
+        return table.where(F.col("d2") <= reach * reach).select(*columns)
+
+    def plain(reach: int) -> DataFrame:
+        return within(per, reach).unionByName(own).distinct()
+
     layers = {
-        "buffer_clouds": clouds,
-        "buffer_ndsi": minus(clouds, seeds, at),
-        "buffer_patch_sampling": plain_buffer(seeds, patch_sampling, keys),
-        "buffer_infer": inner,
-        "buffer_fp": minus(outer, ring_from, [*keys, "id", "y", "x"]),
+        "buffer_clouds": plain(qc),
+        "buffer_ndsi": within(per, qc).join(own.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti"),
+        "buffer_patch_sampling": plain(patch_sampling),
+        "buffer_infer": within(near, infer).unionByName(own),
+        # both buffers hold the outlines themselves, so these cancel
+        "buffer_fp": within(near.where(F.col("d2") > fp[0] * fp[0]), fp[1]),
     }
-    tagged = [df.select(F.lit(n).alias("layer"), *keys, "id", "y", "x") for n, df in layers.items()]
+    tagged = [df.select(F.lit(n).alias("layer"), *columns) for n, df in layers.items()]
     return reduce(lambda a, b: a.unionByName(b), tagged)
 
 
@@ -114,10 +135,11 @@ def equal_area_distance(
     selected = materialise(selected.select(*at).distinct().withColumn("id", F.lit(0)))
     rest = materialise(rest.select(*at).distinct().withColumn("id", F.lit(0)))
     target = selected.groupBy(*keys).agg(F.count(F.lit(1)).alias("_target"))
+    selected_edge, rest_edge = materialise(edge_cells(selected, keys)), materialise(edge_cells(rest, keys))
     reach = max(2, int(2 * (start + step) / gsd))
     while True:
-        near = distances(edge_cells(selected, keys), reach, keys, per_id=False)
-        far = distances(edge_cells(rest, keys), reach, keys, per_id=False).select(*at, F.col("d2").alias("_r2"))
+        near = distances(selected_edge, reach, keys, per_id=False)
+        far = distances(rest_edge, reach, keys, per_id=False).select(*at, F.col("d2").alias("_r2"))
         ring = near.join(far, at, "left").join(selected.select(*at), at, "left_anti").join(rest.select(*at), at, "left_anti")
         if within is not None:
             ring = ring.join(within.select(*at), at, "left_semi")

@@ -54,11 +54,12 @@ def confusion_areas(
 ) -> DataFrame:
     """Areas (km2) and rates per entry in one pass over the cells.
 
-    Predictions count only inside the inference and false-positive regions. With ``sub``
+    Predictions count only inside the inference and false-positive regions; a missing one
+    is negative. With ``sub``
     the columns of a sub-class of the truth are added.
     """
     px = gsd * gsd / 1e6
-    pred = prediction & (infer | negative)
+    pred = F.coalesce(prediction, F.lit(False)) & (infer | negative)
     aggs = {
         "P": truth, "TP": truth & pred, "FN": truth & ~pred, "N": negative, "FP": pred & negative, "infer": pred & infer,
     }
@@ -108,7 +109,7 @@ def sample_metrics(
     A ratio without a denominator is 0. A sample whose mask is empty has NULL metrics.
     With ``sub``, ``recall_debris`` is added where the sub-class makes up enough of the truth.
     """
-    pos, hit = y == 1, p > threshold
+    pos, hit = y == 1, F.coalesce(p > threshold, F.lit(False))
     aggs = [
         _n(mask).alias("_n"), _n(mask & pos & hit).alias("_tp"), _n(mask & ~pos & hit).alias("_fp"),
         _n(mask & pos & ~hit).alias("_fn"), _n(mask & ~pos & ~hit).alias("_tn"),

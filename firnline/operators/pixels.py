@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from firnline.functions import spectral
 from firnline.functions.probability import clip
 from firnline.operators.ordering import exact_quantiles, raster_row_numbers
+from firnline.session import materialise
 from firnline.tables import require_columns
 
 CELL = ["entry_id", "y", "x"]
@@ -60,6 +61,7 @@ def norm_partials(cells: DataFrame, keys: list[str], variables: list[str]) -> Da
 
 def merge_norm_stats(partials: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Mean and population deviation from sums; bounds are quantiles of the per-file extrema."""
+    partials = materialise(partials)  # read twice; the cells are not
     n = F.greatest(F.sum("n"), F.lit(1))
     s1, s2 = F.sum("sum_1"), F.sum("sum_2")
     moments = partials.groupBy("var_name").agg(

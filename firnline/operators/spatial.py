@@ -229,11 +229,8 @@ def buffers_by_component(outlines: DataFrame, reaches: list[int], gsd: float, ke
     """Non-overlapping buffers of several sizes; outlines compete within their component only."""
     parts = outline_components(outlines, max(reaches) * gsd, key)
     cells = rasterise(outlines.join(parts, key), gsd, key, ["component"]).withColumnRenamed(key, "id")
-    cells = materialise(cells)
-    grown = [
-        buffers.buffer_non_overlapping(cells, r, ["component"]).withColumn("reach", F.lit(r)) for r in reaches
-    ]
-    return reduce(lambda a, b: a.unionByName(b), grown).withColumnRenamed("id", key)
+    grown = buffers.buffers_non_overlapping(materialise(cells), reaches, ["component"])
+    return grown.withColumnRenamed("id", key)
 
 
 def segments(cells: DataFrame, mask: Column, gsd: float, min_km2: float = 0.0, connectivity: int = 8) -> DataFrame:
@@ -259,10 +256,12 @@ def segments(cells: DataFrame, mask: Column, gsd: float, min_km2: float = 0.0, c
     )
     links = up.join(runs.select("entry_id", "y", "x", F.col("run").alias("b")), ["entry_id", "y", "x"]).select("a", "b").distinct()
     labels = connected_components(links, runs.select(F.col("run").alias("v")).distinct())
-    named = runs.join(labels.select(F.col("v").alias("run"), F.col("component").alias("segment")), "run")
-    sizes = named.groupBy("segment").agg((F.count(F.lit(1)) * (gsd * gsd / 1e6)).alias("area_km2"))
-    kept = sizes.where(F.col("area_km2") >= min_km2)
-    return named.join(kept, "segment").select("entry_id", "segment", "y", "x", "area_km2")
+    named = materialise(labels.select(F.col("v").alias("run"), F.col("component").alias("segment")))
+    # sizes are summed over runs, so the cells are joined only once
+    lengths = runs.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = named.join(lengths, "run").groupBy("segment").agg((F.sum("_n") * (gsd * gsd / 1e6)).alias("area_km2"))
+    kept = named.join(sizes.where(F.col("area_km2") >= min_km2), "segment")
+    return runs.join(kept, "run").select("entry_id", "segment", "y", "x", "area_km2")
 
 
 def boundary_edges(segment_cells: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from firnline.session import materialise
+
 # Sweep settings and the share of a normal law within one sigma.
 RATIO_SWEEP = (0.5, 5.5, 0.1)
 BLUE_SWEEP = (0.0, 1500.0, 25.0)
@@ -26,9 +28,9 @@ def steps(sweep: tuple[float, float, float]) -> int:
 
 
 def last_passed(value: Column, sweep: tuple[float, float, float]) -> Column:
-    """Index of the last threshold ``t`` with ``value >= t``, or -1."""
+    """Index of the last threshold ``t`` with ``value >= t``; -1 if there is none or no value."""
     start, _, step = sweep
-    i = F.floor((value - start) / step + _EPS)
+    i = F.coalesce(F.floor((value - start) / step + _EPS), F.lit(-1))
     return F.greatest(F.least(i, F.lit(steps(sweep) - 1)), F.lit(-1)).cast("int")
 
 
@@ -48,6 +50,7 @@ def sweep_iou(
     hist = pixels.select(
         *keys, last_passed(first, first_sweep).alias("i"), last_passed(second, second_sweep).alias("j"), hit.alias("_t")
     ).groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("_n"), F.sum("_t").alias("_tp"))
+    hist = materialise(hist)  # read twice; the cells are not
     totals = hist.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.sum("_tp").alias("_pos"))
     grid = totals.select(*keys, "_all", "_pos", _grid(n1, "i")).select("*", _grid(n2, "j"))
     dense = grid.join(hist.where("i >= 0 and j >= 0"), [*keys, "i", "j"], "left").fillna(0, ["_n", "_tp"])
@@ -107,7 +110,7 @@ def area_bounds(
     start, _, step = sweep
     n, px = steps(sweep), gsd * gsd / 1e6
     from_step = F.ceil((1 - (mean - std) - start) / step - _EPS)
-    from_step = F.greatest(F.least(from_step, F.lit(n)), F.lit(0)).cast("int")
+    from_step = F.greatest(F.least(F.coalesce(from_step, F.lit(n)), F.lit(n)), F.lit(0)).cast("int")
     counted = cells.select(*keys, last_passed(mean + std, sweep).alias("_u"), from_step.alias("_l"),
                            (mean >= 0.5).cast("int").alias("_p"), truth.cast("int").alias("_t"))
     both = F.inline(F.array(
@@ -119,6 +122,7 @@ def area_bounds(
         F.sum(F.when(is_up, 1).otherwise(0)).alias("_nu"), F.sum(F.when(~is_up, 1).otherwise(0)).alias("_nl"),
         F.sum("_pc").alias("_np"), F.sum("_tc").alias("_nt"),
     )
+    hist = materialise(hist)  # read twice; the cells are not
     totals = hist.groupBy(*keys).agg(F.sum("_np").alias("_np"), F.sum("_nt").alias("_nt"))
     dense = totals.select("*", _grid(n, "i")).join(hist.select(*keys, "i", "_nu", "_nl"), [*keys, "i"], "left")
     dense = dense.fillna(0, ["_nu", "_nl"])

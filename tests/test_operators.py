@@ -230,6 +230,27 @@ def test_buffers_never_overlap_and_keep_originals(spark):
         assert best[1] == i and best[0] <= 9
 
 
+def test_layers_agree_with_their_separate_buffers(spark):
+    cells = [(1, y, x) for y in range(4) for x in range(4)] + [(2, y, x) for y in range(5, 9) for x in range(3, 8)]
+    seeds, keys, at = seed_table(spark, cells), ["entry_id"], ["id", "y", "x"]
+    layers = buffers.region_layers(seeds, keys, qc=3, patch_sampling=1, infer=1, fp=(2, 4)).cache()
+
+    def layer(name):
+        return rows(layers.where(F.col("layer") == name), *at)
+
+    def grown(reach):
+        return buffers.buffer_non_overlapping(seeds, reach, keys)
+
+    assert layer("buffer_clouds") == rows(buffers.plain_buffer(seeds, 3, keys), *at)
+    assert layer("buffer_patch_sampling") == rows(buffers.plain_buffer(seeds, 1, keys), *at)
+    assert layer("buffer_infer") == rows(grown(1), *at)
+    assert layer("buffer_fp") == rows(buffers.minus(grown(4), grown(2), ["entry_id", *at]), *at)
+    several = buffers.buffers_non_overlapping(seeds, [0, 2], keys)
+    assert rows(several.where("reach = 2"), *at) == rows(grown(2), *at)
+    assert rows(several.where("reach = 0"), *at) == rows(seeds, *at)
+    layers.unpersist()
+
+
 def test_plain_buffers_may_overlap(spark):
     out = rows(buffers.plain_buffer(seed_table(spark, [(1, 0, 0), (2, 0, 3)]), 2, ["entry_id"]), "id", "y", "x")
     assert (1, 0, 1) in out and (2, 0, 1) in out and len(out) == 26
@@ -475,6 +496,25 @@ def test_empty_mask_gives_missing_metrics(spark):
     assert out == {"a": None, "b": 1.0}
 
 
+def test_missing_predictions_are_negative(spark):
+    df = grid(spark, [[1.0, 0.0], [1.0, 0.0]]).withColumn("p", F.when(F.col("y") == 0, F.col("v")))
+    yes = F.lit(True)
+    r = evaluate.confusion_areas(df, F.col("v") == 1, F.lit(False), yes, F.col("p") >= 0.5, 1000.0).first()
+    assert (r["P"], r["TP"], r["FN"]) == (2.0, 1.0, 1.0)
+    m = evaluate.sample_metrics(df, ["entry_id"], F.col("p"), F.col("v"), yes).first()
+    assert m["recall"] == 0.5 and m["accuracy"] == 0.75
+    s = thresholds.sweep_iou(df, ["entry_id"], F.col("v") == 1, F.col("p"), (0.0, 1.0, 0.5)).where("thr_1 = 0.5").first()
+    assert (s["tp"], s["fp"], s["fn"], s["tn"]) == (1, 0, 1, 2)
+    b = thresholds.area_bounds(df, ["entry_id"], F.col("p"), F.lit(0.0), F.col("v") == 1, 1000.0).where("thr = 0.5").first()
+    assert (b["area_pred"], b["area_true"], b["area_lb"], b["area_ub"]) == (1.0, 2.0, 1.0, 1.0)
+
+
+def test_missing_flags_and_bands(spark):
+    df = spark.createDataFrame([(None, 1, 5.0, None), (1, None, 5.0, 2.0)], "cloud int, clear int, r double, swir double")
+    got = df.select(spectral.flag_mask(["cloud", "~clear"]).alias("m"), spectral.band_ratio(F.col("r"), F.col("swir")).alias("q")).collect()
+    assert [tuple(x) for x in got] == [(False, None), (True, 2.5)]
+
+
 def test_sweep_equals_direct_counts(spark):
     rng = random.Random(3)
     data = [("a" if i % 3 else "b", rng.randrange(-5, 40) / 10, rng.randrange(0, 60) * 1.0, rng.random() < 0.4) for i in range(400)]

@@ -244,7 +244,7 @@ def test_layers_agree_with_their_separate_buffers(spark):
     assert layer("buffer_clouds") == rows(buffers.plain_buffer(seeds, 3, keys), *at)
     assert layer("buffer_patch_sampling") == rows(buffers.plain_buffer(seeds, 1, keys), *at)
     assert layer("buffer_infer") == rows(grown(1), *at)
-    assert layer("buffer_fp") == rows(buffers.minus(grown(4), grown(2), ["entry_id", *at]), *at)
+    assert layer("buffer_fp") == rows(evaluate.overlay_difference(grown(4), grown(2), ["entry_id", *at]), *at)
     several = buffers.buffers_non_overlapping(seeds, [0, 2], keys)
     assert rows(several.where("reach = 2"), *at) == rows(grown(2), *at)
     assert rows(several.where("reach = 0"), *at) == rows(seeds, *at)

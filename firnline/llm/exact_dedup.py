@@ -23,8 +23,11 @@ from firnline.session import materialise, scratch_dir
 
 QUERY = "op4_exact_dedup"
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; files grow with what they hold instead of being laid out in advance.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -56,15 +59,17 @@ def keyed_state(records_path: str, schema, files_per_batch: int, spark: SparkSes
     def keep(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{classes}/batch={batch}")
 
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         (
             stream.writeStream.outputMode("update").foreachBatch(keep)
             .option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
         )
     finally:
-        spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     read = spark.read.option("basePath", classes).schema(stream.schema.add("batch", "integer"))
     return read.parquet(f"{classes}/batch=*").groupBy("digest").agg(
         F.max_by(F.struct("stays", "group_size"), "batch").alias("c")

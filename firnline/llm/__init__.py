@@ -6,7 +6,7 @@ Nothing else in the library imports this package.
 import importlib
 
 #: Query modules, one for each operator; each has ``QUERY``, ``run`` and ``SQL`` (None where SQL cannot say it).
-MODULES = ["decontamination", "exact_dedup"]
+MODULES = ["decontamination", "exact_dedup", "token_counts"]
 
 
 def queries():

@@ -26,7 +26,7 @@ from firnline.session import materialise
 QUERY = "op6_token_counts"
 
 # fixed values: Unicode white space, and the split pattern of byte-level BPE
-SPACE = r"\t-\r \x85\xA0  -     　"
+SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PRE_TOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++"
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"

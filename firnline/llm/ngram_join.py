@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.llm.columns import read_table, text_or_empty
-from firnline.llm.shingles import mix, multipliers, shingle_sets
+from firnline.llm.shingles import in_slices, mix, multipliers, shingle_sets
 from firnline.operators.components import connected_components
 from firnline.session import materialise
 
@@ -82,7 +82,7 @@ _SIGNED = "doc_id bigint, th bigint, n int, k1 bigint, k2 bigint, rows array<big
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factor = multipliers(2, seed=11)
-    for b in batches:
+    for b in (part for whole in batches for part in in_slices(whole)):
         sets = shingle_sets(b.column("text"), SHINGLE)
         with np.errstate(over="ignore"):
             keys = [[mix(s + f).sum(dtype=np.uint64).astype(np.int64) for s in sets] for f in factor]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -33,3 +34,15 @@ def open_mapped(address: str) -> pa.NativeFile:
     if isinstance(where, fs.LocalFileSystem):
         return pa.memory_map(path)
     return where.open_input_file(path)
+
+
+def write_array(address: str, values: np.ndarray) -> None:
+    """The bare values, little-endian."""
+    with create(address) as out:
+        out.write(np.ascontiguousarray(values).data)
+
+
+def mapped_array(address: str, dtype: str) -> np.ndarray:
+    """What ``write_array`` wrote, mapped read-only."""
+    source = open_mapped(address)
+    return np.frombuffer(source.read_buffer(source.size()), dtype)

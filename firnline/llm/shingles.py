@@ -34,11 +34,11 @@ def multipliers(n: int, seed: int = 0) -> np.ndarray:
 _places = multipliers(64)
 
 
-def _hash_words(data: np.ndarray, first_of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_words(data: np.ndarray, first_of_text: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of every word in ``data``; no word crosses the start of a text."""
     global _places
     lower = _LOWER[data]
-    inside = _IS_WORD[lower]
+    inside = kept[lower]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1] | first_of_text[1:]
     at = np.flatnonzero(inside)
@@ -54,10 +54,10 @@ def _hash_words(data: np.ndarray, first_of_text: np.ndarray) -> tuple[np.ndarray
         return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64)), at[first]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, kept: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and where each text begins among them (n + 1 numbers).
 
-    Words are as in ``columns.words``; NULL has none.
+    Words are runs of the bytes in ``kept``, by default as in ``columns.words``; A-Z count as a-z. NULL has none.
     """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
@@ -69,9 +69,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = 0
     while at < len(data):
         end = min(at + CHUNK, len(data))
-        while end < len(data) and _IS_WORD[_LOWER[data[end]]] and not begins[end]:
+        while end < len(data) and kept[_LOWER[data[end]]] and not begins[end]:
             end += 1
-        h, s = _hash_words(data[at:end], begins[at:end])
+        h, s = _hash_words(data[at:end], begins[at:end], kept)
         hashes.append(h)
         starts.append(s + at)
         at = end
@@ -80,6 +80,16 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.searchsorted(where, offsets)
 
 
+def in_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8 << 20):
+    """Parts of a batch whose texts have about ``most_bytes`` at most, or a single row."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    parts = np.cumsum(lengths) // most_bytes
+    bounds = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(lengths)]
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     """Sorted distinct hashes of the word shingles of each text; a text of fewer words, but not none, is one shingle."""
     words, bounds = word_hashes(texts)

@@ -95,7 +95,7 @@ def least_frequent(pieces: DataFrame, most: int) -> int:
     return least if least is not None else 1 << 62
 
 
-def token_counts(docs: DataFrame, path: str, frequent: int = 200_000) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, frequent: int = 400_000) -> DataFrame:
     """Bytes and tokens of each row of ``docs`` (``doc_id``, ``text``): ``doc_id, n_bytes, n_tokens``.
 
     One row for each input row. NULL and empty texts have 0 bytes and 0 tokens; a NULL or
@@ -108,24 +108,28 @@ def token_counts(docs: DataFrame, path: str, frequent: int = 200_000) -> DataFra
 
     text = text_or_empty()
     # a row is known by its id and its text; rows that repeat both are counted and put back at the end
-    keyed = docs.select(
+    rows = docs.select(
         "doc_id", F.xxhash64(text).alias("key"), F.octet_length(text).cast("bigint").alias("n_bytes"),
-        F.explode(F.concat(F.array(F.lit(None).cast("string")), pre_tokens(text, added_tokens(path)))).alias("token"),
+        F.concat(F.array(F.lit(None).cast("string")), pre_tokens(text, added_tokens(path))).alias("tokens"),
     )
+    keyed = rows.select("doc_id", "key", "n_bytes", F.explode("tokens").alias("token"))
     met = keyed.join(F.broadcast(common), "token", "left")
     rare = F.when(F.col("token").isNotNull() & F.col("known").isNull(), F.col("token"))
-    frequencies = met.groupBy("doc_id", "key", "n_bytes", rare.alias("rare")).agg(
+    frequencies = met.groupBy("doc_id", "key", rare.alias("rare")).agg(
         F.sum(F.when(F.col("token").isNull(), F.lit(0)).otherwise(F.col("known"))).alias("n"),
+        F.max(F.when(F.col("token").isNull(), F.col("n_bytes"))).alias("n_bytes"),
         F.count(F.when(F.col("token").isNull(), 1)).alias("rows"),
         F.count(F.lit(1)).alias("times"),
     )
-    # both branches read one shuffle: the filter looks at a sum and the join key is never null, so nothing moves below it
-    here = frequencies.where("n IS NOT NULL").select("doc_id", "key", "n_bytes", "n", "rows")
-    uncommon = pieces.where(F.col("seen") < least).select("token", "pieces")
-    there = frequencies.where("n IS NULL").join(uncommon, F.coalesce("rare", F.lit("")) == F.col("token")).select(
-        "doc_id", "key", "n_bytes", (F.col("times") * F.col("pieces")).alias("n"), F.lit(0).cast("bigint").alias("rows")
+    # the summed part of a document meets nothing in this join; its id only spreads it
+    uncommon = pieces.where(F.col("seen") < least).select(F.lit(1).alias("side"), F.col("token").alias("met"), "pieces")
+    sided = frequencies.withColumn("side", F.col("rare").isNotNull().cast("int")).withColumn(
+        "met", F.coalesce("rare", F.col("key").cast("string"))
+    )
+    total = sided.join(uncommon, ["side", "met"], "left").groupBy("doc_id", "key").agg(
+        F.sum(F.coalesce(F.col("n"), F.col("times") * F.col("pieces"))).alias("n"),
+        F.max("n_bytes").alias("n_bytes"), F.sum("rows").alias("rows"),
     )
-    total = here.unionByName(there).groupBy("doc_id", "key", "n_bytes").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     each = total.withColumn("n_tokens", F.expr("n DIV rows"))
     return each.select("doc_id", "n_bytes", "n_tokens", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_")).drop("_")
 

@@ -132,7 +132,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, parts: int = 20, **opti
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without contaminated documents; all columns stay. ``doc_id`` names the document."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad"))
+    bad = materialise(bad.distinct())
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 

@@ -123,7 +123,7 @@ def exact_duplicates(docs: DataFrame, digest=sha256, files_per_batch: int = 10_0
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that lose to an equal text; all columns stay. See ``exact_duplicates``."""
-    losers = exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_loser"))
+    losers = materialise(exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_loser")))
     return docs.join(losers, docs["doc_id"].eqNullSafe(losers["_loser"]), "left_anti")
 
 

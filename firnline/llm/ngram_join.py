@@ -352,8 +352,9 @@ def similar_documents(docs: DataFrame, threshold: str = SIMILARITY, recall: floa
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class, that of the smallest id; all columns stay. See ``similar_documents``."""
-    losers = similar_documents(docs, **options).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_loser"))
-    return docs.join(losers.distinct(), docs["doc_id"].eqNullSafe(losers["_loser"]), "left_anti")
+    found = similar_documents(docs, **options).where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
+    losers = materialise(found.select(F.col("doc_id").alias("_loser")).distinct())
+    return docs.join(losers, docs["doc_id"].eqNullSafe(losers["_loser"]), "left_anti")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.llm.columns import crc_mod, read_table
+from firnline.session import materialise
 
 QUERY = "op1_toxicity"
 
@@ -180,7 +181,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Lexicon and pattern shares from the labelled rows of ``docs``."""
-    sample = labelled_sample(docs, labels).persist()
+    sample = materialise(labelled_sample(docs, labels))
 
     def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,7 +223,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     found = sample.mapInArrow(count_patterns, _COUNTS)
     rows = found.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
-    sample.unpersist()
     for r in rows:
         prior = assumed(r.feature) if r.feature else 0.0
         share = (r.toxic + PRIOR_CLAUSES * prior) / (r.toxic + r.clean + PRIOR_CLAUSES)

@@ -16,12 +16,12 @@ def date_in_name(name: Column) -> Column:
 
 
 def scene_id_parts(scene_id: Column) -> dict[str, Column]:
-    """``<acquired>_<processed>_<tile>`` split into its parts."""
+    """``<acquired>_<processed>_<tile>`` split into its parts; NULL for what an id lacks."""
     parts = F.split(scene_id, "_")
     return {
-        "date": F.to_date(F.substring(parts[0], 1, 8), "yyyyMMdd"),
-        "processing_time": parts[1],
-        "tile": parts[2],
+        "date": F.try_to_date(F.substring(F.get(parts, F.lit(0)), 1, 8), "yyyyMMdd"),
+        "processing_time": F.get(parts, F.lit(1)),
+        "tile": F.get(parts, F.lit(2)),
     }
 
 
@@ -30,12 +30,12 @@ def padded_id(number: Column, prefix: str, width: int) -> Column:
 
 
 def path_parts(path: Column) -> dict[str, Column]:
-    """``…/<year>/<entry_id>/<file>`` split into its parts."""
+    """``…/<year>/<entry_id>/<file>`` split into its parts; NULL for what a short path lacks."""
     parts = F.split(path, "/")
     return {
-        "year": F.element_at(parts, -3),
-        "entry_id": F.element_at(parts, -2),
-        "file": F.element_at(parts, -1),
+        "year": F.try_element_at(parts, F.lit(-3)),
+        "entry_id": F.try_element_at(parts, F.lit(-2)),
+        "file": F.try_element_at(parts, F.lit(-1)),
     }
 
 

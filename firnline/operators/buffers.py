@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,9 +126,9 @@ def equal_area_distance(
     the others do, which grow at half the rate. Both moments are whole steps, so one
     histogram of arrivals and departures and its running sum give the area at every
     step. ``keys`` name the region that is balanced as a whole (a constant column makes
-    everything one region). ``within`` restricts the ring to existing cells. The reach doubles until every
-    key has an answer or ``limit`` is passed; keys without one are NULL. A ``limit`` is
-    required with ``within``.
+    everything one region). ``within`` restricts the ring to existing cells. The reach
+    doubles for the keys that have no answer yet, up to ``limit``; a key whose distance would
+    be beyond the limit is NULL. A ``limit`` is required with ``within``.
     """
     if within is not None and limit is None:
         raise ValueError("a ring inside given cells may never be large enough: set a limit")
@@ -137,7 +138,10 @@ def equal_area_distance(
     target = selected.groupBy(*keys).agg(F.count(F.lit(1)).alias("_target"))
     selected_edge, rest_edge = materialise(edge_cells(selected, keys)), materialise(edge_cells(rest, keys))
     reach = max(2, int(2 * (start + step) / gsd))
+    furthest = None if limit is None else max(1, math.ceil(limit / gsd))
+    answers = []
     while True:
+        reach = reach if furthest is None else min(reach, furthest)
         near = distances(selected_edge, reach, keys, per_id=False)
         far = distances(rest_edge, reach, keys, per_id=False).select(*at, F.col("d2").alias("_r2"))
         ring = near.join(far, at, "left").join(selected.select(*at), at, "left_anti").join(rest.select(*at), at, "left_anti")
@@ -152,7 +156,8 @@ def equal_area_distance(
             F.struct(leaves.alias("n"), F.lit(-1).alias("c")),
         )).alias("_e"), joins.alias("_j"), leaves.alias("_l"))
         live = events.where(F.col("_l").isNull() | (F.col("_l") > F.col("_j"))).where(F.col("_e.n").isNotNull())
-        last_step = int((reach * gsd - start) // step)
+        seen_to = reach * gsd if limit is None else min(reach * gsd, limit)
+        last_step = math.floor(round((seen_to - start) / step, 9))
         hist = live.groupBy(*keys, F.col("_e.n").alias("n")).agg(F.sum("_e.c").alias("_c")).where(F.col("n") <= last_step)
         w = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
         area = hist.withColumn("_area", F.sum("_c").over(w))
@@ -160,8 +165,12 @@ def equal_area_distance(
             (F.lit(float(start)) + F.min("n") * F.lit(float(step))).alias("distance")
         )
         answer = materialise(target.join(found, keys, "left").select(*keys, "distance"))
-        if limit is not None and reach * gsd >= limit:
-            return answer
-        if answer.where(F.col("distance").isNull()).isEmpty():
-            return answer
+        unanswered = answer.where(F.col("distance").isNull())
+        if reach == furthest or unanswered.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), [*answers, answer])
+        answers.append(answer.where(F.col("distance").isNotNull()))
+        # only what is still open goes on with twice the reach
+        selected, rest, target, selected_edge, rest_edge = (
+            t.join(unanswered.select(*keys), keys, "left_semi") for t in (selected, rest, target, selected_edge, rest_edge)
+        )
         reach *= 2

@@ -83,7 +83,7 @@ def mosaic_metadata(scenes: DataFrame, keys: list[str] | None = None) -> DataFra
 def covered_share(cells: DataFrame, keys: list[str], ok: Column, gsd: float, roi_area: Column) -> DataFrame:
     """Area of usable cells over the area of the region."""
     n_ok = F.sum(F.when(ok, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return cells.groupBy(*keys).agg((n_ok * gsd * gsd / F.first(roi_area)).alias("coverage"))
+    return cells.groupBy(*keys).agg(F.try_divide(n_ok * gsd * gsd, F.first(roi_area)).alias("coverage"))
 
 
 def attach_companion(images: DataFrame, companions: DataFrame, columns: list[str]) -> DataFrame:

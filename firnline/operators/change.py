@@ -126,7 +126,7 @@ def noise_report(marked: DataFrame, inventory_area: float) -> DataFrame:
     for k, ok in tests.items():
         aggs.append(F.struct(
             F.lit(k).alias("filter"), F.count(F.when(ok, 1)).alias("n"), F.sum(F.when(ok, F.col("area_t0"))).alias("area_t0"),
-            (F.sum(F.when(ok, F.col("area_inv"))) / F.lit(float(inventory_area)) * 100).alias("coverage_prc"),
+            (F.try_divide(F.sum(F.when(ok, F.col("area_inv"))), F.lit(float(inventory_area))) * 100).alias("coverage_prc"),
         ).alias(k))
     return marked.agg(*aggs).select(F.inline(F.array(*tests)))
 

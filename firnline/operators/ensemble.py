@@ -27,17 +27,23 @@ def require_all_members(members: DataFrame, n: int, key: str = "entry_id", seed:
 
 
 def aggregate_members(members: DataFrame, seeds: list[int], p: str = "p", keys: list[str] | None = None) -> DataFrame:
-    """Mean, population deviation, vote and one-sigma extents of every complete cell.
+    """Mean, population deviation, vote and one-sigma extents of every cell.
 
-    Members are stacked in seed order with conditional maxima, so everything is combined
-    before the shuffle.
+    Fails where an entry lacks a member or a cell has a seed twice. A cell with a missing
+    value keeps its row, with NULL for everything but the members. Members are stacked in
+    seed order with conditional maxima, so everything is combined before the shuffle.
     """
     keys = keys or ["entry_id", "y", "x"]
+    used = members.where(F.col("seed").isin(seeds))
+    require_all_members(used, len(seeds), keys[0])
     stack = F.array(*[F.max(F.when(F.col("seed") == s, F.col(p))) for s in seeds])
-    agg = members.where(F.col("seed").isin(seeds)).groupBy(*keys).agg(
-        F.avg(p).alias("pred"), F.stddev_pop(p).alias("pred_std"), stack.alias("pred_all"), F.count(p).alias("_n")
-    ).where(F.col("_n") == len(seeds)).drop("_n")
-    return agg.withColumns({
+    most = F.greatest(F.lit(0), *[F.count(F.when(F.col("seed") == s, 1)) for s in seeds])
+    agg = used.groupBy(*keys).agg(
+        F.avg(p).alias("pred"), F.stddev_pop(p).alias("pred_std"), stack.alias("pred_all"), F.count(p).alias("_n"), most.alias("_most")
+    )
+    once = F.when(F.col("_most") > 1, F.raise_error(F.lit("a seed occurs twice in a cell")).cast("boolean")).otherwise(F.col("_n") == len(seeds))
+    agg = agg.withColumn("_complete", once).withColumns({c: F.when(F.col("_complete"), F.col(c)) for c in ("pred", "pred_std")})
+    return agg.drop("_n", "_most", "_complete").withColumns({
         "pred_b": F.col("pred") >= 0.5,
         "pred_low_b": F.col("pred") - F.col("pred_std") >= 0.5,
         "pred_high_b": F.col("pred") + F.col("pred_std") >= 0.5,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions import probability
 from firnline.operators.ordering import exact_quantiles
+from firnline.tables import join_null_safe
 
 # Decision threshold, smallest sub-class area (km2) and smallest sub-class share that give a recall.
 DECISION = 0.5
@@ -98,7 +99,8 @@ def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.min(v).alias("min"), F.max(v).alias("max"),
     )
     quartiles = exact_quantiles(df, keys, v, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return moments.join(quartiles, keys, "left").select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    joined = join_null_safe(moments, quartiles, keys, "left") if keys else moments.join(quartiles, how="left")
+    return joined.select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def sample_metrics(
@@ -149,8 +151,8 @@ def two_level_means(samples: DataFrame, metrics: list[str], area: str, key: str
     out = []
     for m in metrics:
         mean = F.try_divide(F.col(f"_s_{m}"), F.col(f"_c_{m}"))
-        out.append((F.sum(f"_s_{m}") / F.sum(f"_c_{m}")).alias(m))
-        out.append((F.sum(mean * F.col("_a")) / F.sum("_a")).alias(f"w_{m}"))
+        out.append(F.try_divide(F.sum(f"_s_{m}"), F.sum(f"_c_{m}")).alias(m))
+        out.append(F.try_divide(F.sum(mean * F.col("_a")), F.sum("_a")).alias(f"w_{m}"))
     return per.agg(*out)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,7 +124,7 @@ def best_run(runs: DataFrame, group: list[str], metric: str, mode: str = "min")
     """Best checkpoint per group by the metric written in its name; the last name wins ties."""
     if mode not in ("min", "max"):
         raise ValueError("mode must be 'min' or 'max'")
-    value = F.regexp_extract("name", metric + r"=(-?[0-9]+(?:\.[0-9]+)?)", 1)
+    value = F.regexp_extract("name", re.escape(metric) + r"=(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)", 1)
     named = runs.where(value != "").withColumn(metric, value.cast("double"))
     goal = F.col(metric) if mode == "max" else -F.col(metric)
     best = F.max(F.struct(goal.alias("goal"), F.col("name").alias("name"), F.col(metric).alias("value"))).alias("_b")

@@ -23,8 +23,8 @@ def with_dense_ids(inventory: DataFrame, name: str = "entry_id_i") -> DataFrame:
 def with_auxiliary_columns(inventory: DataFrame, rings: str = "rings") -> DataFrame:
     """Id, area, interior point and local UTM zone, each only where it is missing.
 
-    Coordinates enter in metres; the interior point is converted to degrees by
-    whoever supplies ``cenlat`` and ``cenlon``.
+    Outlines in metres need ``cenlat`` and ``cenlon``. Without them the interior point is the
+    centre, and coordinates that cannot be degrees are an error.
     """
     out = with_dense_ids(require_columns(inventory, ["entry_id", rings]))
     out = out.withColumn("_edges", geometry.edges(F.col(rings)))
@@ -33,6 +33,9 @@ def with_auxiliary_columns(inventory: DataFrame, rings: str = "rings") -> DataFr
     if "cenlat" not in out.columns or "cenlon" not in out.columns:
         out = geometry.with_interior_point(out, "_edges", "_p")
         out = out.withColumns({"cenlat": F.col("_p.y"), "cenlon": F.col("_p.x")}).drop("_p")
+        wrong = out.where((F.abs("cenlat") > 90) | (F.abs("cenlon") > 180)).select("entry_id").limit(10).collect()
+        if wrong:
+            raise ValueError(f"coordinates are not degrees, so cenlat and cenlon are needed: {', '.join(str(r[0]) for r in wrong)}")
     out = out.drop("_edges")
     if "utm_zone" not in out.columns or "utm_epsg" not in out.columns:
         out = out.withColumn("utm_epsg", geometry.utm_code(F.col("cenlat"), F.col("cenlon")))
@@ -89,16 +92,12 @@ def align(driving: DataFrame, tables: list[DataFrame], key: str = "entry_id") ->
     return reduce(lambda acc, t: acc.join(t, key, "left"), tables, driving)
 
 
-def with_parameters(df: DataFrame, parameters: DataFrame, key: list[str], max_rows: int = 100_000) -> DataFrame:
-    """Join a parameter table that must have one row per key.
-
-    It is broadcast only below ``max_rows``; a larger one is joined by shuffle.
-    """
+def with_parameters(df: DataFrame, parameters: DataFrame, key: list[str]) -> DataFrame:
+    """Join a parameter table that must have one row per key; Spark's size rule picks the join."""
     n, distinct = parameters.agg(F.count(F.lit(1)), F.count_distinct(*key)).first()
     if n != distinct:
         raise ValueError(f"parameters are not unique on {key}")
-    side = F.broadcast(parameters) if n <= max_rows else parameters
-    return df.join(side, key, "inner")
+    return df.join(parameters, key, "inner")
 
 
 def keys_in_at_least(tables: list[DataFrame], n: int, key: str = "entry_id") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firnline.session import materialise
+from firnline.tables import join_null_safe
 
 _SLICE = "_slice"
 
@@ -46,7 +47,7 @@ def running_totals(
     )
     local = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     running = placed.select("*", *[F.sum(f"_v_{n}").over(local).alias(f"_r_{n}") for n in names])
-    return running.join(carried, [*keys, _SLICE]).select(
+    return join_null_safe(running, carried, [*keys, _SLICE]).select(
         *df.columns,
         *[_carry(f"_o_{n}", f"_r_{n}").alias(n) for n in names],
         *(grand or {}),

@@ -11,7 +11,7 @@ from firnline.functions import spectral
 from firnline.functions.probability import clip
 from firnline.operators.ordering import exact_quantiles, raster_row_numbers
 from firnline.session import materialise
-from firnline.tables import require_columns
+from firnline.tables import join_null_safe, require_columns
 
 CELL = ["entry_id", "y", "x"]
 
@@ -98,7 +98,7 @@ def fill_with_mean(
     means = cells.groupBy(*keys).agg(*[
         F.try_divide(F.coalesce(F.sum(c), F.lit(0.0)), n(c)).alias(f"_m_{c}") for c in columns
     ])
-    out = cells.join(means, keys)
+    out = join_null_safe(cells, means, keys)
     if mask is not None:
         gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
         out = out.withColumn(mask, F.col(mask) | gap)
@@ -127,7 +127,7 @@ def check_one_scaling(standardise: bool, minmax: bool) -> None:
 def standardise(
     cells: DataFrame, stats: DataFrame, bands: list[str], extra: list[str] | None = None, per_band: bool = True
 ) -> DataFrame:
-    """``(x - mu) / sigma``; without ``per_band`` all bands share the mean constants."""
+    """``(x - mu) / sigma``; without ``per_band`` all bands share the mean constants. NULL where sigma is 0."""
     extra = extra or []
     s = read_stats(stats, bands + extra)
     mu = {v: s[v]["mu"] for v in s}
@@ -137,13 +137,13 @@ def standardise(
         shared_sd = sum(sd[b] for b in bands) / len(bands)
         mu.update({b: shared_mu for b in bands})
         sd.update({b: shared_sd for b in bands})
-    return cells.withColumns({v: (F.col(v) - F.lit(mu[v])) / F.lit(sd[v]) for v in bands + extra})
+    return cells.withColumns({v: F.try_divide(F.col(v) - F.lit(mu[v]), F.lit(sd[v])) for v in bands + extra})
 
 
 def minmax_scale(
     cells: DataFrame, stats: DataFrame, bands: list[str], extra: list[str] | None = None, per_band: bool = True
 ) -> DataFrame:
-    """Clip to the bounds of each band, then scale by its own or by the common bounds."""
+    """Clip to the bounds of each band, then scale by its own or by the common bounds; NULL where those coincide."""
     extra = extra or []
     s = read_stats(stats, bands + extra)
     low, high = min(s[b]["vmin"] for b in bands), max(s[b]["vmax"] for b in bands)
@@ -153,14 +153,14 @@ def minmax_scale(
         clipped = clip(F.col(v), a, z)
         if v in bands and not per_band:
             a, z = low, high
-        out[v] = (clipped - F.lit(a)) / F.lit(z - a)
+        out[v] = F.try_divide(clipped - F.lit(a), F.lit(z - a))
     return cells.withColumns(out)
 
 
 def contrast_stretch(cells: DataFrame, keys: list[str], bands: list[str], q: float = 0.025, scale: bool = True) -> DataFrame:
     """Clip every band to its symmetric quantiles and scale to [0, 1].
 
-    A band whose quantiles coincide is left as it is.
+    A band whose quantiles coincide is left as it is, and so is one without values.
     """
     long = cells.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in bands
@@ -175,8 +175,8 @@ def contrast_stretch(cells: DataFrame, keys: list[str], bands: list[str], q: flo
         value = clip(F.col(b), lo, hi)
         if scale:
             value = F.least(F.try_divide(value - lo, hi - lo), F.lit(1.0))
-        out[b] = F.when(lo == hi, F.col(b)).otherwise(value)
-    joined = cells.join(wide, keys)
+        out[b] = F.when((lo == hi) | lo.isNull(), F.col(b)).otherwise(value)
+    joined = join_null_safe(cells, wide, keys, "left")
     return joined.withColumns(out).select(*cells.columns)
 
 
@@ -186,11 +186,6 @@ def every_nth(cells: DataFrame, fraction: float, key: str = "entry_id") -> DataF
     return raster_row_numbers(cells, key, "_rn").where((F.col("_rn") - 1) % step == 0).drop("_rn")
 
 
-def thinning_step(total: int, above: int = 200_000, target: int = 100_000) -> int:
-    """Step that thins a sample to about ``target`` rows once it exceeds ``above``."""
-    return int(total / target) if total > above else 1
-
-
 def terrain_inputs(slope: Column, aspect: Column) -> dict[str, Column]:
     """Slope over 90 degrees, and sine and cosine of the aspect."""
     return {

@@ -15,6 +15,7 @@ from firnline.functions import geometry
 from firnline.operators import buffers
 from firnline.operators.components import connected_components
 from firnline.session import materialise
+from firnline.tables import missing_to_null
 
 
 def with_edges(outlines: DataFrame, rings: str = "rings", grow: float = 0.0) -> DataFrame:
@@ -133,20 +134,23 @@ def require_hits(left: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 def nearest_points(left: DataFrame, right: DataFrame, start: float, left_key: str, right_key: str) -> DataFrame:
     """The nearest right point of every left point; ties go to the lower key.
 
-    A left point without coordinates gets NULL.
+    A left point whose coordinates are missing, NaN or infinite gets NULL; such right points are
+    no candidates.
 
     Points meet in 3x3 tiles as wide as the search radius. Whoever finds a point within
     the radius is done; the others go on with twice the radius. Start with a radius that
     is small against the densest spot, since dense spots are settled first.
     """
+    def finite(*names: str) -> Column:
+        return reduce(lambda a, b: a & b, [missing_to_null(F.col(c).cast("double")).isNotNull() for c in names])
+
     candidates = materialise(
-        right.select(F.col("px").alias("qx"), F.col("py").alias("qy"), F.col(right_key).alias("_q"))
+        right.where(finite("px", "py")).select(F.col("px").alias("qx"), F.col("py").alias("qy"), F.col(right_key).alias("_q"))
         .groupBy("qx", "qy").agg(F.min("_q").alias("_q"))
     )
     if candidates.isEmpty():
         raise ValueError("no candidate points")
-    known = F.col("px").isNotNull() & F.col("py").isNotNull()
-    pending, radius, done = left.select(left_key, "px", "py").where(known), float(start), []
+    pending, radius, done = left.select(left_key, "px", "py").where(finite("px", "py")), float(start), []
     while True:
         def near(c: str, r=radius) -> Column:
             return F.explode(F.sequence(F.floor(F.col(c) / r) - 1, F.floor(F.col(c) / r) + 1))

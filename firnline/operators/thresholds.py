@@ -18,9 +18,6 @@ BLUE_SWEEP = (0.0, 1500.0, 25.0)
 BOUND_SWEEP = (0.0, 0.5, 0.001)
 ONE_SIGMA_SHARE = 0.6826894921370859
 
-_EPS = 1e-9
-
-
 def steps(sweep: tuple[float, float, float]) -> int:
     """Number of thresholds of ``(start, stop, step)``, both ends included."""
     start, stop, step = sweep
@@ -28,10 +25,19 @@ def steps(sweep: tuple[float, float, float]) -> int:
 
 
 def last_passed(value: Column, sweep: tuple[float, float, float]) -> Column:
-    """Index of the last threshold ``t`` with ``value >= t``; -1 if there is none or no value."""
+    """Index of the last threshold ``t`` with ``value >= t``; -1 if there is none or no value.
+
+    The quotient only says where to look; the comparison with that threshold and the next decides.
+    """
     start, _, step = sweep
-    i = F.coalesce(F.floor((value - start) / step + _EPS), F.lit(-1))
-    return F.greatest(F.least(i, F.lit(steps(sweep) - 1)), F.lit(-1)).cast("int")
+    value = F.when(~F.isnan(value), value.cast("double"))
+    i = F.floor((F.least(F.greatest(value, F.lit(start - 2 * step)), F.lit(start + (steps(sweep) + 1) * step)) - start) / step)
+    i = F.when(value >= threshold(i + 1, sweep), i + 1).when(value < threshold(i, sweep), i - 1).otherwise(i)
+    return F.greatest(F.least(F.coalesce(i, F.lit(-1)), F.lit(steps(sweep) - 1)), F.lit(-1)).cast("int")
+
+
+def threshold(i: Column, sweep: tuple[float, float, float]) -> Column:
+    return F.lit(float(sweep[0])) + i * F.lit(float(sweep[2]))
 
 
 def _grid(n: int, name: str) -> Column:
@@ -77,7 +83,7 @@ def best_regional(sweep: DataFrame, areas: DataFrame, group: list[str] | None =
     group = group or []
     per = sweep.join(areas.select(key, *group, "area"), key)
     scale = areas.groupBy(*group).agg(
-        (F.count(F.lit(1)) / F.sum("area")).alias("_scale"), F.count(F.lit(1)).alias("_m")
+        F.try_divide(F.count(F.lit(1)), F.sum("area")).alias("_scale"), F.count(F.lit(1)).alias("_m")
     )
     means = per.groupBy(*group, "thr_1", "thr_2").agg(
         F.avg("iou").alias("iou"), F.sum(F.col("iou") * F.col("area")).alias("_wi"), F.count("iou").alias("_k")
@@ -109,7 +115,10 @@ def area_bounds(
     """
     start, _, step = sweep
     n, px = steps(sweep), gsd * gsd / 1e6
-    from_step = F.ceil((1 - (mean - std) - start) / step - _EPS)
+    low = mean - std
+    from_step = F.ceil((1 - low - start) / step)
+    from_step = F.when(low >= 1 - threshold(from_step - 1, sweep), from_step - 1).when(
+        low < 1 - threshold(from_step, sweep), from_step + 1).otherwise(from_step)
     from_step = F.greatest(F.least(F.coalesce(from_step, F.lit(n)), F.lit(n)), F.lit(0)).cast("int")
     counted = cells.select(*keys, last_passed(mean + std, sweep).alias("_u"), from_step.alias("_l"),
                            (mean >= 0.5).cast("int").alias("_p"), truth.cast("int").alias("_t"))

@@ -16,9 +16,9 @@ UNIT = (0.0, 1.0, 0.01)
 
 
 @query("a22_threshold_sweep", "A22 J16", "prob", """
-with t as (select unnest(range(101)) as i), k as (select i, count(*) filter (where floor(p / 0.01 + 1e-9) >= i and y_true = 1) as tp,
-  count(*) filter (where floor(p / 0.01 + 1e-9) >= i and y_true = 0) as fp, count(*) filter (where floor(p / 0.01 + 1e-9) < i and y_true = 1) as fn,
-  count(*) filter (where floor(p / 0.01 + 1e-9) < i and y_true = 0) as tn from prob, t group by i)
+with t as (select unnest(range(101)) as i), k as (select i, count(*) filter (where p >= cast(i as double) * cast(0.01 as double) and y_true = 1) as tp,
+  count(*) filter (where p >= cast(i as double) * cast(0.01 as double) and y_true = 0) as fp, count(*) filter (where p < cast(i as double) * cast(0.01 as double) and y_true = 1) as fn,
+  count(*) filter (where p < cast(i as double) * cast(0.01 as double) and y_true = 0) as tn from prob, t group by i)
 select round(cast(i as double) * 0.01, 6) as thr, tp, fp, fn, tn, round(tp / nullif(tp + fp + fn, 0), 6) as iou from k""")
 def threshold_sweep(spark, sf):
     s = thresholds.sweep_iou(fx.prob(spark, sf).withColumn("all", F.lit(1)), ["all"], F.col("y_true") == 1, F.col("p"), UNIT)
@@ -28,10 +28,10 @@ def threshold_sweep(spark, sf):
 RATIO, BLUE = (0.5, 1.5, 0.1), (4000.0, 6000.0, 250.0)
 SWEEP_SQL = """
 with t1 as (select unnest(range(11)) as i), t2 as (select unnest(range(9)) as j),
-v as (select entry_id, b + g >= 10000 as truth, least(greatest(floor((r / greatest(swir, 1) - 0.5) / 0.1 + 1e-9), -1), 10) as vi,
-  least(greatest(floor((b - 4000) / 250 + 1e-9), -1), 8) as vj from px where swir >= 4200),
-s as materialized (select entry_id, 0.5 + cast(i as double) * 0.1 as thr_1, 4000 + cast(j as double) * 250 as thr_2, count(*) filter (where truth and vi >= i and vj >= j) as tp,
-  count(*) filter (where not truth and vi >= i and vj >= j) as fp, count(*) filter (where truth and not (vi >= i and vj >= j)) as fn from v, t1, t2 group by all),
+h as (select cast(0.5 as double) + cast(i as double) * cast(0.1 as double) as thr_1, 4000 + cast(j as double) * 250 as thr_2 from t1, t2),
+v as (select entry_id, b + g >= 10000 as truth, r / greatest(swir, 1) as ratio, b from px where swir >= 4200),
+s as materialized (select entry_id, thr_1, thr_2, count(*) filter (where truth and ratio >= thr_1 and b >= thr_2) as tp,
+  count(*) filter (where not truth and ratio >= thr_1 and b >= thr_2) as fp, count(*) filter (where truth and not (ratio >= thr_1 and b >= thr_2)) as fn from v, h group by all),
 u as materialized (select *, tp / nullif(tp + fp + fn, 0) as iou from s)
 """
 
@@ -90,12 +90,14 @@ def _aggregated(spark, sf):
     return ensemble.aggregate_members(fx.ens(spark, sf), SEEDS)
 
 
-@query("a17_ensemble_cells", "A17", "ens", AGG_SQL + """
+@query("a17_ensemble_cells", "A17", "ens", """
+with n as (select entry_id, y, x, seed, case when (y + x + seed) % 29 <> 0 then p end as p from ens),
+a as (select entry_id, y, x, case when count(p) = 4 then avg(p) end as pred, case when count(p) = 4 then stddev_pop(p) end as pred_std, list(p order by seed) as pred_all from n group by entry_id, y, x)
 select entry_id, y, x, round(pred, 6) as pred, round(pred_std, 6) as pred_std, pred >= 0.5 as pred_b, pred - pred_std >= 0.5 as pred_low_b,
   pred + pred_std >= 0.5 as pred_high_b, round(pred_all[1], 6) as m1, round(pred_all[4], 6) as m4 from a""")
 def ensemble_cells(spark, sf):
-    a = _aggregated(spark, sf)
-    # the decisions compare sums of doubles with 0.5, so the mean is rounded the same way on both sides
+    gappy = fx.ens(spark, sf).withColumn("p", F.when((F.col("y") + F.col("x") + F.col("seed")) % 29 != 0, F.col("p")))
+    a = ensemble.aggregate_members(gappy, SEEDS)
     return rounded(a.select(
         *CELL, "pred", "pred_std", "pred_b", "pred_low_b", "pred_high_b", F.col("pred_all")[0].alias("m1"), F.col("pred_all")[3].alias("m4")))
 
@@ -250,10 +252,9 @@ def calibrated_bounds(spark, sf):
 
 BOUND_SQL = AGG_SQL + """
 , t as (select unnest(range(501)) as i),
-v as (select a.entry_id, pred, b + g >= 10000 as truth, least(greatest(floor((pred + pred_std) / 0.001 + 1e-9), -1), 500) as u,
-  least(greatest(ceil((1 - (pred - pred_std)) / 0.001 - 1e-9), 0), 501) as l from a join px using (entry_id, y, x)),
+v as (select a.entry_id, pred, b + g >= 10000 as truth, pred + pred_std as u, pred - pred_std as l from a join px using (entry_id, y, x)),
 ar as materialized (select entry_id, round(cast(i as double) * 0.001, 9) as thr, count(*) filter (where pred >= 0.5) * 1e-4 as area_pred, count(*) filter (where truth) * 1e-4 as area_true,
-  count(*) filter (where l <= i) * 1e-4 as area_lb, count(*) filter (where u >= i) * 1e-4 as area_ub from v, t group by entry_id, i)
+  count(*) filter (where l >= 1 - cast(i as double) * cast(0.001 as double)) * 1e-4 as area_lb, count(*) filter (where u >= cast(i as double) * cast(0.001 as double)) * 1e-4 as area_ub from v, t group by entry_id, i)
 """
 
 

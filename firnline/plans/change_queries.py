@@ -57,9 +57,9 @@ def _rates(spark, sf):
 
 
 @query("a31_change_rates", "A31 J21", "epochs", RATES_SQL + """
-select entry_id, num_years, round(area_rate + 3e-8, 6) as area_rate, round(area_rate_prc + 3e-8, 6) as area_rate_prc, round(area_rate_std + 3e-8, 6) as area_rate_std from r""")
+select entry_id, num_years, round(area_rate, 6) as area_rate, round(area_rate_prc, 6) as area_rate_prc, round(area_rate_std, 6) as area_rate_std from r""")
 def change_rates(spark, sf):
-    return rounded(_rates(spark, sf).select("entry_id", "num_years", "area_rate", "area_rate_prc", "area_rate_std"), nudge=3e-8)
+    return rounded(_rates(spark, sf).select("entry_id", "num_years", "area_rate", "area_rate_prc", "area_rate_std"))
 
 
 def _marked(spark, sf):
@@ -110,13 +110,13 @@ def _for_inventory(spark, sf):
 
 
 @query("a33_piecewise_extrapolation", "A33 A35 J4", "epochs", INVENTORY_SQL + """
-select al.entry_id, round(s * area_inv + i + 3e-7, 5) as area_rate_pred, round(case when ok then area_rate else s * area_inv + i end + 3e-7, 5) as area_rate, round(area_rate + 3e-7, 5) as area_rate_orig,
-  round(case when ok then area_rate_std else rs end + 3e-7, 5) as area_rate_std, round(case when ok then area_t0 else area_inv end + 3e-7, 5) as area_t0, round(case when ok then area_t0_std else s0 end + 3e-7, 5) as area_t0_std,
-  round(case when ok then area_t1 else area_inv + (s * area_inv + i) * num_years end + 3e-7, 5) as area_t1, round(case when ok then area_t1_std else s1 end + 3e-7, 5) as area_t1_std
+select al.entry_id, round(s * area_inv + i, 5) as area_rate_pred, round(case when ok then area_rate else s * area_inv + i end, 5) as area_rate, round(area_rate, 5) as area_rate_orig,
+  round(case when ok then area_rate_std else rs end, 5) as area_rate_std, round(case when ok then area_t0 else area_inv end, 5) as area_t0, round(case when ok then area_t0_std else s0 end, 5) as area_t0_std,
+  round(case when ok then area_t1 else area_inv + (s * area_inv + i) * num_years end, 5) as area_t1, round(case when ok then area_t1_std else s1 end, 5) as area_t1_std
 from al left join md on al.k = md.k""")
 def piecewise_extrapolation(spark, sf):
     e = change.extrapolate(_for_inventory(spark, sf), "piecewise-linear", LIMITS)
-    return rounded(e.select("entry_id", "area_rate_pred", "area_rate", "area_rate_orig", "area_rate_std", "area_t0", "area_t0_std", "area_t1", "area_t1_std"), 5, nudge=3e-7)
+    return rounded(e.select("entry_id", "area_rate_pred", "area_rate", "area_rate_orig", "area_rate_std", "area_t0", "area_t0_std", "area_t1", "area_t1_std"), 5)
 
 
 @query("a36_fit_quality", "A36", "epochs", INVENTORY_SQL + """
@@ -132,10 +132,10 @@ z as (select *, n*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2) as dt from
 c as (select (t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2)) / dt as a, (n*(t1*s4-s3*t2) - t0*(s1*s4-s3*s2) + s2*(s1*t2-t1*s2)) / dt as b,
   (n*(s2*t2-t1*s3) - s1*(s1*t2-t1*s2) + t0*(s1*s3-s2*s2)) / dt as c from z),
 w as (select al.*, (a + b * log10(case when area_inv > 0 then area_inv end) + c * pow(log10(case when area_inv > 0 then area_inv end), 2)) / 100 as prc from al, c)
-select entry_id, round(prc + 3e-6, 4) as area_rate_prc_pred, round(prc * area_inv + 3e-6, 4) as area_rate_pred, round(case when ok then area_rate else prc * area_inv end + 3e-6, 4) as area_rate from w""")
+select entry_id, round(prc, 4) as area_rate_prc_pred, round(prc * area_inv, 4) as area_rate_pred, round(case when ok then area_rate else prc * area_inv end, 4) as area_rate from w""")
 def quadratic_extrapolation(spark, sf):
     e = change.extrapolate(_for_inventory(spark, sf), "2d-polynomial", LIMITS)
-    return rounded(e.select("entry_id", "area_rate_prc_pred", "area_rate_pred", "area_rate"), 4, nudge=3e-6)
+    return rounded(e.select("entry_id", "area_rate_prc_pred", "area_rate_pred", "area_rate"), 4)
 
 
 @query("a14_summary_by_class", "A14 P17", "epochs", """

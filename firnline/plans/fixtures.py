@@ -77,13 +77,18 @@ def ens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two epochs per entry with uncertainty."""
+    """Two epochs per entry with uncertainty; means are whole cents, so no sum of doubles decides a last digit."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
     early = F.year("o_orderdate") <= 1997
+
+    def mean(of):
+        cents = F.sum(F.when(of, F.round(F.col("o_totalprice") * 100).cast("bigint")))
+        return F.call_function("div", cents, F.nullif(F.count(F.when(of, 1)), F.lit(0))) / 100
+
     per = o.groupBy("o_custkey").agg(
-        F.avg(F.when(early, F.col("o_totalprice"))).alias("area_t0"),
+        mean(early).alias("area_t0"),
         F.stddev_samp(F.when(early, F.col("o_totalprice"))).alias("area_t0_std"),
-        F.avg(F.when(~early, F.col("o_totalprice"))).alias("area_t1"),
+        mean(~early).alias("area_t1"),
         F.stddev_samp(F.when(~early, F.col("o_totalprice"))).alias("area_t1_std"),
     )
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
@@ -161,9 +166,9 @@ SQL = {
     union all select entry_id, y, x, 4, cast(1 as double) / (1 + exp(-(swir - 5000) / 500)) from px""",
     "epochs": """
     select o_custkey as entry_id, c_acctbal as area_inv,
-           avg(case when year(o_orderdate) <= 1997 then o_totalprice end) as area_t0,
+           cast(sum(case when year(o_orderdate) <= 1997 then cast(round(o_totalprice * 100) as bigint) end) // nullif(count(case when year(o_orderdate) <= 1997 then 1 end), 0) as double) / 100 as area_t0,
            stddev_samp(case when year(o_orderdate) <= 1997 then o_totalprice end) as area_t0_std,
-           avg(case when year(o_orderdate) > 1997 then o_totalprice end) as area_t1,
+           cast(sum(case when year(o_orderdate) > 1997 then cast(round(o_totalprice * 100) as bigint) end) // nullif(count(case when year(o_orderdate) > 1997 then 1 end), 0) as double) / 100 as area_t1,
            stddev_samp(case when year(o_orderdate) > 1997 then o_totalprice end) as area_t1_std,
            1996 as year_t0, 2000 as year_t1
     from orders join customer on o_custkey = c_custkey

@@ -259,14 +259,14 @@ t as (select entry_id, count(*) as target from sel group by entry_id),
 c as (select p.entry_id, p.y, p.x, (select min(sqrt(pow(p.y - a.y, 2) + pow(p.x - a.x, 2))) * 10 from sel a where a.entry_id = p.entry_id) as ds,
   (select min(sqrt(pow(p.y - a.y, 2) + pow(p.x - a.x, 2))) * 10 from rest a where a.entry_id = p.entry_id) as dr
   from px p where not exists (select 1 from s where s.entry_id = p.entry_id and s.y = p.y and s.x = p.x)),
-st as (select unnest(range(1, 60)) as n),
+st as (select unnest(range(1, 4)) as n),
 a as (select c.entry_id, n, count(*) as area from c, st where ds > 10 and (dr is null or dr > 10) and ds <= 10 + n * 5 and (dr is null or dr > 10 + n * 2.5) group by all),
 f as (select a.entry_id, min(n) as n from a join t using (entry_id) where area >= target group by a.entry_id)
 select t.entry_id, cast(10 + n * 5 as double) as distance from t left join f using (entry_id)""")
 def equal_area(spark, sf):
     s = _seeds(spark, sf)
     return buffers.equal_area_distance(
-        s.where("id = 0"), s.where("id = 1"), ["entry_id"], 10.0, 5.0, 10.0, fx.px(spark, sf), limit=305.0)
+        s.where("id = 0"), s.where("id = 1"), ["entry_id"], 10.0, 5.0, 10.0, fx.px(spark, sf), limit=27.0)
 
 
 # --- gap filling, terrain, resampling --------------------------------------------------------

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # What to do when the output exists.
+UNSORTED = ("map", "array", "struct", "variant", "binary")
 POLICIES = {"skip": "ignore", "overwrite": "overwrite", "error": "errorifexists"}
 
 
@@ -29,10 +29,12 @@ def write_cells(cells: DataFrame, path: str, policy: str = "error", order: tuple
 
 
 def write_layers(layers: DataFrame, path: str, policy: str = "error") -> None:
-    """A table with a ``layer`` column, one directory per layer."""
-    layers.repartition("layer", F.pmod(F.xxhash64(*[c for c in layers.columns if c != "layer"]), F.lit(64))).write.mode(
-        _mode(policy)
-    ).partitionBy("layer").parquet(path)
+    """A table with a ``layer`` column, one directory per layer.
+
+    Rows are placed by range over all columns, so the tasks of a layer follow its size.
+    """
+    order = ["layer", *[f.name for f in layers.schema.fields if f.name != "layer" and f.dataType.typeName() not in UNSORTED]]
+    layers.repartitionByRange(*order).write.mode(_mode(policy)).partitionBy("layer").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, policy: str = "error") -> None:

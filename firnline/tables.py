@@ -40,6 +40,13 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL equals NULL; the keys of ``left`` stay."""
+    named = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [left[k].eqNullSafe(named[f"_right_{k}"]) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def columns_first(df: DataFrame, first: list[str]) -> DataFrame:
     """Reorder columns so that ``first`` lead."""
     require_columns(df, first)

@@ -16,6 +16,7 @@ from firnline.operators import (
     patches, pixels, spatial, thresholds,
 )
 from firnline.operators.entry_functions import map_entries
+from firnline.sources import readers
 
 
 def rows(df, *columns):
@@ -469,10 +470,6 @@ def test_channel_order():
     assert pixels.channel_order(["R", "G"], ["NDVI"], True, ["slope"], True, True) == ["R", "G", "NDVI", "dem", "slope", "dhdt", "v"]
 
 
-def test_thinning_step():
-    assert [pixels.thinning_step(n) for n in (200_000, 200_001, 1_000_000)] == [1, 2, 10]
-
-
 def test_mean_fill_divides_by_all_cells_unless_corrected(spark):
     df = spark.createDataFrame([("a", 2.0), ("a", 4.0), ("a", None)], "entry_id string, v double")
     filled = pixels.fill_with_mean(df, ["entry_id"], ["v"]).agg(F.min("v")).first()[0]
@@ -547,11 +544,53 @@ def test_half_entropy_is_not_in_bits(spark):
 
 
 def test_incomplete_members(spark):
-    df = spark.createDataFrame([("a", 0, 0, 1, 0.2), ("a", 0, 0, 2, 0.8), ("b", 0, 0, 1, 0.2)], "entry_id string, y int, x int, seed int, p double")
-    out = ensemble.aggregate_members(df, [1, 2]).collect()
-    assert len(out) == 1 and out[0]["pred_std"] == pytest.approx(0.3) and out[0]["pred_all"] == [0.2, 0.8]
+    schema = "entry_id string, y int, x int, seed int, p double"
+    missing = [("a", 0, 0, 1, 0.2), ("a", 0, 0, 2, 0.8), ("b", 0, 0, 1, 0.2)]
     with pytest.raises(ValueError, match="b"):
-        ensemble.require_all_members(df, 2)
+        ensemble.aggregate_members(spark.createDataFrame(missing, schema), [1, 2])
+    gap = spark.createDataFrame([*missing, ("b", 0, 0, 2, None)], schema)
+    out = {r["entry_id"]: r for r in ensemble.aggregate_members(gap, [1, 2]).collect()}
+    assert out["a"]["pred_std"] == pytest.approx(0.3) and out["a"]["pred_all"] == [0.2, 0.8]
+    assert out["b"]["pred"] is None and out["b"]["pred_b"] is None and out["b"]["pred_all"] == [0.2, None]
+
+
+def test_a_seed_that_occurs_twice_is_an_error(spark):
+    df = spark.createDataFrame([("a", 0, 0, s, 0.2) for s in (1, 1, 2)], "entry_id string, y int, x int, seed int, p double")
+    with pytest.raises(Exception, match="twice"):
+        ensemble.aggregate_members(df, [1, 2]).collect()
+
+
+def test_metres_are_not_taken_for_degrees(spark):
+    corners = [(0.0, 5100000.0), (100.0, 5100000.0), (100.0, 5100100.0), (0.0, 5100100.0)]
+    df = spark.createDataFrame([("a", [corners])], "entry_id string, rings array<array<struct<x:double,y:double>>>")
+    with pytest.raises(ValueError, match="degrees"):
+        inventory.with_auxiliary_columns(df)
+
+
+def test_an_interrupted_first_run_is_repeated(spark, tmp_path):
+    path = str(tmp_path / "partials")
+    (tmp_path / "partials").mkdir()
+    (tmp_path / "partials" / "part-0.parquet").write_bytes(b"half a file")
+    assert readers.read_or_compute(spark, path, lambda: spark.range(3)).count() == 3
+    assert readers.read_or_compute(spark, path, lambda: spark.range(0)).count() == 3
+
+
+def test_a_sweep_compares_with_the_thresholds_themselves(spark):
+    sweep = (0.0, 1.0, 0.1)
+    values = [k * 0.1 + d for k in range(-1, 13) for d in (-1e-12, 0.0, 1e-12)] + [float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", thresholds.last_passed(F.col("v"), sweep).alias("i"))
+    for r in df.collect():
+        passed = [i for i in range(11) if r.v is not None and r.v >= 0.0 + i * 0.1]
+        assert r.i == (max(passed) if passed else -1), r
+
+
+def test_a_distance_beyond_the_limit_is_null(spark):
+    seeds = [("a", 0, 0)] + [("b", y, x) for y in range(12) for x in range(12)]
+    df = spark.createDataFrame(seeds, "entry_id string, y int, x int")
+    cells = spark.createDataFrame([(e, y, x) for e in "ab" for y in range(-30, 40) for x in range(-30, 40)], "entry_id string, y int, x int")
+    free = {r[0]: r[1] for r in buffers.equal_area_distance(df, df.where("false"), ["entry_id"], 0.0, 5.0, 10.0, cells, limit=400.0).collect()}
+    tight = {r[0]: r[1] for r in buffers.equal_area_distance(df, df.where("false"), ["entry_id"], 0.0, 5.0, 10.0, cells, limit=15.0).collect()}
+    assert free["a"] == tight["a"] and free["b"] > 15.0 and tight["b"] is None
 
 
 def test_deviation_columns_follow_their_column(spark):

@@ -281,7 +281,8 @@ def references(pages: DataFrame) -> DataFrame:
     """Skeletons of up to ``REFERENCES`` pages of each host: ``host, refs``, by a hash of page and address."""
     order = F.xxhash64("page_id", "url")
     chosen = pages.where("host IS NOT NULL").groupBy("host", F.pmod(order, F.lit(REFERENCES)).alias("slot")).agg(F.min(order).alias("order"))
-    met = pages.withColumn("order", order).join(chosen, ["host", "order"]).groupBy("host", "slot").agg(F.min("html").alias("html"))
+    # written first, so that its size is known when the join is planned and pages stay where they are if it is small
+    met = pages.withColumn("order", order).join(materialise(chosen), ["host", "order"]).groupBy("host", "slot").agg(F.min("html").alias("html"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -351,7 +352,7 @@ def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataF
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("x.same"), 1)).alias("equal")
     )
     template = seen.where((F.col("n") >= LEAST_PAGES) & (F.col("equal") >= CONSTANT_SHARE * F.col("n")))
-    known = template.groupBy("host").agg(F.collect_set(F.struct("ref", "at")).alias("constant"))
+    known = materialise(template.groupBy("host").agg(F.collect_set(F.struct("ref", "at")).alias("constant")))
     met = aligned.join(known, "host", "left")
 
     def fixed(s: Column) -> Column:

@@ -38,6 +38,9 @@ RECALL, LEAST_PREFIX = 0.9999, 3
 #: A block holds about so many sets and shingles at most.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 1 << 20
 
+#: Bits of a text hash that are looked up before texts are shuffled: 2^20 broadcast numbers at most.
+COARSE_BITS = 20
+
 _BINS = TREES * DEPTH
 _borrow: np.ndarray | None = None
 
@@ -287,6 +290,10 @@ def _verify(docs: DataFrame, sets: DataFrame, links: DataFrame, threshold: Fract
         "th", "component", "k1", "blocks", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int").alias("block")
     )
     texts = docs.select(F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
+    # a table of a fixed number of bits of the hash, at most, keeps most other texts out of the shuffle
+    coarse = F.col("th").bitwiseAND(F.lit((1 << COARSE_BITS) - 1))
+    near = materialise(wanted.select(coarse.alias("coarse")).distinct())
+    texts = texts.withColumn("coarse", coarse).join(F.broadcast(near), "coarse", "left_semi")
     met = texts.join(wanted, "th").select("component", "k1", "block", "blocks", "text")
     shingled = met.mapInArrow(_shingled, "component bigint, k1 bigint, block int, blocks int, shingles binary")
     # each pair of blocks of a component meets in one group

@@ -136,19 +136,26 @@ def _edges_cross(e: Column, f: Column) -> Column:
     return (t1 * t2 < 0) & (t3 * t4 < 0)
 
 
-def within_distance(a: Column, b: Column, distance) -> Column:
-    """True where two outlines (edge arrays) come within ``distance`` of each other."""
-    d = distance if isinstance(distance, Column) else F.lit(float(distance))
-    d2 = d * d
+def edge_box(e: Column, grow: float = 0.0) -> Column:
+    """Envelope of one edge, grown by a margin."""
+    g = F.lit(float(grow))
+    return F.struct(
+        (F.least(e["x1"], e["x2"]) - g).alias("minx"), (F.least(e["y1"], e["y2"]) - g).alias("miny"),
+        (F.greatest(e["x1"], e["x2"]) + g).alias("maxx"), (F.greatest(e["y1"], e["y2"]) + g).alias("maxy"),
+    )
+
 
-    def vertex_near(es: Column, other: Column) -> Column:
-        return F.exists(es, lambda e: F.exists(other, lambda f: _toward(f, e["x1"], e["y1"])["d2"] <= d2))
+def edges_within(e: Column, f: Column, distance) -> Column:
+    """True where two edges come within ``distance`` of each other."""
+    d2 = F.lit(float(distance)) * F.lit(float(distance))
+    ends = [(e, f["x1"], f["y1"]), (e, f["x2"], f["y2"]), (f, e["x1"], e["y1"]), (f, e["x2"], e["y2"])]
+    near = [_toward(g, x, y)["d2"] <= d2 for g, x, y in ends]
+    return near[0] | near[1] | near[2] | near[3] | _edges_cross(e, f)
 
-    def vertex_inside(es: Column, other: Column) -> Column:
-        return contains(other, es[0]["x1"], es[0]["y1"])
 
-    crossing = F.exists(a, lambda e: F.exists(b, lambda f: _edges_cross(e, f)))
-    return vertex_near(a, b) | vertex_near(b, a) | crossing | vertex_inside(a, b) | vertex_inside(b, a)
+def holds_first_vertex(es: Column, other: Column) -> Column:
+    """True where the first vertex of ``other`` lies inside an outline."""
+    return contains(es, other[0]["x1"], other[0]["y1"])
 
 
 def utm_code(lat: Column, lon: Column) -> Column:

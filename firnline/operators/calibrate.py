@@ -65,22 +65,23 @@ def best_temperature(
     """
     samples = materialise(samples.select(key, p, y))  # read once per pass
     low, high = (float(x) for x in limits)
-    bracket = samples.select(key).distinct().select(key, F.lit(low).alias("_a"), F.lit(high).alias("_z"))
+    # the first bracket is the same for all; later ones come from a written table of one row per member
+    bounded = samples.withColumns({"_a": F.lit(low), "_z": F.lit(high)})
     width = (high - low) / (points - 1)
     while True:
         grid = F.transform(
             F.sequence(F.lit(0), F.lit(points - 1)),
             lambda i: F.col("_a") + i * (F.col("_z") - F.col("_a")) / (points - 1),
         )
-        losses = temperature_losses(samples.join(bracket, key), [key], F.col(p), F.col(y), grid)
+        losses = temperature_losses(bounded, [key], F.col(p), F.col(y), grid)
         best = materialise(losses.groupBy(key).agg(F.min(F.struct("nll", "t")).alias("_b")).select(
             key, F.col("_b.t").alias("best_t"), F.col("_b.nll").alias("nll")
         ))
         if width <= tolerance:
             return best
-        bracket = best.select(
+        bounded = samples.join(best.select(
             key, F.greatest(F.col("best_t") - width, F.lit(low)).alias("_a"), F.least(F.col("best_t") + width, F.lit(high)).alias("_z")
-        )
+        ), key)
         width = 2 * width / (points - 1)
 
 

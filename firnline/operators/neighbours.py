@@ -23,43 +23,32 @@ def nearest_fill(cells: DataFrame, value: str, to_fill: Column, ok: Column, k: i
     """Mean of the ``k`` nearest usable cells of the entry, ties included.
 
     Returns ``entry_id, y, x, filled``. A usable cell without a value is no source. Entries
-    with fewer than ``k`` sources are left out. Cells meet in square blocks as wide as the search radius, so a large entry is
-    spread out; cells that do not find ``k`` neighbours go on with twice the radius.
+    with fewer than ``k`` sources are left out. Cells meet in small blocks of fixed size. The
+    sources of each block are counted first; the counts bound how far the ``k``-th source of
+    a block of gaps can be, and only blocks within that bound are joined cell by cell. The
+    pairs of a gap thus follow ``k`` and the rim of its hole, not the area of the hole.
     """
+    side = max(1, math.isqrt(k))
     base = materialise(
-        cells.select(*CELL, F.col(value).cast("double").alias("_v"), to_fill.alias("_fill"), ok.alias("_ok"))
-        .where(F.col("_fill") | F.col("_ok"))
+        cells.select(
+            *CELL, F.col(value).cast("double").alias("_v"), to_fill.alias("_fill"), ok.alias("_ok"),
+            F.floor(F.col("y") / side).alias("_by"), F.floor(F.col("x") / side).alias("_bx"),
+        ).where(F.col("_fill") | F.col("_ok"))
     )
-    sources = base.where(F.col("_ok") & F.col("_v").isNotNull()).select(*CELL, "_v")
-    enough = sources.groupBy("entry_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
-    pending = base.where("_fill").select(*CELL).join(enough.select("entry_id"), "entry_id", "left_semi")
-    radius = max(1, math.ceil(math.sqrt(k)))
-    done = []
-    while True:
-        tried = materialise(_nearest_round(pending, sources, radius, k))
-        done.append(tried.where(F.col("filled").isNotNull()))
-        pending = tried.where(F.col("filled").isNull()).select(*CELL)
-        if pending.isEmpty():
-            return reduce(lambda a, b: a.unionByName(b), done)
-        radius *= 2
-
+    sources = base.where(F.col("_ok") & F.col("_v").isNotNull()).select(*CELL, *_BLOCK, "_v")
+    counts = materialise(sources.groupBy("entry_id", *_BLOCK).agg(F.count(F.lit(1)).alias("_n")))
+    enough = counts.groupBy("entry_id").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k)
+    gaps = base.where("_fill").select(*CELL, *_BLOCK).join(enough.select("entry_id"), "entry_id", "left_semi")
+    near = materialise(_blocks_in_reach(gaps.select("entry_id", *_BLOCK).distinct(), counts, side, k))
 
-def _nearest_round(pending: DataFrame, sources: DataFrame, radius: int, k: int) -> DataFrame:
-    def around(c: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(c) / radius) - 1, F.floor(F.col(c) / radius) + 1))
-
-    probes = (
-        pending.select("entry_id", F.col("y").alias("fy"), F.col("x").alias("fx"))
-        .withColumn("_by", around("fy")).withColumn("_bx", around("fx"))
-    )
-    blocks = sources.withColumns({"_by": F.floor(F.col("y") / radius), "_bx": F.floor(F.col("x") / radius)})
-    dy, dx = F.col("y") - F.col("fy"), F.col("x") - F.col("fx")
     target = ["entry_id", "fy", "fx"]
+    probes = gaps.select("entry_id", *_BLOCK, F.col("y").alias("fy"), F.col("x").alias("fx")).join(near, ["entry_id", *_BLOCK])
+    dy, dx = F.col("y") - F.col("fy"), F.col("x") - F.col("fx")
+    others = sources.select("entry_id", F.col("_by").alias("_sy"), F.col("_bx").alias("_sx"), "y", "x", "_v")
     by_distance = (
-        probes.join(blocks, ["entry_id", "_by", "_bx"])
-        .select(*target, (dy * dy + dx * dx).alias("_d2"), "_v")
-        .where(F.col("_d2") <= radius * radius)
-        .repartition(*[F.col(c) for c in target])
+        probes.join(others, ["entry_id", "_sy", "_sx"])
+        .select(*target, (dy * dy + dx * dx).alias("_d2"), "_v", "_reach")
+        .where(F.col("_d2") <= F.col("_reach"))
         .groupBy(*target, "_d2").agg(F.count("_v").alias("_n"), F.sum("_v").alias("_s"))
     )
     w = Window.partitionBy(*target).orderBy("_d2").rowsBetween(Window.unboundedPreceding, 0)
@@ -67,9 +56,60 @@ def _nearest_round(pending: DataFrame, sources: DataFrame, radius: int, k: int)
         *target, "_d2", F.sum("_n").over(w).alias("_cn"), F.sum("_s").over(w).alias("_cs")
     ).where(F.col("_cn") >= k)
     found = reached.groupBy(*target).agg(F.min_by(F.col("_cs") / F.col("_cn"), "_d2").alias("filled"))
-    return pending.join(
-        found.select("entry_id", F.col("fy").alias("y"), F.col("fx").alias("x"), "filled"), CELL, "left"
-    )
+    return found.select("entry_id", F.col("fy").alias("y"), F.col("fx").alias("x"), "filled")
+
+
+_BLOCK = ["_by", "_bx"]
+
+
+def _blocks_in_reach(gap_blocks: DataFrame, counts: DataFrame, side: int, k: int) -> DataFrame:
+    """Source blocks that may hold one of the ``k`` nearest sources of a cell in a gap block.
+
+    Returns ``entry_id, _by, _bx, _sy, _sx, _reach`` with the squared distance within which
+    every cell of the gap block has its ``k`` sources. The size of the tiles in which blocks
+    meet doubles until three by three of them hold ``k`` sources.
+    """
+    def tile(c: str, size: Column) -> Column:
+        return F.floor(F.col(c) / size)
+
+    def around(c: str, size: Column, n: int) -> Column:
+        return F.explode(F.sequence(tile(c, size) - n, tile(c, size) + n))
+
+    pending, settled, size = gap_blocks, [], 1
+    while True:
+        s = F.lit(size)
+        tiles = counts.groupBy("entry_id", tile("_by", s).alias("_ty"), tile("_bx", s).alias("_tx")).agg(F.sum("_n").alias("_n"))
+        probes = pending.withColumn("_ty", around("_by", s, 1)).withColumn("_tx", around("_bx", s, 1))
+        held = probes.join(tiles, ["entry_id", "_ty", "_tx"]).groupBy("entry_id", *_BLOCK).agg(F.sum("_n").alias("_n"))
+        tried = materialise(pending.join(held, ["entry_id", *_BLOCK], "left"))
+        settled.append((size, tried.where(F.col("_n") >= k).select("entry_id", *_BLOCK, s.alias("_size"))))
+        pending = tried.where(F.col("_n").isNull() | (F.col("_n") < k)).select("entry_id", *_BLOCK)
+        if pending.isEmpty():
+            break
+        size *= 2
+    sized = reduce(lambda a, b: a.unionByName(b), [df for _, df in settled])
+    sizes = F.array(*[F.lit(n) for n, _ in settled])
+    tiled = counts.select("entry_id", F.col("_by").alias("_sy"), F.col("_bx").alias("_sx"), "_n", F.explode(sizes).alias("_size"))
+    tiled = tiled.withColumns({"_ty": tile("_sy", F.col("_size")), "_tx": tile("_sx", F.col("_size"))})
+
+    def met(blocks: DataFrame, n: int) -> DataFrame:
+        size = F.col("_size")
+        return blocks.withColumn("_ty", around("_by", size, n)).withColumn("_tx", around("_bx", size, n)).join(
+            tiled, ["entry_id", "_size", "_ty", "_tx"]
+        )
+
+    down, right = F.abs(F.col("_sy") - F.col("_by")), F.abs(F.col("_sx") - F.col("_bx"))
+
+    def squared(*cells: Column) -> Column:
+        return reduce(lambda a, b: a + b, [c * c for c in cells])
+
+    far = squared((down + 1) * side - 1, (right + 1) * side - 1)
+    rank = Window.partitionBy("entry_id", *_BLOCK).orderBy("_far").rangeBetween(Window.unboundedPreceding, 0)
+    held = met(sized, 1).withColumn("_far", far).withColumn("_c", F.sum("_n").over(rank)).where(F.col("_c") >= k)
+    bound = held.groupBy("entry_id", *_BLOCK, "_size").agg(F.min("_far").alias("_reach"))
+    # three tiles away is further than any cell of the nine can be
+    close = squared(F.greatest((down - 1) * side + 1, F.lit(0)), F.greatest((right - 1) * side + 1, F.lit(0)))
+    return met(bound, 3).where(close <= F.col("_reach")).select("entry_id", *_BLOCK, "_sy", "_sx", "_reach")
 
 
 def elevation_fill(cells: DataFrame, value: str, elevation: str, to_fill: Column, ok: Column, k: int = FILL_CELLS) -> DataFrame:

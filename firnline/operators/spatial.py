@@ -107,15 +107,23 @@ def points_in_outlines(points: DataFrame, outlines: DataFrame, attributes: list[
 def close_pairs(outlines: DataFrame, distance: float, key: str = "entry_id") -> DataFrame:
     """Pairs ``a < b`` of outlines within ``distance`` of each other, each once."""
     half = distance / 2
-    boxed = with_edges(outlines.select(key, "rings"), grow=half)
-    left = boxed.select(F.col(key).alias("a"), "box")
-    right = boxed.select(F.col(key).alias("b"), "box")
-    # both boxes grow by half the distance, so boxes of close outlines meet; edges, which
-    # can be long, join only the pairs that are left
-    near = _meeting(left, right).where(F.col("a") < F.col("b")).select("a", "b")
-    near = near.join(boxed.select(F.col(key).alias("a"), F.col("edges").alias("ea")), "a")
-    near = near.join(boxed.select(F.col(key).alias("b"), F.col("edges").alias("eb")), "b")
-    return near.where(geometry.within_distance(F.col("ea"), F.col("eb"), distance)).select("a", "b")
+    boxed = materialise(with_edges(outlines.select(key, "rings"), grow=half))
+    # both boxes grow by half the distance, so the boxes of what is close meet
+    edges = materialise(boxed.select(key, F.explode("edges").alias("edge")).withColumn("box", geometry.edge_box(F.col("edge"), half)))
+    left = edges.select(F.col(key).alias("a"), F.col("edge").alias("ea"), "box")
+    right = edges.select(F.col(key).alias("b"), F.col("edge").alias("eb"), "box")
+    close = _meeting(left, right).where(F.col("a") < F.col("b")).where(
+        geometry.edges_within(F.col("ea"), F.col("eb"), distance)
+    ).select("a", "b").distinct()
+    close = materialise(close)
+    # what no edges bring together can still lie one inside the other: a test of one vertex
+    whole = boxed.select(key, "box")
+    rest = _meeting(whole.select(F.col(key).alias("a"), "box"), whole.select(F.col(key).alias("b"), "box"))
+    rest = rest.where(F.col("a") < F.col("b")).select("a", "b").join(close, ["a", "b"], "left_anti")
+    rest = rest.join(boxed.select(F.col(key).alias("a"), F.col("edges").alias("ea")), "a")
+    rest = rest.join(boxed.select(F.col(key).alias("b"), F.col("edges").alias("eb")), "b")
+    inside = geometry.holds_first_vertex(F.col("eb"), F.col("ea")) | geometry.holds_first_vertex(F.col("ea"), F.col("eb"))
+    return close.unionByName(rest.where(inside).select("a", "b"))
 
 
 def box_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions import geometry
 from firnline.operators import buffers, inventory, neighbours, spatial
+from firnline.operators.ordering import block_row_numbers
 from firnline.plans import fixtures as fx
 from firnline.plans.registry import query, rounded
 from firnline.session import materialise
@@ -296,6 +297,26 @@ def large_holes(spark, sf):
     return rounded(neighbours.nearest_fill(fx.px(spark, sf), "b", gap, ~gap))
 
 
+WIDE_SQL = """
+with r as (select row_number() over (order by o_orderkey) - 1 as n, floor(o_totalprice) as b, (select count(*) from orders) as m from orders),
+w as (select cast(1 as bigint) as entry_id, n // 1000 as y, n % 1000 as x, b, n % 1000 between 100 and 100 + m // 300 as gap from r),
+ok as (select y, x, b from w where not gap), tf as (select y, x from w where gap),
+d as (select tf.y, tf.x, (tf.y - ok.y) * (tf.y - ok.y) + (tf.x - ok.x) * (tf.x - ok.x) as d2, b from tf, ok),
+q as (select *, row_number() over (partition by y, x order by d2) as rn from d),
+z as (select y, x, min(case when rn = 30 then d2 end) as r2 from q group by y, x)
+"""
+
+
+@query("w8_growing_hole", "W8", "", WIDE_SQL + """
+select cast(1 as bigint) as entry_id, d.y, d.x, round(avg(b), 6) as filled from d join z on d.y = z.y and d.x = z.x where d2 <= r2 group by d.y, d.x""")
+def growing_hole(spark, sf):
+    o = fx.table(spark, sf, "orders").select(F.lit(1).cast("bigint").alias("entry_id"), "o_orderkey", F.floor("o_totalprice").cast("double").alias("b"))
+    n, m = F.col("rn") - 1, o.count()
+    wide = block_row_numbers(o, ["entry_id"], "o_orderkey").select(
+        "entry_id", F.floor(n / 1000).alias("y"), (n % 1000).alias("x"), "b", (n % 1000).between(100, 100 + m // 300).alias("gap"))
+    return rounded(neighbours.nearest_fill(wide, "b", F.col("gap"), ~F.col("gap")))
+
+
 HYPSO_SQL = """
 with m as (select entry_id, y, x, b, floor(dem / 7) as h, swir >= 4200 as ok from px),
 s as (select entry_id, h, b, row_number() over (partition by entry_id order by h) - 1 as i, count(*) over (partition by entry_id) as n from m where ok),

@@ -4,7 +4,7 @@ import importlib
 
 MODULES = [
     "image_queries", "inventory_queries", "pixel_queries", "spatial_queries", "evaluation_queries",
-    "calibration_queries", "change_queries", "io_queries", "gap_queries",
+    "calibration_queries", "change_queries", "io_queries", "gap_queries", "composed_queries",
 ]
 
 

@@ -311,7 +311,7 @@ s as (select *, 1 / (1 + exp(-(b - avg(b) over (partition by entry_id, y_center,
 """
 
 
-def _scored(spark, sf):
+def scored_patches(spark, sf):
     cut = patches.cut(fx.px(spark, sf), _grid(spark, sf), RADIUS)
     return patches.score(cut, ["b"], 2 * RADIUS, logistic_scorer)
 
@@ -319,14 +319,14 @@ def _scored(spark, sf):
 @query("d2_patch_scores", "D2", "px", SCORED_SQL + """
 select entry_id, y_center, x_center, y, x, round(p, 6) as p from s""")
 def patch_scores(spark, sf):
-    return rounded(_scored(spark, sf))
+    return rounded(scored_patches(spark, sf))
 
 
 @query("a38_patch_mosaic", "A38 D2", "px", SCORED_SQL + """
 select entry_id, y, x, round(avg(p), 6) as pred from s where y - y_center >= -3 and y - y_center < 3 and x - x_center >= -3 and x - x_center < 3
 group by entry_id, y, x""")
 def patch_mosaic(spark, sf):
-    return rounded(patches.mosaic(_scored(spark, sf), RADIUS, 0.125))
+    return rounded(patches.mosaic(scored_patches(spark, sf), RADIUS, 0.125))
 
 
 @query("w11_proportional_subsample", "W11", "px", """

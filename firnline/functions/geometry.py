@@ -153,6 +153,12 @@ def edges_within(e: Column, f: Column, distance) -> Column:
     return near[0] | near[1] | near[2] | near[3] | _edges_cross(e, f)
 
 
+def outline_inside(inner: Column, outer: Column) -> Column:
+    """True where every vertex of an outline lies inside another one and no edges cross."""
+    out = F.exists(inner, lambda e: ~contains(outer, e["x1"], e["y1"]))
+    return ~out & ~F.exists(inner, lambda e: F.exists(outer, lambda f: _edges_cross(e, f)))
+
+
 def holds_first_vertex(es: Column, other: Column) -> Column:
     """True where the first vertex of ``other`` lies inside an outline."""
     return contains(es, other[0]["x1"], other[0]["y1"])

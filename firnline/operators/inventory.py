@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions import geometry
 from firnline.operators.ordering import row_numbers
-from firnline.tables import columns_first, require_columns
+from firnline.tables import columns_first, missing_to_null, require_columns
 
 # Fixed value: objects below one 10 m pixel (km2) are dropped.
 MIN_OBJECT_KM2 = 1e-4
@@ -172,6 +172,25 @@ def require_covered(cells: DataFrame, extents: DataFrame, key: str = "entry_id")
     return cells
 
 
+def check_regions(regions: DataFrame, parents: DataFrame, key: str = "entry_id") -> DataFrame:
+    """What a region must fulfil, by key: ``one_geometry, known_crs, flat, inside, valid``.
+
+    ``regions`` has ``rings`` and ``crs``, ``parents`` has ``rings``. A region is one row with a
+    known reference system and finite x and y only, and lies inside its parent, judged by
+    its edges and not by its box. A region without a parent is not inside.
+    """
+    finite = lambda p: missing_to_null(p["x"]).isNotNull() & missing_to_null(p["y"]).isNotNull()
+    flat = F.forall(F.flatten("rings"), finite) & (F.size(F.flatten("rings")) >= 3)
+    outer = parents.select(key, geometry.edges(F.col("rings")).alias("_outer"))
+    met = regions.select(key, "crs", "rings", geometry.edges(F.col("rings")).alias("_inner")).join(outer, key, "left")
+    inside = F.coalesce(geometry.outline_inside(F.col("_inner"), F.col("_outer")), F.lit(False))
+    checked = met.groupBy(key).agg(
+        (F.count(F.lit(1)) == 1).alias("one_geometry"), F.bool_and(F.col("crs").isNotNull()).alias("known_crs"),
+        F.bool_and(F.coalesce(flat, F.lit(False))).alias("flat"), F.bool_and(inside).alias("inside"),
+    )
+    return checked.withColumn("valid", F.col("one_geometry") & F.col("known_crs") & F.col("flat") & F.col("inside"))
+
+
 def in_roi(box: Column, parent: Column) -> Column:
     """A region is valid when it lies inside its parent."""
     return geometry.box_inside(box, parent)

@@ -133,3 +133,20 @@ def subset_assertion(spark, sf):
     i = fx.img(spark, sf).select("entry_id", "n")
     c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("entry_id"))
     return inventory.assert_subset(i.join(c, "entry_id", "left_semi"), c)
+
+
+@query("x21_region_checks", "X21", "poly", """
+select entry_id, entry_id % 7 <> 0 as one_geometry, entry_id % 5 <> 0 as known_crs, entry_id % 3 <> 0 as flat, entry_id % 3 <> 0 and entry_id % 4 <> 0 as inside,
+ entry_id % 7 <> 0 and entry_id % 5 <> 0 and entry_id % 3 <> 0 and entry_id % 4 <> 0 as valid from poly""")
+def region_checks(spark, sf):
+    p = fx.poly(spark, sf)
+    e = F.col("entry_id")
+    # a square turned by 45 degrees; moved by 1.2 half sides its box still meets the parent, but a corner is out
+    reach, shift = F.col("half") * 0.9, F.when(e % 4 == 0, F.col("half") * 1.2).otherwise(F.lit(0.0))
+    corner = lambda dx, dy: F.struct(
+        F.when((e % 3 == 0) & F.lit(dx == 1), F.lit(float("nan"))).otherwise(F.col("cx") + shift + dx * reach).alias("x"), (F.col("cy") + dy * reach).alias("y"))
+    regions = p.select(
+        "entry_id", F.when(e % 5 != 0, F.lit("epsg:32632")).alias("crs"),
+        F.array(F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1))).alias("rings"))
+    twice = regions.unionByName(regions.where("entry_id % 7 = 0"))
+    return inventory.check_regions(twice, p)

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Pieces hold a space mark at their start only, so a text is encoded word by word, and each
-distinct word of the corpus is encoded once: its substrings of bounded length are exploded
+Pieces hold a space mark at their start only, and no piece mixes letters with certain other
+characters, so a text is encoded word by word, and each distinct word of the corpus is
+encoded once: its substrings of bounded length are exploded
 and equi-joined to the piece table, the edges that remain are grouped by word, and a fold
 with Spark's ``aggregate`` picks the path. For a unigram model the fold is Viterbi. A BPE
 model has no path scores to add up: there the fold takes, step by step, the best-scored
@@ -15,6 +16,8 @@ nothing extra.
 from __future__ import annotations
 
 import re
+import string
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm.columns import read_table, text_or_empty
+from firnline.llm.columns import read_table
 from firnline.llm.kneser_ney import _find, _runs, _shuffled, _slices, _top
 from firnline.llm.shared_files import mapped_array, new_folder, write_array
 from firnline.llm.token_counts import vocabulary_path
+from firnline.session import materialise
 
 QUERY = "op5_sentencepiece"
 
 MARK = "▁"
-WORD = f"{MARK}*[^{MARK}]+|{MARK}+"
 #: The lattice of a word keeps its symbol bounds in a 64-bit mask; longer words go through the library.
 LONGEST = 60
 #: Encoded words that a worker remembers.
@@ -42,13 +45,36 @@ REMEMBERED = 300_000
 
 @dataclass
 class Pieces:
-    """The content of a model: ``rows`` are the pieces that text can match, ``bytes_`` the ids of single bytes."""
+    """The content of a model: ``rows`` are the pieces that text can match, ``bytes_`` the ids of single bytes.
+
+    ``apart`` are characters that no piece joins with any others, so that words end at them.
+    """
 
     path: str
     kind: str
     rows: list[tuple[str, int, float]]
     bytes_: list[int]
     longest: int
+    apart: str = ""
+
+    @property
+    def word(self) -> str:
+        """Pattern of a word, for Java and Python alike."""
+        apart = "".join(f"\\u{ord(c):04x}" for c in self.apart)
+        return f"{MARK}*(?:[^{MARK}{apart}]+|[{apart}]+)|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+"
+
+
+def standing_apart(pieces: list[str]) -> str:
+    """Punctuation and digits, with the other signs that pieces join to them; empty if they meet letters."""
+    apart = set(string.punctuation + string.digits)
+    while True:
+        mixed = [p for p in pieces if len({c in apart for c in p.lstrip(MARK)}) > 1]
+        more = {c for p in mixed for c in p.lstrip(MARK) if c not in apart}
+        if not mixed:
+            return "".join(sorted(apart))
+        if any(unicodedata.category(c)[0] in "LM" or ord(c) > 0xFFFF for c in more):
+            return ""
+        apart |= more
 
 
 def read_model(path: str, kind: str = "bpe") -> Pieces:
@@ -64,53 +90,92 @@ def read_model(path: str, kind: str = "bpe") -> Pieces:
         raise ValueError("only models with byte fallback and without normalisation are supported")
     if any(MARK in p.lstrip(MARK) for p, _, _ in rows) or not any(p == MARK for p, _, _ in rows):
         raise ValueError("pieces must hold space marks at their start only, and the mark must be one")
-    return Pieces(path, kind, rows, bytes_, max(len(p) for p, _, _ in rows))
+    names = [p for p, _, _ in rows]
+    return Pieces(path, kind, rows, bytes_, max(map(len, names)), standing_apart(names))
+
+
+def splitter(pieces: Pieces):
+    """Function from a text to its words, each with the space marks in front of it; none in an empty text."""
+    find = re.compile(pieces.word).findall
+    return lambda text: find(MARK + text.replace(" ", MARK)) if text else []
 
 
-def words(text: Column) -> Column:
-    """The words of a text, each with the space marks in front of it; none in an empty text."""
-    marked = F.concat(F.lit(MARK), F.translate(text, " ", MARK))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(WORD), F.lit(0)))
+def distinct_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """Every word of ``docs`` once; tasks send each of their words once, or once in every ``REMEMBERED``."""
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seen = splitter(pieces), set()
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                seen.update(split(text or ""))
+                if len(seen) > REMEMBERED:
+                    yield pa.record_batch([pa.array(list(seen), pa.string())], ["word"])
+                    seen = set()
+        yield pa.record_batch([pa.array(list(seen), pa.string())], ["word"])
+
+    return docs.select("text").mapInArrow(collect, "word string").distinct()
 
 
 def lattice(distinct: DataFrame, pieces: Pieces) -> DataFrame:
-    """``distinct`` (``word``) with ``edges``, the pieces at each place, best score first: ``s, e, id, score, ends, inner``.
+    """``distinct`` (``word``) with ``edges``, the pieces at each place, best score first.
 
-    ``ends`` and ``inner`` are masks of the places at and strictly between the ends.
+    An edge is one number that holds the rank of the score, the two places and the id, see ``_edge``.
     """
-    table = distinct.sparkSession.createDataFrame(pieces.rows, "piece string, id int, score double")
-    substring = F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(0), F.char_length("word") - 1),
-        lambda s: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.char_length("word") - s)),
-            lambda n: F.struct(s.alias("s"), (s + n).alias("e"), F.substring("word", s + 1, n).alias("piece")),
-        ),
-    ))).alias("x")
-    # as many rows as the vocabulary of the model; every word begins with a mark and so meets at least one
-    met = distinct.select("word", substring).select("word", "x.*").join(F.broadcast(table), "piece")
-    edge = F.struct(
-        (-F.col("score")).alias("order"), "s", "e", "id", "score",
-        F.expr("shiftleft(1L, s) | shiftleft(1L, e)").alias("ends"),
-        F.expr("shiftleft(shiftleft(1L, e - s - 1) - 1, s + 1)").alias("inner"),
-    )
+    scores = sorted({-s for _, _, s in pieces.rows})
+    ranks = {s: r for r, s in enumerate(scores)}
+    rows = [(p, i, ranks[-s]) for p, i, s in pieces.rows]
+    table = distinct.sparkSession.createDataFrame(rows, "name string, id int, rank int").withColumn("hash", F.xxhash64("name"))
+    starts = distinct.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
+    spans = starts.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.char_length("word") - F.col("s")))).alias("n"))
+    substrings = spans.select("word", "s", (F.col("s") + F.col("n")).alias("e"), F.substring("word", F.col("s") + 1, F.col("n")).alias("piece"))
+    # as many rows as the vocabulary of the model; a word without any piece keeps its first character
+    # the join key is a hash, which is looked up faster than text; the texts are compared where hashes meet
+    hashed = substrings.withColumn("hash", F.xxhash64("piece"))
+    met = hashed.join(F.broadcast(table), "hash", "left").where("(piece >= name AND piece <= name) OR (s = 0 AND e = 1)")
+    packed = F.expr("IF(piece >= name AND piece <= name, shiftleft(bigint(rank), 36) | shiftleft(bigint(s), 30) | shiftleft(bigint(e), 24) | id, NULL)")
     # the words are already placed by word, so grouping them needs no shuffle
-    return met.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return met.groupBy("word").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
+
+
+def _edge(x: Column) -> dict[str, Column]:
+    """Parts of a packed edge: ids and ranks of 24 bits at most, places of 6."""
+    return {
+        "rank": F.shiftright(x, 36).cast("int"), "s": F.shiftright(x, 30).bitwiseAND(F.lit(63)).cast("int"),
+        "e": F.shiftright(x, 24).bitwiseAND(F.lit(63)).cast("int"), "id": x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int"),
+    }
+
+
+def _mask(s: Column, e: Column) -> tuple[Column, Column]:
+    """Masks of the two places and of the places strictly between them."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+    return bit(s).bitwiseOR(bit(e)), bit(e) - bit(s + 1)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, where a plain expression would be repeated in every lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def merged(edges: Column, length: Column) -> Column:
     """Mask of the symbol bounds that byte-pair merging leaves, by folding over the edges of the lattice."""
-    joins = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
-    all_bounds = F.expr("shiftleft(1L, char_length(word) + 1) - 1")
+    def masks(x: Column) -> Column:
+        ends, inner = _mask(_edge(x)["s"], _edge(x)["e"])
+        return F.struct(ends.alias("ends"), inner.alias("inner"))
+
+    joins = F.transform(F.filter(edges, lambda x: _edge(x)["e"] - _edge(x)["s"] > 1), masks)
+    all_bounds = F.call_function("shiftleft", F.lit(1).cast("bigint"), length + 1) - 1
+
+    def fold(joins: Column) -> Column:
+        def step(bounds: Column, _: Column) -> Column:
+            fits = F.filter(joins, lambda x: (bounds.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bounds.bitwiseAND(x["inner"])) == 1))
+            best = F.get(fits, F.lit(0))
+            return F.coalesce(bounds.bitwiseAND(F.bitwise_not(best["inner"])), bounds)
 
-    def step(bounds: Column, _: Column) -> Column:
-        fits = F.filter(joins, lambda x: (bounds.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bounds.bitwiseAND(x["inner"])) == 1))
-        best = F.get(fits, F.lit(0))
-        return F.coalesce(bounds.bitwiseAND(F.bitwise_not(best["inner"])), bounds)
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), all_bounds, step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), all_bounds, step)
+    return let(joins, fold)
 
 
-def viterbi(edges: Column, length: Column, unknown: float) -> Column:
+def viterbi(edges: Column, length: Column, scores: list[float], unknown: float) -> Column:
     """Mask of the bounds of the best-scored path; a character without a piece scores ``unknown``.
 
     Of equal paths, the one whose last edge starts first is taken.
@@ -119,9 +184,12 @@ def viterbi(edges: Column, length: Column, unknown: float) -> Column:
         F.when(i == 0, F.lit(0.0)).otherwise(F.lit(float("-inf"))).alias("score"), F.when(i == 0, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("bounds")
     ))
     singles = F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.struct((i + 1).alias("e"), i.alias("s"), F.lit(unknown).alias("score")))
-    known = F.transform(edges, lambda x: F.struct(x["e"].alias("e"), x["s"].alias("s"), x["score"].alias("score")))
-    missing = F.filter(singles, lambda u: ~F.exists(edges, lambda x: (x["s"] == u["s"]) & (x["e"] == u["e"])))
-    in_order = F.array_sort(F.concat(known, missing))
+    by_rank = F.array(*map(F.lit, scores))
+    known = F.transform(edges, lambda x: F.struct(
+        _edge(x)["e"].alias("e"), _edge(x)["s"].alias("s"), F.element_at(by_rank, _edge(x)["rank"] + 1).alias("score")
+    ))
+    missing = F.filter(singles, lambda u: ~F.exists(edges, lambda x: (_edge(x)["s"] == u["s"]) & (_edge(x)["e"] == u["e"])))
+    in_order = F.sort_array(F.concat(known, missing))
 
     def step(best: Column, x: Column) -> Column:
         before = F.get(best, x["s"])
@@ -133,13 +201,22 @@ def viterbi(edges: Column, length: Column, unknown: float) -> Column:
     return F.aggregate(in_order, start, step, lambda best: F.element_at(best, length + 1)["bounds"])
 
 
-def path_ids(edges: Column, bounds: Column, byte_ids: list[int]) -> Column:
-    """Ids along the symbols between the bounds; characters without a piece become their bytes."""
-    taken = F.filter(edges, lambda x: bounds.bitwiseAND(x["ends"].bitwiseOR(x["inner"])) == x["ends"])
-    symbols = F.transform(taken, lambda x: F.struct(x["s"].alias("s"), F.array(x["id"]).alias("ids")))
+def path_ids(folded: DataFrame, bounds: Column, byte_ids: list[int]) -> DataFrame:
+    """``word, ids`` along the symbols between ``bounds``; characters without a piece become their bytes."""
+    def on_path(b: Column) -> Column:
+        """The edges with both ends at bounds and none between, as numbers that sort by place."""
+        def fits(x: Column) -> Column:
+            ends, inner = _mask(_edge(x)["s"], _edge(x)["e"])
+            return b.bitwiseAND(ends.bitwiseOR(inner)) == ends
+
+        return F.sort_array(F.transform(F.filter("edges", fits), lambda x: x.bitwiseAND(F.lit((1 << 36) - 1))))
+
+    def parts(x: Column) -> Column:
+        return F.struct(*[_edge(x)[n].alias(n) for n in ("s", "e", "id")])
+
+    taken = folded.select("word", F.transform(let(bounds, on_path), parts).alias("taken"))
+    covered = F.aggregate("taken", F.lit(0), lambda n, x: n + x["e"] - x["s"])
     table = F.array(*map(F.lit, byte_ids))
-    places = F.sequence(F.lit(0), F.char_length("word") - 1)
-    bare = F.filter(places, lambda i: ~F.exists(taken, lambda x: (x["s"] <= i) & (i < x["e"])))
 
     def as_bytes(i: Column) -> Column:
         code = F.hex(F.encode(F.substring("word", i + 1, F.lit(1)), "UTF-8"))
@@ -148,7 +225,11 @@ def path_ids(edges: Column, bounds: Column, byte_ids: list[int]) -> Column:
         )
         return F.struct(i.alias("s"), F.transform(numbers, lambda b: F.element_at(table, b + 1)).alias("ids"))
 
-    return F.flatten(F.transform(F.array_sort(F.concat(symbols, F.transform(bare, as_bytes))), lambda x: x["ids"]))
+    places = F.sequence(F.lit(0), F.char_length("word") - 1)
+    bare = F.filter(places, lambda i: ~F.exists("taken", lambda x: (x["s"] <= i) & (i < x["e"])))
+    symbols = F.transform("taken", lambda x: F.struct(x["s"].alias("s"), F.array(x["id"]).alias("ids")))
+    mixed = F.flatten(F.transform(F.array_sort(F.concat(symbols, F.transform(bare, as_bytes))), lambda x: x["ids"]))
+    return taken.select("word", F.when(covered == F.char_length("word"), F.transform("taken", lambda x: x["id"])).otherwise(mixed).alias("ids"))
 
 
 def _library(path: str):
@@ -163,16 +244,22 @@ def _library(path: str):
     return encode
 
 
+#: Words of a partition, whose edges are grouped in memory.
+GROUPED = 40_000
+
+
 def encoded_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """Every distinct word of ``docs`` once: ``word, ids``."""
-    distinct = docs.select(F.explode(words(text_or_empty())).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("seen")).select("word")
+    distinct = materialise(distinct_words(docs, pieces))
     length = F.char_length("word")
-    folded = lattice(distinct.where(length <= LONGEST), pieces)
+    parts = max(1, -(-distinct.count() // GROUPED))
+    folded = lattice(distinct.where(length <= LONGEST).repartition(parts, "word"), pieces)
     if pieces.kind == "unigram":
-        bounds = viterbi(F.col("edges"), length, min(s for _, _, s in pieces.rows) - 10.0)
+        scores = [-s for s in sorted({-s for _, _, s in pieces.rows})]
+        bounds = viterbi(F.col("edges"), length, scores, scores[-1] - 10.0)
     else:
         bounds = merged(F.col("edges"), length)
-    short = folded.withColumn("bounds", bounds).select("word", path_ids(F.col("edges"), F.col("bounds"), pieces.bytes_).alias("ids"))
+    short = path_ids(folded, bounds, pieces.bytes_)
     long = distinct.where(length > LONGEST)
     if pieces.kind == "bpe":
         return short.unionByName(long.select("word", _library(pieces.path)("word").alias("ids")))
@@ -188,6 +275,7 @@ class WordTable:
     folder: str
     slices: int
     files: dict[int, str]
+    wrong: int
 
     def open(self) -> WordTable:
         types = {"keys": "<u8", "at": "<i8", "bytes": "u1", "ids_at": "<i8", "ids": "<i4"}
@@ -205,26 +293,33 @@ class WordTable:
         for s, run in _runs(_top(keys[order], self.slices)):
             p, of = self.parts[s], order[run]
             at, _ = _find(p["keys"], keys[of])
-            for i, j in zip(of.tolist(), at.tolist()):
-                while p["bytes"][p["at"][j]:p["at"][j + 1]].tobytes() != raw[i]:
-                    j += 1
-                    if j == len(p["keys"]) or p["keys"][j] != keys[i]:
-                        raise KeyError(wanted[i])
-                out[i] = p["ids"][p["ids_at"][j]:p["ids_at"][j + 1]].tobytes()
+            held, ids = memoryview(p["bytes"]), memoryview(p["ids"].view("u1"))
+            places = [p["at"][at], p["at"][at + 1], 4 * p["ids_at"][at], 4 * p["ids_at"][at + 1]]
+            for i, j, a, b, c, d in zip(of.tolist(), at.tolist(), *(x.tolist() for x in places)):
+                out[i] = bytes(ids[c:d]) if bytes(held[a:b]) == raw[i] else self._further(p, j, int(keys[i]), raw[i])
         return out
 
+    @staticmethod
+    def _further(p: dict[str, np.ndarray], j: int, key: int, word: bytes) -> bytes:
+        """A word whose hash is also that of another one."""
+        while j + 1 < len(p["keys"]) and int(p["keys"][j + 1]) == key:
+            j += 1
+            if p["bytes"][p["at"][j]:p["at"][j + 1]].tobytes() == word:
+                return p["ids"][p["ids_at"][j]:p["ids_at"][j + 1]].tobytes()
+        raise KeyError(word.decode())
+
 
-def store_words(encoded: DataFrame, folder: str) -> WordTable:
+def store_words(encoded: DataFrame, folder: str, pieces: Pieces) -> WordTable:
     slices = _slices(encoded.sparkSession)
     bits = slices.bit_length() - 1
     key = F.xxhash64("word")
     keyed = encoded.select(
         (F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0)).cast("int").alias("slice"), key.alias("key"), F.col("word").cast("binary").alias("word"), "ids"
     )
-    schema = "slice int, file string"
+    schema = "slice int, file string, wrong bigint"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, decode = None, [], Decoder(pieces)
 
         def flush() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
@@ -238,7 +333,11 @@ def store_words(encoded: DataFrame, folder: str) -> WordTable:
             }
             for n, v in values.items():
                 write_array(f"{folder}/{name}.{n}", v)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name], pa.string())], ["slice", "file"])
+            mark = MARK.encode()
+            wrong = sum(decode.bytes(i) != x.replace(mark, b" ") for x, i in zip(w, ids))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now], pa.int32()), pa.array([name], pa.string()), pa.array([wrong], pa.int64())], ["slice", "file", "wrong"]
+            )
 
         for b in batches:
             for s, part in _runs(b.column("slice").to_numpy()):
@@ -250,9 +349,16 @@ def store_words(encoded: DataFrame, folder: str) -> WordTable:
         if held:
             yield flush()
 
-    _shuffled(keyed).mapInArrow(write, schema).write.parquet(f"{folder}/manifest")
+    # the partitions hold a bounded number of words, so their edges need not be sorted to be grouped
+    conf, setting = encoded.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = conf.get(setting)
+    conf.set(setting, str(2 * GROUPED))
+    try:
+        _shuffled(keyed).mapInArrow(write, schema).write.parquet(f"{folder}/manifest")
+    finally:
+        conf.set(setting, before)
     rows = encoded.sparkSession.read.schema(schema).parquet(f"{folder}/manifest").collect()  # one for each slice
-    return WordTable(folder, slices, {r.slice: r.file for r in rows})
+    return WordTable(folder, slices, {r.slice: r.file for r in rows}, sum(r.wrong for r in rows))
 
 
 class Decoder:
@@ -260,8 +366,12 @@ class Decoder:
         self.surface = {i: p.replace(MARK, " ").encode() for p, i, _ in pieces.rows}
         self.surface.update({i: bytes([b]) for b, i in enumerate(pieces.bytes_)})
 
+    def bytes(self, ids: list[int]) -> bytes:
+        return b"".join([self.surface.get(i, b"") for i in ids])
+
     def __call__(self, ids: list[int]) -> str:
-        return b"".join([self.surface.get(i, b"") for i in ids]).decode("utf-8", "replace")[1:]
+        """Text of the ids without the space in front that the encoding added."""
+        return self.bytes(ids).decode("utf-8", "replace")[1:]
 
 
 _ENCODED = "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean"
@@ -276,22 +386,22 @@ def encode(docs: DataFrame, pieces: Pieces, folder: str | None = None) -> DataFr
     spaces, as spaces. Rows are encoded by their text alone; repeated rows, NULL ids and other
     columns play no part. An empty table gives an empty result.
     """
-    table = store_words(encoded_words(docs, pieces), folder or new_folder(docs.sparkSession))
+    table = store_words(encoded_words(docs, pieces), folder or new_folder(docs.sparkSession), pieces)
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, decode, opened = {}, Decoder(pieces), table.open()
-        find = re.compile(WORD).findall
+        known, decode, opened, split_text = {}, Decoder(pieces), table.open(), splitter(pieces)
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 b = whole.slice(start, 500)
-                texts = [(t or "").replace(" ", MARK) for t in b.column("text").to_pylist()]
-                split = [find(MARK + t) if t else [] for t in texts]
+                texts = [t or "" for t in b.column("text").to_pylist()]
+                split = list(map(split_text, texts))
                 if len(known) > REMEMBERED:
                     known.clear()
                 new = list(set().union(*split).difference(known))
                 known.update(zip(new, opened.look_up(new)))
-                ids = [np.frombuffer(b"".join([known[w] for w in s]), "<i4") for s in split]
-                same = [decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
+                ids = [np.frombuffer(b"".join(map(known.__getitem__, s)), "<i4") for s in split]
+                # if every word of the table comes back, so does every text
+                same = [not table.wrong or decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
                 ends = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, "<i4")]), pa.int32()))
                 yield pa.RecordBatch.from_arrays(

@@ -102,7 +102,7 @@ def test_token_files_of_an_empty_table(spark):
     assert token_files.read_documents(spark, folder).count() == 0
 
 
-@pytest.mark.parametrize("more", [[], [" ", "  ", "a ", "x" * 200, " " * 130 + "end", "▁a▁▁b", "<s></s><unk><0x0A>", "In In!!! $$$", "é" * 61, "aaaa bbbbbbb"]])
+@pytest.mark.parametrize("more", [[], [" ", "  ", "a ", "x" * 200, " " * 130 + "end", "▁a▁▁b", "<s></s><unk><0x0A>", "In In!!! $$$", "é" * 61, "aaaa bbbbbbb", ".\n.\t1\n", "\n", "a.\n\n(b)日!语"]])
 def test_encoding_equals_the_library(spark, more):
     docs, rows = messy(spark)
     if more:

@@ -129,9 +129,9 @@ def lattice(distinct: DataFrame, pieces: Pieces) -> DataFrame:
     substrings = spans.select("word", "s", (F.col("s") + F.col("n")).alias("e"), F.substring("word", F.col("s") + 1, F.col("n")).alias("piece"))
     # as many rows as the vocabulary of the model; a word without any piece keeps its first character
     # the join key is a hash, which is looked up faster than text; the texts are compared where hashes meet
-    hashed = substrings.withColumn("hash", F.xxhash64("piece"))
-    met = hashed.join(F.broadcast(table), "hash", "left").where("(piece >= name AND piece <= name) OR (s = 0 AND e = 1)")
-    packed = F.expr("IF(piece >= name AND piece <= name, shiftleft(bigint(rank), 36) | shiftleft(bigint(s), 30) | shiftleft(bigint(e), 24) | id, NULL)")
+    same = (F.xxhash64("piece") == F.col("hash")) & (F.col("piece") >= F.col("name")) & (F.col("piece") <= F.col("name"))
+    met = substrings.join(F.broadcast(table), same, "left").where("id IS NOT NULL OR (s = 0 AND e = 1)")
+    packed = F.expr("shiftleft(bigint(rank), 36) | shiftleft(bigint(s), 30) | shiftleft(bigint(e), 24) | id")
     # the words are already placed by word, so grouping them needs no shuffle
     return met.groupBy("word").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
 

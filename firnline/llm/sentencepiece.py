@@ -232,14 +232,31 @@ def path_ids(folded: DataFrame, bounds: Column, byte_ids: list[int]) -> DataFram
     return taken.select("word", F.when(covered == F.char_length("word"), F.transform("taken", lambda x: x["id"])).otherwise(mixed).alias("ids"))
 
 
-def _library(path: str):
+def _library(pieces: Pieces):
+    """Encoding of words by the library, which puts a space mark in front of every text.
+
+    A word without marks is encoded behind a sign that no piece joins to it, whose ids are taken off.
+    """
+    path, apart = pieces.path, pieces.apart
+
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        signs = {sign: model.encode(sign) for sign in ("a", apart[:1])}
+
+        def ids(word: str) -> list[int]:
+            if word[0] == MARK:
+                return model.encode(word.replace(MARK, " ")[1:], num_threads=1)
+            sign = "a" if word[0] in apart else apart[:1]
+            found, first = model.encode(sign + word, num_threads=1), signs[sign]
+            if found[:len(first)] != first:
+                raise ValueError(f"a piece joins {sign!r} to {word[:10]!r}")
+            return found[len(first):]
+
         for b in batches:
-            yield pd.Series([model.encode(w.replace(MARK, " ")[1:], num_threads=1) for w in b])
+            yield pd.Series([ids(w) for w in b])
 
     return encode
 
@@ -262,7 +279,7 @@ def encoded_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
     short = path_ids(folded, bounds, pieces.bytes_)
     long = distinct.where(length > LONGEST)
     if pieces.kind == "bpe":
-        return short.unionByName(long.select("word", _library(pieces.path)("word").alias("ids")))
+        return short.unionByName(long.select("word", _library(pieces)("word").alias("ids")))
     if not long.isEmpty():
         raise ValueError(f"words of more than {LONGEST} characters need a BPE model")
     return short

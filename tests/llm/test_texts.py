@@ -117,6 +117,17 @@ def test_encoding_equals_the_library(spark, more):
     assert texts == Counter((t or "").replace("▁", " ") for _, t in rows)
 
 
+def test_long_words_that_start_without_a_space_equal_the_library(spark):
+    texts = [
+        "title\n" + "=" * 70, "x" + "-" * 80, "2024" + "a" * 70, "2024" + "年の日本語" * 15, "no." + "7" * 61, "(" + "ไทย" * 40 + ")", "\"" + "Word" * 30,
+        "a\n" + "* " * 40 + "_" * 100 + "\nb", "_" * 200 + "é" * 90, "1" + "😀" * 61, "end" + " " * 70 + "=" * 70, "=" * 61, "x" * 61 + "=" * 61 + "x" * 60 + "=" * 60,
+    ]
+    pieces = sentencepiece.read_model(vocabulary_path("piece_bpe_32k.model"))
+    model = library.SentencePieceProcessor(model_file=pieces.path)
+    encoded = sentencepiece.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), pieces)
+    assert {r.doc_id: (r.ids, r.round_trip) for r in encoded.collect()} == {i: (model.encode(t), True) for i, t in enumerate(texts)}
+
+
 def test_encoding_an_empty_table(spark):
     pieces = sentencepiece.read_model(vocabulary_path("piece_bpe_32k.model"))
     assert sentencepiece.encode(spark.createDataFrame([], "doc_id bigint, text string"), pieces).count() == 0

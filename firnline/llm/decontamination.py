@@ -1,7 +1,7 @@
 """Benchmark decontamination with a broadcast set of hashed n-grams.
 
 Windows of consecutive item words are hashed into a set that is broadcast while its
-size is under a checked bound, and met by a shuffled join beyond it. Every document
+size is under a checked bound, and met by a shuffled join of hashes beyond it. Every document
 window is looked up by its hash, each hit is verified on the words themselves, and the
 hits of a document become word spans. The plan has DataFrame operations only.
 """
@@ -19,6 +19,8 @@ QUERY = "op2_decontamination"
 WINDOW = 13
 #: Most bytes of window words that may be broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Beyond that, tasks that share the windows of one hash, and hits from which on a window counts as frequent.
+SALTS, FREQUENT = 16, 10_000
 
 
 def _hashed(words_: Column, start: Column, n: int) -> Column:
@@ -72,30 +74,68 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     size = grams.agg(F.sum(F.octet_length(F.array_join("gram", " ")) + 16 * F.size("gram"))).first()[0] or 0
     keyed = grams.select("n", "gram", "items", _word_hashes("gram").alias("h"))
     keyed = keyed.withColumn("hash", _case(lengths, lambda n: _hashed(F.col("h"), F.lit(0), n))).drop("h")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(text_or_empty()).alias("w"))
+    rows = rows.withColumn("n_words", F.size("w"))
+    keyed = keyed.withColumnRenamed("gram", "item_words")
+    if lengths and size > broadcast_bytes:
+        rows = materialise(rows)  # both reads must give a row the same number
+        hit = _met_shuffled(rows, keyed, lengths).groupBy("row").agg(*_found())
+        none = F.array().cast("array<struct<from:int,to:int>>"), F.array().cast("array<string>")
+        found = rows.select("row", "doc_id", "n_words").join(hit, "row", "left").select(
+            "doc_id", "n_words", F.coalesce("raw", none[0]).alias("raw"), F.coalesce("items", none[1]).alias("items")
+        )
+    else:
+        found = _met_broadcast(rows, keyed, lengths).groupBy("row", "doc_id", "n_words").agg(*_found())
+    return found.select("doc_id", "n_words", _merged(F.col("raw")).alias("spans"), "items")
+
+
+def _found() -> list[Column]:
+    """Spans and items of the hits of a row."""
+    span = F.struct(F.col("at").alias("from"), (F.col("at") + F.col("n")).alias("to"))
+    return [
+        F.array_sort(F.collect_set(F.when(F.col("n") > 0, span))).alias("raw"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    ]
+
+
+def _met_broadcast(rows: DataFrame, keyed: DataFrame, lengths: list[int]) -> DataFrame:
+    """Verified hits ``row, doc_id, n_words, n, at, items``; every row has one of ``n`` 0 besides."""
     # one entry that every document meets, so that documents without hits stay
     always = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("hash"), F.lit(-1).alias("at"))
-    entry = grams.sparkSession.range(1).select(
-        F.lit(0).alias("n"), F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items"),
+    entry = keyed.sparkSession.range(1).select(
+        F.lit(0).alias("n"), F.array().cast("array<string>").alias("item_words"), F.array().cast("array<string>").alias("items"),
         F.lit(0).cast("bigint").alias("hash"),
     )
-    keyed = keyed.unionByName(entry)
-    if size <= broadcast_bytes:
-        keyed = F.broadcast(keyed)
-
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(text_or_empty()).alias("w"))
-    rows = rows.select("doc_id", "row", "w", _word_hashes("w").alias("h"), F.size("w").alias("n_words"))
-    keyed = keyed.withColumnRenamed("gram", "item_words")
+    rows = rows.select("doc_id", "row", "w", _word_hashes("w").alias("h"), "n_words")
     windows = [_windows(n) for n in lengths]
     seen = rows.select("doc_id", "row", "w", "n_words", F.explode(F.concat(F.array(always), *windows)).alias("x"))
     seen = seen.select("doc_id", "row", "w", "n_words", "x.n", "x.hash", "x.at")
-    met = seen.join(keyed, ["n", "hash"]).where(
+    met = seen.join(F.broadcast(keyed.unionByName(entry)), ["n", "hash"]).where(
         (F.col("n") == 0) | (F.slice("w", F.col("at") + 1, F.greatest("n", F.lit(1))) == F.col("item_words"))
     )
-    found = met.select("doc_id", "row", "n_words", "n", "at", "items").groupBy("row", "doc_id", "n_words").agg(
-        F.array_sort(F.collect_set(F.when(F.col("n") > 0, F.struct(F.col("at").alias("from"), (F.col("at") + F.col("n")).alias("to"))))).alias("raw"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    return found.select("doc_id", "n_words", _merged(F.col("raw")).alias("spans"), "items")
+    return met.select("row", "doc_id", "n_words", "n", "at", "items")
+
+
+def _met_shuffled(rows: DataFrame, keyed: DataFrame, lengths: list[int]) -> DataFrame:
+    """Verified hits ``row, n, at, items``.
+
+    Windows are shuffled as numbers, the windows of one hash over ``SALTS`` tasks. Only those with
+    a hash of an item get their own words back, and meet the items by a join in which frequent
+    windows are broadcast.
+    """
+    windows = rows.select("row", _word_hashes("w").alias("h"), "n_words").select("row", F.explode(F.concat(*[_windows(n) for n in lengths])).alias("x"))
+    windows = windows.select("row", "x.n", "x.hash", "x.at").withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int"))
+    keys = keyed.select("n", "hash").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = materialise(windows.join(keys, ["n", "hash", "salt"], "left_semi").select("row", "n", "hash", "at"))
+    of_row = near.groupBy("row").agg(F.collect_list(F.struct("n", "hash", "at")).alias("near"))
+    own = F.transform("near", lambda x: F.struct(x["n"].alias("n"), x["hash"].alias("hash"), x["at"].alias("at"), F.slice("w", x["at"] + 1, x["n"]).alias("own")))
+    candidates = rows.select("row", "w").join(of_row, "row").select("row", F.explode(own).alias("x")).select("row", "x.*")
+    frequent = materialise(near.groupBy("n", "hash").count().where(F.col("count") > FREQUENT).select("n", "hash"))
+    # not more rows than hits / FREQUENT
+    kinds = {k: keyed.join(F.broadcast(frequent), ["n", "hash"], k) for k in ("left_anti", "left_semi")}
+    rare = candidates.join(F.broadcast(frequent), ["n", "hash"], "left_anti").join(kinds["left_anti"], ["n", "hash"])
+    often = candidates.join(F.broadcast(kinds["left_semi"]), ["n", "hash"])
+    return rare.unionByName(often).where(F.col("own") == F.col("item_words")).select("row", "n", "at", "items")
 
 
 def _case(lengths: list[int], value) -> Column:

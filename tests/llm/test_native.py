@@ -96,6 +96,25 @@ def test_contamination_of_messy_rows(spark, broadcast_bytes):
     assert got == sorted(expected, key=lambda x: (ids_key(x[0]), x[1]))
 
 
+@pytest.mark.parametrize("frequent", [2, 10_000])
+def test_shuffled_windows_are_small_and_frequent_passages_spread(spark, monkeypatch, frequent):
+    monkeypatch.setattr(decontamination, "FREQUENT", frequent, raising=False)
+    passage = prose(9, 30)
+    rows = [(0, prose(6, 3000)), (1, prose(7, 3000) + " " + passage), (None, ""), *((i, f"{passage} {prose(i, 5)}") for i in range(2, 12))]
+    docs, items = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before, broadcast = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = decontamination.contamination(docs, items, broadcast_bytes=0).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.items) for r in found), key=lambda x: ids_key(x[0]))
+    assert got == sorted(brute_contamination(rows, ITEMS), key=lambda x: ids_key(x[0]))
+    # two texts of 3,000 words, whose windows would be 100 MB and more with the whole text in each
+    assert written() - before < 10 << 20
+
+
 def test_spans_are_cut_out_and_documents_dropped(spark):
     rows = [(1, "Keep this, " + prose(9, 30) + "; and that."), (2, "clean text"), (3, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")

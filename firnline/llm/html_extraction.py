@@ -62,11 +62,17 @@ NAMES = frozenset(
     " newsletter subscribe signup login share sharing social related recommended comment comments disqus replies respond"
     " widget toolbar pagination pager".split()
 )
+#: Words that may stand beside one of NAMES in a class or id of the same place: site-footer, not no-sidebar or comments-open.
+BESIDE = frozenset(
+    "site page main primary secondary top bottom global container wrapper wrap box bar area block section list links link item items"
+    " inner outer icons icon buttons button slot unit posts form text title body group panel column col header js"
+    " social user post article content".split()
+)
 MAIN_NAMES = frozenset("content article post entry story".split())
 
 
 class Node:
-    __slots__ = ("tag", "label", "names", "role", "children", "runs", "parent")
+    __slots__ = ("tag", "label", "names", "places", "role", "children", "runs", "parent")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.role = tag, parent, ""
@@ -74,12 +80,15 @@ class Node:
         #: Text runs and children in page order.
         self.runs: list[list[str] | Node] = []
         self.names: set[str] = set()
+        #: Parts of each class and id by itself.
+        self.places: list[set[str]] = []
         label = ""
         for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
             name = name.lower()
             if name in ("class", "id"):
                 value = "".join(values)
-                self.names.update(x.lower() for x in _NAME_PART.findall(value))
+                self.places.extend({x.lower() for x in _NAME_PART.findall(token)} for token in value.split())
+                self.names.update(*self.places)
                 label += "." + value if name == "class" else ""
             elif name == "role":
                 self.role = "".join(values).lower()
@@ -220,57 +229,118 @@ def align(page: Node, reference: list) -> dict[int, tuple[int, bool]]:
     return found
 
 
-def excluded(n: Node, in_article: bool) -> bool:
+def named_apart(n: Node) -> bool:
+    """One whole class or id names a place that is not content."""
+    return any(not NAMES.isdisjoint(p) and p <= NAMES | BESIDE for p in n.places)
+
+
+def excluded(n: Node, inside: bool, kept: frozenset[int] = frozenset()) -> bool:
+    """``inside`` an article or main part; names and forms do not exclude what ``kept`` holds, nor ``body``, ``main`` and articles."""
+    if n.tag in ("html", "body", "main") or n.role == "main":
+        return False
     if n.tag == "header":
-        return not in_article
-    return n.tag in NOT_CONTENT or n.role in ROLES or not NAMES.isdisjoint(n.names) or (not in_article and "header" in n.names)
+        return not inside
+    if n.tag == "form" and n.role not in ROLES:
+        return id(n) not in kept
+    if n.tag in NOT_CONTENT or n.role in ROLES:
+        return True
+    if id(n) in kept or (n.tag == "article" and not inside):
+        return False
+    return named_apart(n) or (not inside and {"header"} in n.places)
+
+
+def is_main(n: Node) -> bool:
+    return n.tag == "main" or n.role == "main"
+
+
+def around_main(root: Node) -> frozenset[int]:
+    """Places that hold a main part, or a form or article with more than half of the page's text, and these themselves."""
+    nodes = [root]
+    for n in nodes:
+        nodes.extend(n.children)
+    kept: set[int] = set()
+    if any(is_main(n) for n in nodes):
+        for n in nodes:
+            up = n if is_main(n) else None
+            while up is not None and id(up) not in kept:
+                kept.add(id(up))
+                up = up.parent
+    large = [n for n in nodes if n.tag in ("article", "form")]
+    if large:
+        size: dict[int, int] = {}
+        for n in reversed(nodes):
+            own = sum(len("".join(r).strip()) for r in n.runs if not isinstance(r, Node))
+            size[id(n)] = own + sum(size[id(c)] for c in n.children)
+        for n in large:
+            up = n if 2 * size[id(n)] > size[id(root)] else None
+            while up is not None and id(up) not in kept:
+                kept.add(id(up))
+                up = up.parent
+    return frozenset(kept)
 
 
-def content_roots(root: Node) -> list[Node]:
-    """Articles outside of excluded places; else the main part; else the page."""
-    articles, mains, named = [], [], []
-    stack = [(root, False)]
+def content_roots(root: Node, kept: frozenset[int] = frozenset()) -> list[Node]:
+    """Main parts and articles outside of excluded places and of each other; else parts named so; else the page."""
+    parts, named = [], []
+    stack = [root]
     while stack:
-        n, inside = stack.pop()
-        if excluded(n, inside):
+        n = stack.pop()
+        if excluded(n, False, kept):
             continue
-        if n.tag == "article" and not inside:
-            articles.append(n)
+        if n.tag == "article" or is_main(n):
+            parts.append(n)
             continue
-        if n.tag == "main" or n.role == "main":
-            mains.append(n)
-        elif not MAIN_NAMES.isdisjoint(n.names):
+        if not MAIN_NAMES.isdisjoint(n.names):
             named.append(n)
             # the outermost named part holds the inner ones
-            if not any(True for _ in _below(n, "article")):
+            if not any(True for _ in _below(n, "article", "main")):
                 continue
-        stack.extend((c, inside) for c in reversed(n.children))
-    return articles or mains[:1] or named or [root]
+        stack.extend(reversed(n.children))
+    return parts or named or [root]
 
 
-def _below(n: Node, tag: str) -> Iterator[Node]:
+def _below(n: Node, *tags: str) -> Iterator[Node]:
     stack = list(n.children)
     while stack:
         x = stack.pop()
-        if x.tag == tag:
+        if x.tag in tags or ("main" in tags and x.role == "main"):
             yield x
         stack.extend(x.children)
 
 
 def slots(root: Node) -> Iterator[tuple[Node, str]]:
-    """Text runs of the content in page order, with their nodes."""
-    for top in content_roots(root):
-        in_article = top.tag == "article"
-        stack: list[tuple[Node, object]] = [(top, top)]
-        while stack:
-            owner, item = stack.pop()
-            if isinstance(item, Node):
-                if item is top or not excluded(item, in_article):
-                    stack.extend((item, r) for r in reversed(item.runs))
-            else:
-                text = tidy(item)
-                if text:
-                    yield owner, text
+    """Text runs of the content in page order, with their nodes.
+
+    If nothing is left, those of the largest place that was excluded by its name or as a form.
+    """
+    kept = around_main(root)
+    found = [x for top in content_roots(root, kept) for x in _runs_below(top, kept)]
+    return iter(found or max(_set_aside(root, kept), key=lambda x: sum(len(t) for _, t in x), default=[]))
+
+
+def _runs_below(top: Node, kept: frozenset[int]) -> Iterator[tuple[Node, str]]:
+    stack: list[tuple[Node, object, bool]] = [(top, top, False)]
+    while stack:
+        owner, item, inside = stack.pop()
+        if isinstance(item, Node):
+            if item is top or not excluded(item, inside, kept):
+                within = inside or item.tag == "article" or is_main(item)
+                stack.extend((item, r, within) for r in reversed(item.runs))
+        else:
+            text = tidy(item)
+            if text:
+                yield owner, text
+
+
+def _set_aside(root: Node, kept: frozenset[int]) -> Iterator[list[tuple[Node, str]]]:
+    """Texts of the outermost places that names or forms exclude."""
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        if not excluded(n, False, kept):
+            stack.extend(reversed(n.children))
+        elif n.role not in ROLES and (n.tag == "form" or n.tag not in NOT_CONTENT):
+            yield list(_runs_below(n, kept))
 
 
 def host(url: Column) -> Column:

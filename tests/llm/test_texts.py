@@ -56,6 +56,22 @@ def test_single_and_messy_pages(spark):
     assert html_extraction.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("body, text", [
+    ("<body class='no-sidebar'><p>Kept", "Kept"), ("<body class='has-header'><div>Kept", "Kept"), ("<body class='sidebar'><div>Kept", "Kept"),
+    ("<html class='cookie-notice'><body><p>Kept", "Kept"), ("<body><div class='content with-sidebar'><p>Kept</div>", "Kept"),
+    ("<body><article class='post comments-open'><p>Kept</article>", "Kept"), ("<body><article class='related'><p>Kept</article>", "Kept"),
+    ("<body><main class='widget'><p>Kept</main><p>rest", "Kept"), ("<body><div class='overlay'><nav>N</nav><main><p>Kept</main></div>", "Kept"),
+    ("<body><div id='modal'><article><p>Kept and kept</article></div><p>rest", "Kept and kept"),
+    ("<body><form><nav>N</nav><div><p>Kept <input></div></form>", "Kept"), ("<body><form><div>Kept whole text</div></form><div>address</div>", "Kept whole text address"),
+    ("<body><main><p>One</main><div>between</div><main><p>Two</main>", "One Two"), ("<body><main><h1>Title</h1><article>A</article><p>After</main>", "Title A After"),
+    ("<body><main><form>Search</form><p>Kept text</main>", "Kept text"), ("<body><div class='popup'><p>Most of it</div><div class='ad'>Buy</div>", "Most of it"),
+    ("<body><div class='site-footer'>F</div><ul class='comment-list'><li>C</ul><div id='cookie-notice'>C</div><p>Kept", "Kept"),
+    ("<body><article><p>Kept text<article class='comment'>C</article></article>", "Kept text"), ("<body><nav>N</nav><footer>F</footer>", ""),
+])
+def test_names_of_layouts_do_not_drop_content(body, text):
+    assert " ".join(t for _, t in html_extraction.slots(html_extraction.parse(f"<!DOCTYPE html>{body}"))) == text
+
+
 def test_every_page_keeps_its_whole_article(spark):
     import html
     import re

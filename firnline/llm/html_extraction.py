@@ -5,8 +5,9 @@ A slot whose text stays the same on the pages that have it is part of the templa
 that vary are content, unless their place says that they are not: menus, page headers and
 footers, side bars, notices, adverts, forms, comments.
 
-Every page is parsed and aligned once, on its own, with at most ``REFERENCES`` pages. What
-is known about a host is summed from its pages before it is shuffled, so a host with a
+Every page is parsed once and aligned, on its own, with ``REFERENCES`` pages of its host and as
+many of its layout, if the host has several and this one has more than ``LEAST_PAGES`` pages.
+What is known about a host or layout is summed from its pages before it is shuffled, so a host with a
 third of all pages is no heavier than others.
 """
 
@@ -347,27 +348,47 @@ def host(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+def layout(page: Column) -> Column:
+    """Hash of the kinds of block elements of a page: their tags and classes, without digits."""
+    starts = F.regexp_extract_all(page, F.lit(r"(?i)<((?:body|main|section|article|div|form|table|nav|aside|header|footer)\b[^<>]*)>"), F.lit(1))
+    tag = lambda x: F.regexp_extract(x, r"^[A-Za-z]+", 0)
+    name = lambda x: F.regexp_extract(x, r"(?i)\sclass\s*=\s*[\"']?([^\"'>]*)", 1)
+    labels = F.transform(starts, lambda x: F.lower(F.concat_ws(".", tag(x), F.regexp_replace(name(x), r"\d+", ""))))
+    return F.xxhash64(F.array_sort(F.array_distinct(labels)))
+
+
 def references(pages: DataFrame) -> DataFrame:
-    """Skeletons of up to ``REFERENCES`` pages of each host: ``host, refs``, by a hash of page and address."""
+    """Skeletons of up to ``REFERENCES`` pages: ``host, layout, refs``, by a hash of page and address.
+
+    Of each host, with a NULL ``layout``, and of each layout of more than ``LEAST_PAGES`` pages of a host with several.
+    """
     order = F.xxhash64("page_id", "url")
-    chosen = pages.where("host IS NOT NULL").groupBy("host", F.pmod(order, F.lit(REFERENCES)).alias("slot")).agg(F.min(order).alias("order"))
+    groups = materialise(pages.where("host IS NOT NULL").groupBy("host", "layout", F.pmod(order, F.lit(REFERENCES)).alias("slot")).agg(
+        F.min(order).alias("order"), F.count(F.lit(1)).alias("n")
+    ))
+    several = groups.groupBy("host").agg(F.min("layout").alias("a"), F.max("layout").alias("b")).where("a != b").select("host")
+    large = groups.groupBy("host", "layout").agg(F.sum("n").alias("n")).where(F.col("n") > LEAST_PAGES).join(several, "host", "left_semi")
+    of_host = groups.groupBy("host", "slot").agg(F.min("order").alias("order")).withColumn("layout", F.lit(None).cast("bigint"))
+    of_layout = groups.join(large.select("host", "layout"), ["host", "layout"], "left_semi").select("host", "slot", "order", "layout")
     # written first, so that its size is known when the join is planned and pages stay where they are if it is small
-    met = pages.withColumn("order", order).join(materialise(chosen), ["host", "order"]).groupBy("host", "slot").agg(F.min("html").alias("html"))
+    chosen = materialise(of_host.unionByName(of_layout))
+    met = pages.select("host", "html", order.alias("order")).join(chosen.select("host", "order").distinct(), ["host", "order"])
+    met = met.groupBy("host", "order").agg(F.min("html").alias("html"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             trees = pa.array([skeleton(parse(h or "")) for h in b.column("html").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("slot"), trees], ["host", "slot", "tree"])
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("order"), trees], ["host", "order", "tree"])
 
-    trees = met.mapInArrow(reduce, "host string, slot bigint, tree string")
+    trees = chosen.join(met.mapInArrow(reduce, "host string, order bigint, tree string"), ["host", "order"])
     by_slot = F.map_from_entries(F.collect_list(F.struct("slot", "tree")))
-    return trees.groupBy("host").agg(by_slot.alias("m")).select(
-        "host", F.array(*[F.element_at("m", F.lit(i).cast("bigint")) for i in range(REFERENCES)]).alias("refs")
+    return trees.groupBy("host", "layout").agg(by_slot.alias("m")).select(
+        "host", "layout", F.array(*[F.element_at("m", F.lit(i).cast("bigint")) for i in range(REFERENCES)]).alias("refs")
     )
 
 
 _SLOT = pa.struct([("text", pa.string()), ("at", pa.list_(pa.int32())), ("same", pa.list_(pa.bool_()))])
-_ALIGNED = "page_id bigint, url string, host string, copy boolean, slots array<struct<text:string,at:array<int>,same:array<boolean>>>"
+_ALIGNED = "page_id bigint, url string, host string, layout bigint, copy array<boolean>, slots array<struct<text:string,at:array<int>,same:array<boolean>>>"
 
 
 def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,28 +399,43 @@ def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             root = parse(page or "")
             wanted = list(slots(root))
             matches = []
-            for tree in refs or [None] * REFERENCES:
-                if tree is None:
-                    matches.append({})
+            done: dict[str | None, dict] = {None: {}}
+            for tree in refs:
+                if tree in done:
+                    matches.append(done[tree])
                     continue
                 if tree not in trees:
                     if len(trees) > 2000:
                         trees.clear()
                     trees[tree] = numbered(json.loads(tree))[0]
-                matches.append(align(root, trees[tree]))
+                done[tree] = align(root, trees[tree])
+                matches.append(done[tree])
             none = (-1, False)
             spots = [[m.get(id(n), none) for m in matches] for n, _ in wanted]
             found.append([
                 {"text": t, "at": [p for p, _ in s], "same": [e for _, e in s]} for (_, t), s in zip(wanted, spots)
             ])
             # a page that equals a reference in every slot is taken for a copy of it and proves nothing
-            copies.append(any(spots and all(s[k][1] for s in spots) for k in range(REFERENCES)))
+            equal = [bool(spots) and all(s[k][1] for s in spots) for k in range(len(matches))]
+            copies.append([any(equal[:REFERENCES]), any(equal[REFERENCES:])])
         yield pa.RecordBatch.from_arrays(
-            [b.column("page_id"), b.column("url"), b.column("host"), pa.array(copies, pa.bool_()), pa.array(found, pa.list_(_SLOT))],
-            ["page_id", "url", "host", "copy", "slots"],
+            [
+                b.column("page_id"), b.column("url"), b.column("host"), b.column("layout"), pa.array(copies, pa.list_(pa.bool_())),
+                pa.array(found, pa.list_(_SLOT)),
+            ],
+            ["page_id", "url", "host", "layout", "copy", "slots"],
         )
 
 
+def _by_scope(known: DataFrame, column: str) -> list[tuple[DataFrame, list[str], str]]:
+    """What is known about hosts and about layouts, with the keys and the name of the column."""
+    names = f"host_{column}", f"layout_{column}"
+    return [
+        (known.where("layout IS NULL").select("host", F.col(column).alias(names[0])), ["host"], names[0]),
+        (known.where("layout IS NOT NULL").select("host", "layout", F.col(column).alias(names[1])), ["host", "layout"], names[1]),
+    ]
+
+
 def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Main text of each row of ``pages`` (``page_id, url, html``): ``page_id, url, text, n_chars``.
 
@@ -409,26 +445,37 @@ def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataF
     far as it goes: unclosed elements end with their parents, stray end tags are skipped and
     a lone ``<`` is text. Other columns are not read.
     """
-    own = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+    own = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), layout(F.col("html")).alias("layout"))
     refs = materialise(references(own))
     size = refs.agg(F.sum(F.aggregate("refs", F.lit(0).cast("bigint"), lambda a, t: a + F.coalesce(F.octet_length(t), F.lit(0))))).first()[0] or 0
-    aligned = materialise(
-        own.join(F.broadcast(refs) if size <= broadcast_bytes else refs, "host", "left").mapInArrow(_align_batches, _ALIGNED)
-    )
-    spots = aligned.where("NOT copy AND host IS NOT NULL").select("host", F.explode("slots").alias("s")).select(
-        "host", F.posexplode(F.arrays_zip("s.at", "s.same")).alias("ref", "x")
+    none = F.array().cast("array<string>")
+    met = own
+    for part, keys, name in _by_scope(refs, "refs"):
+        met = met.join(F.broadcast(part) if size <= broadcast_bytes else part, keys, "left").withColumn(name, F.coalesce(name, none))
+    met = met.select("page_id", "url", "host", "layout", "html", F.concat("host_refs", "layout_refs").alias("refs"))
+    aligned = materialise(met.mapInArrow(_align_batches, _ALIGNED))
+    spots = aligned.where("host IS NOT NULL").select("host", "layout", "copy", F.explode("slots").alias("s")).select(
+        "host", "layout", "copy", F.posexplode(F.arrays_zip("s.at", "s.same")).alias("ref", "x")
     ).where("x.at >= 0")
-    seen = spots.groupBy("host", "ref", F.col("x.at").alias("at")).agg(
+    own_layout = F.col("ref") >= REFERENCES
+    spots = spots.where(~F.get("copy", own_layout.cast("int"))).withColumn("layout", F.when(own_layout, F.col("layout")))
+    seen = spots.groupBy("host", "layout", "ref", F.col("x.at").alias("at")).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("x.same"), 1)).alias("equal")
     )
     template = seen.where((F.col("n") >= LEAST_PAGES) & (F.col("equal") >= CONSTANT_SHARE * F.col("n")))
-    known = materialise(template.groupBy("host").agg(F.collect_set(F.struct("ref", "at")).alias("constant")))
-    met = aligned.join(known, "host", "left")
+    known = materialise(template.groupBy("host", "layout").agg(F.collect_set(F.struct("ref", "at")).alias("constant")))
+    met = aligned
+    for part, keys, name in _by_scope(known, "constant"):
+        met = met.join(part, keys, "left")
 
     def fixed(s: Column) -> Column:
-        return F.exists("constant", lambda c: (F.get(s["at"], c["ref"]) == c["at"]) & F.get(s["same"], c["ref"]))
+        def among(constant: str) -> Column:
+            found = F.exists(constant, lambda c: F.coalesce((F.get(s["at"], c["ref"]) == c["at"]) & F.get(s["same"], c["ref"]), F.lit(False)))
+            return F.coalesce(found, F.lit(False))
+
+        return among("host_constant") | among("layout_constant")
 
-    content = F.when(F.col("constant").isNull(), F.col("slots")).otherwise(F.filter("slots", lambda s: ~fixed(s)))
+    content = F.filter("slots", lambda s: ~fixed(s))
     texts = met.select("page_id", "url", F.array_join(F.transform(content, lambda s: s["text"]), " ").alias("text"))
     return texts.withColumn("n_chars", F.char_length("text").cast("bigint"))
 

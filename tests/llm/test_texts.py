@@ -42,6 +42,15 @@ def test_pages_of_a_host_lose_their_template(spark):
     assert found == {i: f"Title & {i} First {prose(i, 5)} Second <{i}> line" for i in range(12)}
 
 
+def test_every_layout_of_a_host_has_its_template(spark):
+    rows = [(0, "https://h.example/error", "<body><h1>Not found")]
+    for i in range(1, 81):
+        kind = ("news", "shop", "forum", "wiki")[i % 4]
+        rows.append((i, f"https://h.example/{i}", f"<body class='{kind}'><div class='{kind}-top'><p>About {kind}</div><div class='{kind}-text'><p>{prose(i, 5)}</div></body>"))
+    found = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert found == {0: "Not found"} | {i: prose(i, 5) for i in range(1, 81)}
+
+
 def test_single_and_messy_pages(spark):
     rows = [
         (1, "https://solo.example/", page(1, "<main><p>Only&nbsp;page</p></main>")), (2, None, "<p>no address</p>"), (3, "x", None), (4, "", ""),

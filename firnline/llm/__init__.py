@@ -6,7 +6,10 @@ Nothing else in the library imports this package.
 import importlib
 
 #: Query modules, one for each operator; each has ``QUERY``, ``run`` and ``SQL`` (None where SQL cannot say it).
-MODULES = ["decontamination", "exact_dedup", "token_counts", "token_files", "language_id", "toxicity", "html_extraction", "ngram_join", "kneser_ney", "sentencepiece"]
+MODULES = [
+    "decontamination", "exact_dedup", "token_counts", "token_files", "language_id", "toxicity", "html_extraction", "ngram_join", "kneser_ney", "sentencepiece",
+    "token_alignment", "spelling_variants", "sketch_dedup",
+]
 
 
 def queries():

@@ -171,22 +171,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, parts: int = 20, **opti
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without contaminated documents; all columns stay. ``doc_id`` names the document."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad"))
+    """``docs`` without contaminated documents; all columns stay. Each row is judged by its text, whatever its id."""
+    bad = contamination(_by_text(docs), benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad"))
     bad = materialise(bad.distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return docs.join(bad, _text_key() == bad["_bad"], "left_anti")
+
+
+def _text_key() -> Column:
+    return F.md5(text_or_empty().cast("binary"))
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    """The texts of ``docs``, named by themselves."""
+    return docs.select(_text_key().alias("doc_id"), "text")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` with hit words, each with what separates it from the next word, cut out of ``text``."""
-    found = hits(docs, benchmark, **options).where(F.size("spans") > 0)
-    found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.first("spans").alias("_spans"))
+    """``docs`` with hit words, each with what separates it from the next word, cut out of ``text``, whatever the id."""
+    found = hits(_by_text(docs), benchmark, **options).where(F.size("spans") > 0)
+    found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.any_value("spans").alias("_spans"))
     word = WORD[:2] + WORD[2:].replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # both cases
     rest = word[0] + word[2:-1]
     pieces = F.regexp_extract_all("text", F.lit(f"{word}{rest}*"), F.lit(0))
     kept = F.filter(pieces, lambda p, i: ~F.exists("_spans", lambda s: (i >= s["from"]) & (i < s["to"])))
     cut = F.concat(F.regexp_extract("text", f"^{rest}*", 0), F.array_join(kept, ""))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left")
+    joined = docs.join(found, _text_key() == found["_id"], "left")
     return joined.select(
         *[F.when(F.col("_spans").isNotNull(), cut).otherwise(docs["text"]).alias(c) if c == "text" else docs[c] for c in docs.columns]
     )

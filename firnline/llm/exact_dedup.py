@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.llm.columns import read_table, text_or_empty
+from firnline.llm.rows import one_row_each, repeated_rows, without_rows
 from firnline.session import materialise, scratch_dir
 
 QUERY = "op4_exact_dedup"
@@ -122,9 +123,15 @@ def exact_duplicates(docs: DataFrame, digest=sha256, files_per_batch: int = 10_0
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that lose to an equal text; all columns stay. See ``exact_duplicates``."""
-    losers = materialise(exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_loser")))
-    return docs.join(losers, docs["doc_id"].eqNullSafe(losers["_loser"]), "left_anti")
+    """``docs`` with one row of each group of equal texts; all columns stay. See ``exact_duplicates``.
+
+    Rows go by id and text together, so other texts of an id stay; of rows that share the id and the text
+    that stays, the longest, then greatest text is kept.
+    """
+    rows = materialise(exact_duplicates(docs).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_key"), "kept"))
+    losers = rows.where(~F.col("kept")).select("_id", "_key").distinct()
+    key = lambda: sha256(normalised(text_or_empty()))
+    return one_row_each(without_rows(docs, materialise(losers), key), repeated_rows(rows.where("kept")), key)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.llm.columns import read_table, text_or_empty
+from firnline.llm.rows import one_row_each, releasing, repeated_rows, without_rows
 from firnline.llm.shingles import in_slices, mix, multipliers, shingle_sets
 from firnline.operators.components import connected_components
 from firnline.session import materialise
@@ -83,9 +84,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id bigint, th bigint, n int, k1 bigint, k2 bigint, rows array<bigint>"
 
 
+@releasing
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factor = multipliers(2, seed=11)
-    for b in (part for whole in batches for part in in_slices(whole)):
+    for b in (part for whole in batches for part in in_slices(whole, most_bytes=1 << 20)):
         sets = shingle_sets(b.column("text"), SHINGLE)
         with np.errstate(over="ignore"):
             keys = [[mix(s + f).sum(dtype=np.uint64).astype(np.int64) for s in sets] for f in factor]
@@ -175,6 +177,7 @@ def forest_links(signed: DataFrame) -> DataFrame:
 _VERIFIED = "k1 bigint, root bigint, links bigint, bin int, pairs bigint"
 
 
+@releasing
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles of each set; of its copies, which the join brings to the same task, one is enough."""
     seen: set[int] = set()
@@ -302,7 +305,7 @@ def _verify(docs: DataFrame, sets: DataFrame, links: DataFrame, threshold: Fract
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k1", "shingles"
     )
     keys = ["component", "i", "j"]
-    return materialise(grouped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verifier(threshold), _VERIFIED))
+    return materialise(grouped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(_verifier(threshold)), _VERIFIED))
 
 
 def expected_recall(similarities: dict[int, int], prefix: int) -> float:
@@ -326,6 +329,11 @@ def similar_documents(docs: DataFrame, threshold: str = SIMILARITY, recall: floa
     rows that repeat an id are rows of their own, and a NULL id is only returned where no row of
     the class has another. An empty table gives an empty result. Other columns are not read.
     """
+    return _classes(docs, threshold, recall).select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+
+
+def _classes(docs: DataFrame, threshold: str, recall: float) -> DataFrame:
+    """``similar_documents`` with the hash of each text, ``th``, and a key of each class, NULL for texts without words."""
     limit = Fraction(threshold)
     signed = materialise(docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text")).mapInArrow(_sign, _SIGNED))
     sets = materialise(signed.where("n > 0").groupBy("k1").agg(
@@ -346,22 +354,32 @@ def similar_documents(docs: DataFrame, threshold: str = SIMILARITY, recall: floa
     roots = connected_components(edges, sets.select(F.col("k1").alias("v"))).select(F.col("v").alias("k1"), "component")
     known = materialise(sets.select("k1", "copy_id", "n_copies").join(roots, "k1").join(linked, "k1", "left"))
     classes = known.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    labelled = known.join(classes, "component").select("k1", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copy_id", "n_copies")
-    rows = signed.select("doc_id", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), F.xxhash64("doc_id").alias("spread"))
+    labelled = known.join(classes, "component").select("k1", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copy_id", "n_copies", "component")
+    rows = signed.select("doc_id", "th", F.when(F.col("n") > 0, F.col("k1")).alias("k1"))
     # texts without words have no key to join on
-    with_words = rows.where("k1 IS NOT NULL").join(labelled, "k1").select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+    with_words = rows.where("k1 IS NOT NULL").join(labelled, "k1").select("doc_id", "class_id", "n_links", "copy_id", "n_copies", "th", "component")
     without = rows.where("k1 IS NULL").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"),
-        F.col("doc_id").alias("copy_id"), F.lit(1).cast("bigint").alias("n_copies"),
+        F.col("doc_id").alias("copy_id"), F.lit(1).cast("bigint").alias("n_copies"), "th", F.lit(None).cast("bigint").alias("component"),
     )
     return with_words.unionByName(without)
 
 
-def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest id; all columns stay. See ``similar_documents``."""
-    found = similar_documents(docs, **options).where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    losers = materialise(found.select(F.col("doc_id").alias("_loser")).distinct())
-    return docs.join(losers, docs["doc_id"].eqNullSafe(losers["_loser"]), "left_anti")
+def without_near_duplicates(docs: DataFrame, threshold: str = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one row of each class, one of the smallest id; all columns stay. See ``similar_documents``.
+
+    Rows go by id and text together. Texts without words all stay.
+    """
+    rows = materialise(_classes(docs, threshold, recall).where("component IS NOT NULL").select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_key"), "component", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("first")
+    ))
+    # one text of those that share the smallest id of their class
+    stays = rows.where("first").groupBy(F.col("component").alias("c")).agg(F.min("_key").alias("text"))
+    kept = F.col("first") & (F.col("_key") == F.col("text"))
+    rows = materialise(rows.join(stays, F.col("component") == F.col("c")).select("_id", "_key", kept.alias("kept")))
+    losers = materialise(rows.where(~F.col("kept")).select("_id", "_key").distinct())
+    key = lambda: F.xxhash64(text_or_empty())
+    return one_row_each(without_rows(docs, losers, key), repeated_rows(rows.where("kept")), key)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

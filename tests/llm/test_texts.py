@@ -307,4 +307,4 @@ def test_pipeline_stages_against_brute_force(spark):
 def test_queries_carry_every_document(spark):
     from firnline import llm
 
-    assert len(llm.queries()) == 10 and all(n.startswith("op") for n in llm.queries())
+    assert len(llm.queries()) == 13 and all(n.startswith("op") for n in llm.queries())

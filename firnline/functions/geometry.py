@@ -49,12 +49,13 @@ def centroid(es: Column) -> Column:
 
 def contains(es: Column, px: Column, py: Column) -> Column:
     """Even-odd rule: a ray to the right crosses an odd number of edges."""
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > py) != (e["y2"] > py)
-        at = e["x1"] + F.try_divide((py - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])
-        return spans & (px < at)
+    return F.size(F.filter(es, lambda e: crosses_ray(e, px, py))) % 2 == 1
 
-    return F.size(F.filter(es, crosses)) % 2 == 1
+
+def crosses_ray(e: Column, px: Column, py: Column) -> Column:
+    """True where the ray from a point to the right crosses the edge; of its ends, the lower one belongs to it."""
+    at = e["x1"] + F.try_divide((py - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])
+    return ((e["y1"] > py) != (e["y2"] > py)) & (px < at)
 
 
 def _toward(e: Column, px: Column, py: Column) -> Column:
@@ -159,11 +160,6 @@ def outline_inside(inner: Column, outer: Column) -> Column:
     return ~out & ~F.exists(inner, lambda e: F.exists(outer, lambda f: _edges_cross(e, f)))
 
 
-def holds_first_vertex(es: Column, other: Column) -> Column:
-    """True where the first vertex of ``other`` lies inside an outline."""
-    return contains(es, other[0]["x1"], other[0]["y1"])
-
-
 def utm_code(lat: Column, lon: Column) -> Column:
     """EPSG code of the local UTM zone, e.g. ``epsg:32632``."""
     # Code base north, code base south.

@@ -18,6 +18,10 @@ from firnline.session import materialise
 from firnline.tables import missing_to_null
 
 
+#: Outlines of more edges are not tested whole.
+WHOLE_EDGES = 64
+
+
 def with_edges(outlines: DataFrame, rings: str = "rings", grow: float = 0.0) -> DataFrame:
     """Add the edge array and the (grown) box of every outline."""
     out = outlines.withColumn("edges", geometry.edges(F.col(rings)))
@@ -90,40 +94,66 @@ def points_in_outlines(points: DataFrame, outlines: DataFrame, attributes: list[
     """Left join of points ``px, py`` with a unique ``key`` to the outlines that contain them.
 
     A point looks outlines up in its one tile of every level in use, so it meets an
-    outline at most once.
+    outline at most once. Outlines of many edges do not travel whole: a ray from the point
+    to the right looks up the edges of the strips it runs through, see ``_ray_hits``.
     """
     areas = _with_level(with_edges(outlines))
-    levels = F.array(*[F.lit(v) for v in _levels(areas)])
+    large = F.size("edges") > WHOLE_EDGES
+    found = areas.groupBy("_level").agg(F.max(large).alias("large")).collect()  # exponents of box sizes: a few dozen
+    levels = F.array(*[F.lit(r["_level"]) for r in sorted(found)]).cast("array<int>")
     side = F.pow(F.lit(2.0), F.col("_level"))
     keyed = (
         points.select(key, "px", "py").withColumn("_level", F.explode(levels))
         .withColumns({"_ty": F.floor(F.col("py") / side), "_tx": F.floor(F.col("px") / side)})
     )
-    held = _on_tiles(areas).select(*_TILE, "edges", *attributes)
-    hits = keyed.join(held, _TILE).where(geometry.contains(F.col("edges"), F.col("px"), F.col("py")))
-    return points.join(hits.select(key, *attributes), key, "left")
+    held = _on_tiles(areas.where(~large)).select(*_TILE, "edges", *attributes)
+    hits = keyed.join(held, _TILE).where(geometry.contains(F.col("edges"), F.col("px"), F.col("py"))).select(key, *attributes)
+    if any(r["large"] for r in found):
+        hits = hits.unionByName(_ray_hits(keyed, areas.where(large), attributes, key))
+    return points.join(hits, key, "left")
+
+
+def _ray_hits(keyed: DataFrame, areas: DataFrame, attributes: list[str], key: str) -> DataFrame:
+    """Points on tiles and the outlines that contain them, by counting the edges that a ray to the right crosses.
+
+    An edge lives in the strips of its own height that it touches, two at most, and a ray looks up
+    one strip of every height in use in its outline. What is tested follows the edges at the
+    height of the point and not the size of the outline, and edges of one outline are spread by strip.
+    """
+    numbered = materialise(areas.select("_level", "box", "edges", *attributes).withColumn("_outline", F.monotonically_increasing_id()))
+    b, e = F.col("box"), F.col("e")
+    near = keyed.join(_on_tiles(numbered.select("_level", "box", "_outline")), _TILE).where(
+        (F.col("px") >= b["minx"]) & (F.col("px") <= b["maxx"]) & (F.col("py") >= b["miny"]) & (F.col("py") <= b["maxy"])
+    ).select(key, "px", "py", "_outline")
+    low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+    sloped = numbered.select("_outline", F.explode("edges").alias("e")).where(e["y1"] != e["y2"]).withColumn("_strip", F.ceil(F.log2(high - low)).cast("int"))
+    height = F.pow(F.lit(2.0), F.col("_strip"))
+    strips = sloped.withColumn("_sy", F.explode(F.sequence(F.floor(low / height), F.floor(high / height))))
+    heights = sloped.groupBy("_outline").agg(F.collect_set("_strip").alias("_strips"))
+    rays = near.join(heights, "_outline").withColumn("_strip", F.explode("_strips")).drop("_strips").withColumn("_sy", F.floor(F.col("py") / height))
+    crossed = rays.join(strips, ["_outline", "_strip", "_sy"]).where(geometry.crosses_ray(e, F.col("px"), F.col("py")))
+    inside = crossed.groupBy(key, "_outline").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1")
+    return inside.join(numbered.select("_outline", *attributes), "_outline").select(key, *attributes)
 
 
 def close_pairs(outlines: DataFrame, distance: float, key: str = "entry_id") -> DataFrame:
     """Pairs ``a < b`` of outlines within ``distance`` of each other, each once."""
     half = distance / 2
-    boxed = materialise(with_edges(outlines.select(key, "rings"), grow=half))
+    boxed = with_edges(outlines.select(key, "rings"), grow=half)
     # both boxes grow by half the distance, so the boxes of what is close meet
     edges = materialise(boxed.select(key, F.explode("edges").alias("edge")).withColumn("box", geometry.edge_box(F.col("edge"), half)))
     left = edges.select(F.col(key).alias("a"), F.col("edge").alias("ea"), "box")
     right = edges.select(F.col(key).alias("b"), F.col("edge").alias("eb"), "box")
     close = _meeting(left, right).where(F.col("a") < F.col("b")).where(
         geometry.edges_within(F.col("ea"), F.col("eb"), distance)
-    ).select("a", "b").distinct()
-    close = materialise(close)
-    # what no edges bring together can still lie one inside the other: a test of one vertex
-    whole = boxed.select(key, "box")
-    rest = _meeting(whole.select(F.col(key).alias("a"), "box"), whole.select(F.col(key).alias("b"), "box"))
-    rest = rest.where(F.col("a") < F.col("b")).select("a", "b").join(close, ["a", "b"], "left_anti")
-    rest = rest.join(boxed.select(F.col(key).alias("a"), F.col("edges").alias("ea")), "a")
-    rest = rest.join(boxed.select(F.col(key).alias("b"), F.col("edges").alias("eb")), "b")
-    inside = geometry.holds_first_vertex(F.col("eb"), F.col("ea")) | geometry.holds_first_vertex(F.col("ea"), F.col("eb"))
-    return close.unionByName(rest.where(inside).select("a", "b"))
+    ).select("a", "b")
+    # rings that no edges bring close can still lie inside another outline, each ring by itself: a test of one vertex
+    firsts = outlines.select(F.col(key).alias("_owner"), F.posexplode("rings").alias("_i", "_ring")).where(F.size("_ring") > 0)
+    points = firsts.select(F.struct("_owner", "_i").alias("_vertex"), F.col("_ring")[0]["x"].alias("px"), F.col("_ring")[0]["y"].alias("py"))
+    within = points_in_outlines(points, outlines.select(F.col(key).alias("_around"), "rings"), ["_around"], "_vertex")
+    owner, around = F.col("_vertex._owner"), F.col("_around")
+    inside = within.where(owner != around).select(F.least(owner, around).alias("a"), F.greatest(owner, around).alias("b"))
+    return close.unionByName(inside).distinct()
 
 
 def box_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -274,14 +304,3 @@ def segments(cells: DataFrame, mask: Column, gsd: float, min_km2: float = 0.0, c
     sizes = named.join(lengths, "run").groupBy("segment").agg((F.sum("_n") * (gsd * gsd / 1e6)).alias("area_km2"))
     kept = named.join(sizes.where(F.col("area_km2") >= min_km2), "segment")
     return runs.join(kept, "run").select("entry_id", "segment", "y", "x", "area_km2")
-
-
-def boundary_edges(segment_cells: DataFrame) -> DataFrame:
-    """Cell sides where a segment ends, as ``entry_id, segment, y, x, side``."""
-    sides = [("north", -1, 0), ("south", 1, 0), ("west", 0, -1), ("east", 0, 1)]
-    around = F.array(*[
-        F.struct(F.lit(n).alias("side"), (F.col("y") + dy).alias("_ny"), (F.col("x") + dx).alias("_nx")) for n, dy, dx in sides
-    ])
-    spread = segment_cells.select("entry_id", "segment", "y", "x", F.inline(around))
-    inside = segment_cells.select("entry_id", "segment", F.col("y").alias("_ny"), F.col("x").alias("_nx"))
-    return spread.join(inside, ["entry_id", "segment", "_ny", "_nx"], "left_anti").select("entry_id", "segment", "y", "x", "side")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions import geometry
 from firnline.operators import buffers, inventory, neighbours, spatial
+from firnline.operators import outlines as outline_rings
 from firnline.operators.ordering import block_row_numbers
 from firnline.plans import fixtures as fx
 from firnline.plans.registry import query, rounded
@@ -112,6 +113,21 @@ def pairs_within_distance(spark, sf):
     return spatial.close_pairs(fx.poly(spark, sf), 41.0)
 
 
+@query("j9_pairs_of_parts", "J9", "poly", """
+with part as (select entry_id, cx, cy, half from poly where entry_id % 2 = 1
+  union all select entry_id, cx + 50000, cy, half from poly where entry_id % 2 = 0 union all select entry_id, cx + 37, cy + 11, 10 from poly where entry_id % 2 = 0)
+select distinct a.entry_id as a, b.entry_id as b from part a join part b on a.entry_id < b.entry_id
+  and abs(a.cx - b.cx) <= a.half + b.half and abs(a.cy - b.cy) <= a.half + b.half""")
+def pairs_of_parts(spark, sf):
+    """Outlines of two parts, whose second one may lie inside another outline while the first is far away."""
+    def square(dx, dy, half):
+        return F.array(*[F.struct((F.col("cx") + dx + sx * half).alias("x"), (F.col("cy") + dy + sy * half).alias("y")) for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+
+    two = F.array(square(50000.0, 0.0, F.col("half")), square(37.0, 11.0, F.lit(10.0)))
+    shapes = fx.poly(spark, sf).withColumn("rings", F.when(F.col("entry_id") % 2 == 0, two).otherwise(F.col("rings")))
+    return spatial.close_pairs(shapes, 0.0)
+
+
 @query("j10_box_intersections", "J10", "poly", """
 with t as (select c_custkey as tile, (c_custkey % 12) * 250 as tx, floor(c_custkey / 12) * 250 as ty from customer)
 select entry_id, tile from poly join t on cx - half - 100 <= tx + 250 and tx <= cx + half + 100 and cy - half - 100 <= ty + 250 and ty <= cy + half + 100""")
@@ -217,7 +233,52 @@ select m.entry_id, m.y, m.x, side from m cross join d where not exists (
   select 1 from m n where n.entry_id = m.entry_id and n.y = m.y + dy and n.x = m.x + dx)""")
 def segment_boundaries(spark, sf):
     s = spatial.segments(fx.px(spark, sf), F.col("b") >= 5400, 10.0)
-    return spatial.boundary_edges(materialise(s)).select("entry_id", "y", "x", "side")
+    return outline_rings.boundary_edges(materialise(s)).select("entry_id", "y", "x", "side")
+
+
+SEGMENTS_SQL = """
+with recursive m as materialized (select entry_id, y, x from px where b >= 5400),
+id as materialized (select *, entry_id * 1000000 + y * 100 + x as v from m),
+e as materialized (select a.v as a, b.v as b from id a join id b on a.entry_id = b.entry_id and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and a.v <> b.v),
+reach(v, r) as (select v, v from id union select reach.v, e.b from reach join e on reach.r = e.a),
+s as materialized (select id.entry_id, id.y, id.x, l.root as segment from id join (select v, min(r) as root from reach group by v) l using (v))
+"""
+
+
+def _segments(spark, sf):
+    s = spatial.segments(fx.px(spark, sf), F.col("b") >= 5400, 10.0)
+    root = F.col("segment.entry_id") * 1000000 + F.col("segment.y") * 100 + F.col("segment.x")
+    return materialise(s.select("entry_id", root.alias("segment"), "y", "x"))
+
+
+@query("w18_rings", "W18 X19", "px", SEGMENTS_SQL + """
+, corner as (select entry_id, segment, y + dy as vy, x + dx as vx, count(*) as c, sum(dy) as sy, sum(dx) as sx
+  from s, (values (0), (1)) a(dy), (values (0), (1)) b(dx) group by all),
+v as (select segment, sum(case when c in (1, 3) then 1 when c = 2 and sy = 1 and sx = 1 then 2 else 0 end) as corners, count(*) filter (where c = 4) as blocks from corner group by segment),
+p as (select a.segment, count(*) as pairs from s a join s b on a.segment = b.segment and abs(a.y - b.y) + abs(a.x - b.x) = 1 and (a.y < b.y or a.x < b.x) group by a.segment),
+n as (select entry_id, segment, count(*) as cells from s group by all)
+select n.entry_id, n.segment, round(cells * 100 / 1e6, 6) as area_km2, cells - coalesce(pairs, 0) + blocks as parts_without_holes, cast(corners as bigint) as corners
+from n join v using (segment) left join p using (segment)""")
+def rings_of_segments(spark, sf):
+    """Rings around segments; the statement knows them by their areas, corners and Euler number only."""
+    rings = outline_rings.segment_rings(_segments(spark, sf), 10.0)
+    return rounded(rings.groupBy("entry_id", "segment").agg(
+        F.sum("area_km2").alias("area_km2"), F.sum(F.signum("area_km2")).cast("bigint").alias("parts_without_holes"),
+        F.sum(F.size("points")).cast("bigint").alias("corners")))
+
+
+@query("w18_cells_in_outlines", "W18 J8", "px", SEGMENTS_SQL + """
+select px.entry_id, px.y, px.x, s.segment from px left join s on px.entry_id = s.entry_id and px.y = s.y and px.x = s.x""")
+def cells_in_outlines(spark, sf):
+    """Cell centres located in the outlines that were traced around segments; every entry has a strip of its own on the map."""
+    def shifted(p):
+        return F.struct((p["x"] + F.col("entry_id") * 1000.0).alias("x"), p["y"].alias("y"))
+
+    traced = outline_rings.segment_outlines(_segments(spark, sf), 10.0)
+    traced = traced.select("segment", F.transform("rings", lambda r: F.transform(r, shifted)).alias("rings"))
+    centres = fx.px(spark, sf).select(
+        F.struct(*CELL).alias("cell"), ((F.col("x") + 0.5) * 10 + F.col("entry_id") * 1000.0).alias("px"), ((F.col("y") + 0.5) * 10).alias("py"))
+    return spatial.points_in_outlines(centres, traced, ["segment"], "cell").select("cell.*", "segment")
 
 
 # --- buffers on the raster -------------------------------------------------------------------

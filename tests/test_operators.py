@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 from firnline import session, tables
 from firnline.functions import geometry, naming, probability, spectral
 from firnline.operators import (
-    buffers, calibrate, catalogue, change, components, ensemble, evaluate, folds, images, inventory, neighbours, ordering,
-    patches, pixels, spatial, thresholds,
+    buffers, calibrate, catalogue, change, components, ensemble, evaluate, folds, images, inventory, neighbours, ordering, outlines, patches, pixels, spatial, thresholds,
 )
 from firnline.operators.entry_functions import map_entries
+from firnline.session import materialise
 from firnline.sources import readers
 
 
@@ -695,3 +695,118 @@ def test_scan_pushes_filters_and_prunes_columns(spark):
     cells = df.select(F.to_date("l_shipdate").alias("date"), "l_suppkey", "l_quantity").where("l_quantity > 40").select("l_suppkey")
     plan = cells._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,40.0)" in plan and "l_extendedprice" not in plan
+
+
+def random_mask(seed, h, w, share):
+    rng = random.Random(seed)
+    return {(y, x) for y in range(h) for x in range(w) if rng.random() < share}
+
+
+def walked_rings(cells):
+    """Rings around a set of cells, walked with the cells on the left, as frozensets of unit steps."""
+    steps = set()
+    for y, x in cells:
+        for there, a, b in (((y - 1, x), (y, x), (y, x + 1)), ((y, x + 1), (y, x + 1), (y + 1, x + 1)), ((y + 1, x), (y + 1, x + 1), (y + 1, x)), ((y, x - 1), (y + 1, x), (y, x))):
+            if there not in cells:
+                steps.add((a, b))
+
+    def following(a, b):
+        dy, dx = b[0] - a[0], b[1] - a[1]
+        # to the left, straight on, to the right; y grows to the left of growing x
+        return next((b, c) for c in ((b[0] + dx, b[1] - dy), (b[0] + dy, b[1] + dx), (b[0] - dx, b[1] + dy)) if (b, c) in steps)
+
+    rings, left = [], set(steps)
+    while left:
+        ring, step = [], min(left)
+        while step in left:
+            left.remove(step)
+            ring.append(step)
+            step = following(*step)
+        assert step == ring[0]
+        rings.append(frozenset(ring))
+    return rings
+
+
+def test_rings_are_those_of_a_walk_and_holes_lie_in_their_part(spark):
+    cells, expected = [], []
+    for e, share in enumerate((0.3, 0.55, 0.8, 0.95, 1.0)):
+        mask = random_mask(e, 14, 17, share)
+        mask |= {(y, 30 + x) for y in range(9) for x in range(9) if not (1 <= y <= 7 and 1 <= x <= 7) or (2 <= y <= 6 and 2 <= x <= 6 and (y, x) != (4, 4))}
+        cells += [(e, y, x, 1) for y, x in mask]
+        expected += [(e, r) for r in walked_rings(mask)]
+    found = materialise(outlines.segment_rings(materialise(spatial.segments(spark.createDataFrame(cells, "entry_id int, y int, x int, v int"), F.lit(True), 2.0)), 2.0)).collect()
+    got, areas = [], {}
+    for r in found:
+        points = [(int(p.y / 2), int(p.x / 2)) for p in r.points]
+        steps = []
+        for (y1, x1), (y2, x2) in zip(points, points[1:] + points[:1]):
+            dy, dx = (y2 > y1) - (y2 < y1), (x2 > x1) - (x2 < x1)
+            assert (dy == 0) != (dx == 0)
+            steps += [((y1 + k * dy, x1 + k * dx), (y1 + (k + 1) * dy, x1 + (k + 1) * dx)) for k in range(abs(y2 - y1) + abs(x2 - x1))]
+        got.append((r.entry_id, frozenset(steps)))
+        areas[r.ring] = r.area_km2
+    assert sorted(map(hash, got)) == sorted(map(hash, expected)) and len(got) == len(set(got))
+    by_ring = {r.ring: r for r in found}
+    for r in found:
+        outer = by_ring[r.part]
+        assert outer.area_km2 > 0 and (r.area_km2 < 0 or r.part == r.ring)
+        if r.area_km2 < 0:  # the cell left of the leftmost side of a hole lies inside its outer ring
+            x, y = min((p.x, p.y) for p in r.points)
+            ring = [(p.x, p.y) for p in outer.points]
+            inside = sum((y1 > y + 1) != (y2 > y + 1) and x - 1 < x1 for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1])) % 2
+            assert inside == 1 and outer.segment == r.segment
+    assert sum(areas.values()) == pytest.approx(len(cells) * 4 / 1e6)
+
+
+def test_rings_of_nothing(spark):
+    none = spark.createDataFrame([], "entry_id int, segment int, y int, x int")
+    assert outlines.segment_outlines(none, 10.0).count() == 0
+
+
+def test_places_in_cycles_of_any_length(spark):
+    rng = random.Random(2)
+    ids = rng.sample(range(10_000), 400)
+    cycles, at = [], 0
+    for n in (1, 2, 3, 64, 65, 200, 65):
+        cycles.append(ids[at:at + n])
+        at += n
+    links = [(c[i], c[(i + 1) % len(c)]) for c in cycles for i in range(len(c))]
+    found = {r.piece: (r.cycle, r.place) for r in outlines.ranked_cycles(spark.createDataFrame(links, "piece bigint, next bigint")).collect()}
+    for c in cycles:
+        k = c.index(min(c))
+        assert [found[x] for x in c[k:] + c[:k]] == [(min(c), i) for i in range(len(c))]
+
+
+def test_points_in_an_outline_of_many_vertices(spark):
+    rng = random.Random(8)
+    n = 20_000
+    ring = [((600 + 300 * rng.random()) * math.cos(2 * math.pi * i / n), (600 + 300 * rng.random()) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    hole = [(-100.0, -100.0), (-100.0, 100.0), (100.0, 100.0), (100.0, -100.0)]
+    square = [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0)]
+    o = outline_table(spark, [("star", [ring, hole]), ("square", [square])]).withColumnRenamed("entry_id", "name")
+    points = [(i, rng.uniform(-950, 950), rng.uniform(-950, 950)) for i in range(300)] + [(300, 20.0, 20.0), (301, 700.0, ring[0][1]), (302, -99.0, 0.0)]
+    found = spatial.points_in_outlines(spark.createDataFrame(points, "entry_id int, px double, py double"), o, ["name"]).where("name is not null")
+    xy = [np.array(r) for r in (ring, hole)]
+
+    def inside(px, py):
+        crossings = 0
+        for r in xy:
+            (x1, y1), (x2, y2) = r.T, np.roll(r, -1, axis=0).T
+            spans = (y1 > py) != (y2 > py)
+            crossings += int((px < x1[spans] + (py - y1[spans]) * (x2 - x1)[spans] / (y2 - y1)[spans]).sum())
+        return crossings % 2 == 1
+
+    expected = [(i, "star") for i, x, y in points if inside(x, y)] + [(i, "square") for i, x, y in points if 0 <= x < 50 and 0 <= y < 50]
+    assert sorted((r.entry_id, r["name"]) for r in found.collect()) == sorted(expected)
+
+
+def test_close_pairs_of_outlines_with_parts(spark):
+    def square(cx, cy, h):
+        return [(cx - h, cy - h), (cx + h, cy - h), (cx + h, cy + h), (cx - h, cy + h)]
+
+    o = outline_table(spark, [
+        ("a", [square(1000, 0, 5), square(0, 0, 5)]), ("b", [square(0, 0, 100)]), ("c", [square(5000, 0, 100), square(5000, 0, 60)[::-1]]),
+        ("d", [square(5000, 0, 20)]), ("e", [square(9000, 0, 1), square(5080, 0, 5)]),
+    ])
+    # d lies in the hole of c, e with one part inside its rim
+    assert rows(spatial.close_pairs(o, 1.0), "a", "b") == [("a", "b"), ("c", "e")]

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firnline.session import materialise
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame, key: list[str] | None = None) -> DataFrame:
+#: Vertices that a task contracts at once.
+CONTRACTED = 400_000
+
+
+def connected_components(edges: DataFrame, vertices: DataFrame, contract: bool = False) -> DataFrame:
     """Label every vertex with the smallest vertex of its component.
 
     ``edges`` has columns ``a, b``; ``vertices`` has ``v``. Alternates the two star
@@ -18,14 +25,20 @@ def connected_components(edges: DataFrame, vertices: DataFrame, key: list[str] |
     per vertex, so a vertex with very many neighbours can be split by skew handling.
     Both halves of a round are written tables, as each is read twice; the loop ends when
     only stars are left.
+
+    With ``contract``, every task first replaces the edges that it holds by stars with the same
+    components, so the rounds see no more edges than vertices in each task, and hubs and
+    chains within a task are gone before the first shuffle by vertex.
     """
-    current = materialise(
+    distinct = (
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
     )
+    shrink = _contracted if contract else (lambda e: e)
+    current = materialise(shrink(distinct))
     while not _only_stars(current):
-        current = materialise(_small_star(materialise(_large_star(current))))
+        current = materialise(shrink(_small_star(materialise(_large_star(current)))))
     roots = current.select(F.col("hi").alias("v"), F.col("lo").alias("component"))
     return (
         vertices.select("v").join(roots, "v", "left")
@@ -33,6 +46,45 @@ def connected_components(edges: DataFrame, vertices: DataFrame, key: list[str] |
     )
 
 
+def _contracted(e: DataFrame) -> DataFrame:
+    """Edges ``hi, lo`` with the same components, which are stars within every ``CONTRACTED`` vertices of a task."""
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def find(v):
+            root = v
+            while (above := up[root]) != root:
+                root = above
+            while (above := up[v]) != root:
+                up[v], v = root, above
+            return root
+
+        def stars(schema: pa.Schema) -> pa.RecordBatch:
+            pairs = [(v, find(v)) for v in up if up[v] != v]
+            kind = schema.field("hi").type
+            names = [f.name for f in kind] if pa.types.is_struct(kind) else None
+            sides = [[p[i] if names is None else dict(zip(names, p[i])) for p in pairs] for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x in sides], ["hi", "lo"])
+
+        for b in batches:
+            his, los = (b.column(c).to_pylist() for c in ("hi", "lo"))
+            if pa.types.is_struct(b.schema.field("hi").type):
+                his, los = ([tuple(v.values()) for v in x] for x in (his, los))
+            for x, y in zip(his, los):
+                rx, ry = find(up.setdefault(x, x)), find(up.setdefault(y, y))
+                if rx < ry:
+                    up[ry] = rx
+                elif ry < rx:
+                    up[rx] = ry
+            if len(up) > CONTRACTED:
+                yield stars(b.schema)
+                up.clear()
+        if up:
+            yield stars(b.schema)
+
+    return e.mapInArrow(contract, e.schema)
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
         e.select(F.col("lo").alias("u"), F.col("hi").alias("v"))

@@ -141,12 +141,14 @@ def close_pairs(outlines: DataFrame, distance: float, key: str = "entry_id") ->
     half = distance / 2
     boxed = with_edges(outlines.select(key, "rings"), grow=half)
     # both boxes grow by half the distance, so the boxes of what is close meet
-    edges = materialise(boxed.select(key, F.explode("edges").alias("edge")).withColumn("box", geometry.edge_box(F.col("edge"), half)))
-    left = edges.select(F.col(key).alias("a"), F.col("edge").alias("ea"), "box")
-    right = edges.select(F.col(key).alias("b"), F.col("edge").alias("eb"), "box")
-    close = _meeting(left, right).where(F.col("a") < F.col("b")).where(
+    edges = materialise(_with_level(boxed.select(key, F.explode("edges").alias("edge")).withColumn("box", geometry.edge_box(F.col("edge"), half))))
+    # the smaller of two boxes looks the larger one up; of the same size, both look
+    probing = _probing(edges.select(F.col(key).alias("a"), F.col("edge").alias("ea"), "box", "_level"), _levels(edges), False).withColumnRenamed("box", "ba")
+    held = _on_tiles(edges.select(F.col(key).alias("b"), F.col("edge").alias("eb"), "box", "_level")).withColumnRenamed("box", "bb")
+    met = probing.join(held, _TILE).where(F.col("a") != F.col("b")).where(geometry.boxes_meet(F.col("ba"), F.col("bb")))
+    close = met.where(_first_common_tile(F.col("ba"), F.col("bb"))).where(
         geometry.edges_within(F.col("ea"), F.col("eb"), distance)
-    ).select("a", "b")
+    ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # rings that no edges bring close can still lie inside another outline, each ring by itself: a test of one vertex
     firsts = outlines.select(F.col(key).alias("_owner"), F.posexplode("rings").alias("_i", "_ring")).where(F.size("_ring") > 0)
     points = firsts.select(F.struct("_owner", "_i").alias("_vertex"), F.col("_ring")[0]["x"].alias("px"), F.col("_ring")[0]["y"].alias("py"))
@@ -263,7 +265,7 @@ def outline_mask(cells: DataFrame, covered: DataFrame, name: str = "mask_glacier
 def outline_components(outlines: DataFrame, distance: float, key: str = "entry_id") -> DataFrame:
     """Component of every outline in the graph of outlines within ``2 * distance + 1``."""
     pairs = close_pairs(outlines, 2 * distance + 1, key)
-    labels = connected_components(pairs, outlines.select(F.col(key).alias("v")))
+    labels = connected_components(pairs, outlines.select(F.col(key).alias("v")), contract=True)
     return labels.withColumnRenamed("v", key)
 
 
@@ -297,7 +299,7 @@ def segments(cells: DataFrame, mask: Column, gsd: float, min_km2: float = 0.0, c
         F.col("run").alias("a"),
     )
     links = up.join(runs.select("entry_id", "y", "x", F.col("run").alias("b")), ["entry_id", "y", "x"]).select("a", "b").distinct()
-    labels = connected_components(links, runs.select(F.col("run").alias("v")).distinct())
+    labels = connected_components(links, runs.select(F.col("run").alias("v")).distinct(), contract=True)
     named = materialise(labels.select(F.col("v").alias("run"), F.col("component").alias("segment")))
     # sizes are summed over runs, so the cells are joined only once
     lengths = runs.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))

@@ -810,3 +810,24 @@ def test_close_pairs_of_outlines_with_parts(spark):
     ])
     # d lies in the hole of c, e with one part inside its rim
     assert rows(spatial.close_pairs(o, 1.0), "a", "b") == [("a", "b"), ("c", "e")]
+
+
+@pytest.mark.parametrize("limit", [10, 400_000])
+def test_components_with_contraction_have_hubs_chains_and_structs(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "CONTRACTED", limit)
+    rng = random.Random(limit)
+    links = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(150)] + [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(150)]
+    up = {}
+    for a, b in links:
+        up.setdefault(a, {a}), up.setdefault(b, {b})
+        if up[a] is not up[b]:
+            up[a] |= up[b]
+            for v in up[b]:
+                up[v] = up[a]
+    vertex = lambda c: F.struct((F.col(c) % 7).alias("k"), F.col(c).alias("v"))
+    edges = spark.createDataFrame(links, "a bigint, b bigint").repartition(3)
+    vertices = spark.createDataFrame([(v,) for v in [*up, 9999]], "v bigint")
+    found = components.connected_components(edges, vertices, contract=True)
+    assert {r.v: r.component for r in found.collect()} == {v: min(s) for v, s in up.items()} | {9999: 9999}
+    structs = components.connected_components(edges.select(vertex("a").alias("a"), vertex("b").alias("b")), vertices.select(vertex("v").alias("v")), contract=True)
+    assert {r.v.v: (r.component.k, r.component.v) for r in structs.collect()} == {v: min((x % 7, x) for x in s) for v, s in up.items()} | {9999: (9999 % 7, 9999)}

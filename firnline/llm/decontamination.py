@@ -19,6 +19,8 @@ QUERY = "op2_decontamination"
 WINDOW = 13
 #: Most bytes of window words that may be broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Words of a part of a text whose windows are opened together.
+PART_WORDS = 1000
 #: Beyond that, tasks that share the windows of one hash, and hits from which on a window counts as frequent.
 SALTS, FREQUENT = 16, 10_000
 
@@ -106,14 +108,19 @@ def _met_broadcast(rows: DataFrame, keyed: DataFrame, lengths: list[int]) -> Dat
         F.lit(0).alias("n"), F.array().cast("array<string>").alias("item_words"), F.array().cast("array<string>").alias("items"),
         F.lit(0).cast("bigint").alias("hash"),
     )
-    rows = rows.select("doc_id", "row", "w", _word_hashes("w").alias("h"), "n_words")
+    # every window is opened with the words around it, so long texts are cut into parts that share what a window may reach over
+    reach = max(lengths, default=1) - 1
+    starts = F.sequence(F.lit(0), F.greatest(F.col("n_words") - 1, F.lit(0)), F.lit(PART_WORDS))
+    parts = F.transform(starts, lambda s: F.struct(s.alias("first"), F.slice("w", s + 1, F.lit(PART_WORDS + reach)).alias("w")))
+    rows = rows.select("doc_id", "row", F.col("n_words").alias("total"), F.explode(parts).alias("p")).select("doc_id", "row", "total", "p.first", "p.w")
+    rows = rows.select("doc_id", "row", "total", "first", "w", _word_hashes("w").alias("h"), F.size("w").alias("n_words"))
     windows = [_windows(n) for n in lengths]
-    seen = rows.select("doc_id", "row", "w", "n_words", F.explode(F.concat(F.array(always), *windows)).alias("x"))
-    seen = seen.select("doc_id", "row", "w", "n_words", "x.n", "x.hash", "x.at")
+    seen = rows.select("doc_id", "row", "total", "first", "w", F.explode(F.concat(F.array(always), *windows)).alias("x"))
+    seen = seen.select("doc_id", "row", "total", "first", "w", "x.n", "x.hash", "x.at")
     met = seen.join(F.broadcast(keyed.unionByName(entry)), ["n", "hash"]).where(
         (F.col("n") == 0) | (F.slice("w", F.col("at") + 1, F.greatest("n", F.lit(1))) == F.col("item_words"))
     )
-    return met.select("row", "doc_id", "n_words", "n", "at", "items")
+    return met.select("row", "doc_id", F.col("total").alias("n_words"), "n", (F.col("first") + F.col("at")).alias("at"), "items")
 
 
 def _met_shuffled(rows: DataFrame, keyed: DataFrame, lengths: list[int]) -> DataFrame:

@@ -50,3 +50,19 @@ def test_tokens_encoded_together_have_the_ids_of_each():
     texts = [" a bb  Ccc 12 's é日 ß x" + prose(4, 700) + " ﬁ ªº Ǆ ʰʱ", "", " ", "lead  two\n three", " 日本 語 " * 4]
     expected = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [list(memoryview(x).cast(enc.dtype.char)) for x in enc.encode(texts)] == expected
+
+
+def test_hits_across_parts_of_long_texts(spark, monkeypatch):
+    """Passages at, before and behind the ends of parts, and items shorter than a window."""
+    from .test_native import brute_contamination
+
+    monkeypatch.setattr(decontamination, "PART_WORDS", 50)
+    passage, short = prose(1, 20), prose(6, 3)
+    rows = []
+    for at in [*range(25, 56), 99, 100, 101, 130]:
+        w = prose(2, 150).split()
+        rows.append((at, " ".join([*w[:at], passage, *w[at:at + 40], short, *w[at + 40:]])))
+    rows += [(500, short), (501, None), (502, passage)]
+    items = [(1, passage), (2, short), (3, passage + " more")]
+    found = decontamination.contamination(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in found.collect()) == sorted(brute_contamination(rows, items))

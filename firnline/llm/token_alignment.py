@@ -4,8 +4,8 @@ The tokens of both tokenizers cover the same bytes. Where a token of each ends,
 cut. Cuts are found by dividing: near the middle of an interval a common end is located by
 bisection, both halves go on by themselves, and an interval without a common end is a group.
 
-The first cuts need no search. White space that both tokenizers are known to cut at divides
-a text into chunks, each of which has the same tokens wherever it stands. So a worker aligns
+The first cuts need no search. White space and signs that both tokenizers are known to cut at
+divide a text into chunks, each of which has the same tokens wherever it stands. So a worker aligns
 a distinct chunk once and puts documents together from remembered chunks.
 
 Which pairs of ids are linked in a document is written once. Documents with a pair are counted
@@ -21,7 +21,7 @@ import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from firnline.session import materialise
 QUERY = "op11_token_alignment"
 
 #: Chunks that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Bytes of text that are aligned at once.
 SLICE = 2 << 20
 #: Pairs in a slice of the stored counts.
@@ -98,8 +98,10 @@ class Encodings:
         for byte, i in enumerate(pieces.bytes_):
             self.bytes_b[i] = bytes([byte])
         self.size_b = len(self.bytes_b)
-        #: True if no piece joins a line end to anything.
-        self.lines_apart = not any("\n" in p and len(p) > 1 for p, _, _ in pieces.rows)
+        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        # no piece joins a line end to anything, or texts are cut at spaces only
+        lines_apart = not any("\n" in p and len(p) > 1 for p, _, _ in pieces.rows)
+        self.split = _chunks(pieces.apart) if lines_apart else _CAREFUL
         self._line = self.b.encode("\n")
 
     def of(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
@@ -111,14 +113,27 @@ class Encodings:
         return found_a, [ids if s else ids[n:] for ids, s in zip(found_b, spaced)]
 
 
-#: Chunks of a text whose only white space is spaces and line ends. Both tokenizers cut before white space
-#: that follows something else and around a line end that something else follows.
-_CHUNK = re.compile(r"\s+(?=\n\S)|\n(?=\S)|\s*\S+|\s+").findall
-#: Chunks of any other text: both cut before a space that follows anything but white space.
+#: Letters that A never joins to signs or digits in front of them, but for an apostrophe, or behind them.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Chunks of any text: both cut before a space that follows anything but white space.
 _CAREFUL = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*").findall
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
 
 
+def _chunks(apart: str):
+    """Splitter of texts whose only white space is spaces and line ends.
+
+    Both tokenizers cut before white space that follows something else and around a line end that
+    something else follows, and between letters and the signs and digits in ``apart``.
+    """
+    behind, before = (re.escape("".join(c for c in apart if c.isascii() and c not in x)) for x in ("", "'"))
+    other = rf"[^\s{_LETTER}]+"
+    if not behind:
+        return re.compile(r"\s+(?=\n\S)|\n(?=\S)|\s*\S+|\s+").findall
+    word = rf"(?:[{_LETTER}]+|{other})(?:(?<=[{_LETTER}])(?![{behind}]){other}|(?<![{_LETTER}{before}])[{_LETTER}]+)*"
+    return re.compile(rf"\s+(?=\n\S)|\n(?=\S)|\s*{word}|\s+").findall
+
+
 class Aligner:
     """Aligns texts from remembered chunks; starts over when it knows ``limit`` of them."""
 
@@ -137,8 +152,7 @@ class Aligner:
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
-        careful = not self.encodings.lines_apart or _OTHER_SPACE(text)
-        return (_CAREFUL if careful else _CHUNK)(" " + text)
+        return (_CAREFUL if _OTHER_SPACE(text) else self.encodings.split)(" " + text)
 
     @staticmethod
     def _room(array: np.ndarray, n: int) -> np.ndarray:
@@ -149,32 +163,44 @@ class Aligner:
         return grown
 
     def _learn(self, chunks: list[str]) -> None:
-        e = self.encodings
+        e, known = self.encodings, len(self.index)
+        self.index.update(zip(chunks, range(known, known + len(chunks))))
+        counts, sizes, pairs, times = [], [], [], []
         for chunk, ids_a, ids_b in zip(chunks, *e.of(chunks)):
-            k = self.index[chunk] = len(self.index)
-            self.counts, self.ends = self._room(self.counts, k + 1), self._room(self.ends, k + 2)
             raw, tokens_a, tokens_b = chunk.encode(), [e.bytes_a[i] for i in ids_a], [e.bytes_b[i] for i in ids_b]
-            end = int(self.ends[k])
             if b"".join(tokens_a) != raw or b"".join(tokens_b) != raw:
-                self.counts[k, 4], self.groups[chunk], self.ends[k + 1] = 1, "", end
+                counts.append((0, 0, 0, 0, 1))
+                sizes.append(0)
                 continue
-            cuts = shared_cuts(_ends(tokens_a), _ends(tokens_b))
-            links: dict[int, int] = {}
-            texts, i0, j0, n = [], 0, 0, 0
+            names_a, names_b = [e.names[i] for i in ids_a], [e.names[i] for i in ids_b]
+            texts, i0, j0, n, links = [], 0, 0, 0, {}
+            one = len(ids_a) == 1 or len(ids_b) == 1
+            cuts = [(len(ids_a), len(ids_b))] if one else shared_cuts([*accumulate(map(len, tokens_a))], [*accumulate(map(len, tokens_b))])
             for i, j in cuts:
-                in_a, in_b = ids_a[i0:i], ids_b[j0:j]
-                texts.append(f"{','.join(map(str, in_a))}|{','.join(map(str, in_b))}")
-                n += len(in_a) * len(in_b)
-                times_b = Counter(in_b)
-                for a, times_a in Counter(in_a).items():
-                    for b, times in times_b.items():
-                        links[a * e.size_b + b] = links.get(a * e.size_b + b, 0) + times_a * times
+                if i - i0 == j - j0 == 1:
+                    texts.append(f"{names_a[i0]}|{names_b[j0]}")
+                    pair = ids_a[i0] * e.size_b + ids_b[j0]
+                    links[pair] = links.get(pair, 0) + 1
+                    n += 1
+                else:
+                    texts.append(f"{','.join(names_a[i0:i])}|{','.join(names_b[j0:j])}")
+                    in_a, in_b = Counter(ids_a[i0:i]), Counter(ids_b[j0:j])
+                    n += (i - i0) * (j - j0)
+                    for x, times_a in in_a.items():
+                        for y, times_b in in_b.items():
+                            links[x * e.size_b + y] = links.get(x * e.size_b + y, 0) + times_a * times_b
                 i0, j0 = i, j
-            self.counts[k] = len(ids_a), len(ids_b), len(cuts), n, 0
+            counts.append((len(ids_a), len(ids_b), len(cuts), n, 0))
             self.groups[chunk] = ";".join(texts)
-            self.pairs, self.times = self._room(self.pairs, end + len(links)), self._room(self.times, end + len(links))
-            self.pairs[end:end + len(links)], self.times[end:end + len(links)] = list(links), list(links.values())
-            self.ends[k + 1] = end + len(links)
+            sizes.append(len(links))
+            pairs += links
+            times += links.values()
+        end = int(self.ends[known])
+        self.counts, self.ends = self._room(self.counts, known + len(counts)), self._room(self.ends, known + len(counts) + 1)
+        self.pairs, self.times = self._room(self.pairs, end + len(pairs)), self._room(self.times, end + len(pairs))
+        self.counts[known:known + len(counts)] = counts
+        self.ends[known + 1:known + len(counts) + 1] = end + np.cumsum(sizes)
+        self.pairs[end:end + len(pairs)], self.times[end:end + len(pairs)] = pairs, times
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Counts ``n_a, n_b, n_groups, n_links`` and groups of each text; the links of all: ends, pairs and times."""
@@ -192,7 +218,7 @@ class Aligner:
         np.add.at(counts, owner, self.counts[place])
         good = counts[:, 4] == 0
         counts[~good] = 0
-        groups = [";".join(map(self.groups.__getitem__, s)) if ok and s else "" for s, ok in zip(split, good.tolist())]
+        groups = [";".join(map(self.groups.__getitem__, s)) if ok else "" for s, ok in zip(split, good.tolist())]
 
         # chunks of a document once, then their links, then equal links together
         size = len(self.index) + 1
@@ -209,14 +235,6 @@ class Aligner:
         return counts[:, :4], groups, ends, pair[first], np.add.reduceat(times, first) if len(first) else times
 
 
-def _ends(tokens: list[bytes]) -> list[int]:
-    total, out = 0, []
-    for t in tokens:
-        total += len(t)
-        out.append(total)
-    return out
-
-
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 

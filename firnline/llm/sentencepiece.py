@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from firnline.llm.columns import read_table
 from firnline.llm.kneser_ney import _find, _runs, _shuffled, _slices, _top
+from firnline.llm.rows import releasing
 from firnline.llm.shared_files import mapped_array, new_folder, write_array
 from firnline.llm.token_counts import vocabulary_path
 from firnline.session import materialise
@@ -112,7 +113,7 @@ def distinct_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
                     seen = set()
         yield pa.record_batch([pa.array(list(seen), pa.string())], ["word"])
 
-    return docs.select("text").mapInArrow(collect, "word string").distinct()
+    return docs.select("text").mapInArrow(releasing(collect), "word string").distinct()
 
 
 def lattice(distinct: DataFrame, pieces: Pieces) -> DataFrame:
@@ -371,7 +372,7 @@ def store_words(encoded: DataFrame, folder: str, pieces: Pieces) -> WordTable:
     before = conf.get(setting)
     conf.set(setting, str(2 * GROUPED))
     try:
-        _shuffled(keyed).mapInArrow(write, schema).write.parquet(f"{folder}/manifest")
+        _shuffled(keyed).mapInArrow(releasing(write), schema).write.parquet(f"{folder}/manifest")
     finally:
         conf.set(setting, before)
     rows = encoded.sparkSession.read.schema(schema).parquet(f"{folder}/manifest").collect()  # one for each slice
@@ -426,7 +427,7 @@ def encode(docs: DataFrame, pieces: Pieces, folder: str | None = None) -> DataFr
                     ["doc_id", "n_tokens", "ids", "round_trip"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run_batches, _ENCODED)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run_batches), _ENCODED)
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:

@@ -13,7 +13,7 @@ _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 
 #: Bytes that are hashed at once, more only within a single word.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.llm.columns import crc_mod, read_table
+from firnline.llm.rows import release, releasing
 from firnline.session import materialise
 
 QUERY = "op1_toxicity"
@@ -196,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             yield _counts(toxic, clean)
             yield _counts(Counter(), Counter(), list(places))
 
-    seen = sample.mapInArrow(count_features, _COUNTS)
+    seen = sample.mapInArrow(releasing(count_features), _COUNTS)
     totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), sum(n for k, n in totals.items() if k != 1)
     chosen: list = []
@@ -221,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 (toxic if label == 1 else clean).update(patterns or [""])
         yield _counts(toxic, clean)
 
-    found = sample.mapInArrow(count_patterns, _COUNTS)
+    found = sample.mapInArrow(releasing(count_patterns), _COUNTS)
     rows = found.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
     for r in rows:
         prior = assumed(r.feature) if r.feature else 0.0
@@ -262,6 +263,9 @@ def scorer(model: Model):
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([model.score(t) for t in batch], dtype="float64")
+            del batch
+            release()
+            release()
 
     return score
 

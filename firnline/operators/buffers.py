@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firnline.session import materialise
 
 
+#: Reach up to which seeds are spread instead of swept.
+SHORT_REACH = 8
+
+
 def edge_cells(seeds: DataFrame, keys: list[str]) -> DataFrame:
     """Seed cells with at least one of four neighbours outside their own outline.
 
@@ -28,11 +36,15 @@ def edge_cells(seeds: DataFrame, keys: list[str]) -> DataFrame:
 def distances(seeds: DataFrame, reach: int, keys: list[str], per_id: bool) -> DataFrame:
     """Squared distance to the nearest seed for every position within ``reach`` cells.
 
-    The minimum over a disc is taken along rows first and along columns second, so each
-    seed spreads to ``2 * reach + 1`` positions and not to the whole disc, and minima are
-    combined before every shuffle. With ``per_id`` the distance is kept per outline;
-    otherwise the nearest outline wins and ties go to the lower id.
+    With ``per_id`` the distance is kept per outline; otherwise the nearest outline wins and ties
+    go to the lower id. Both ways are exact: a short reach spreads seeds over the few places within
+    it, which costs ``2 * reach + 1`` rows twice, and a long one is swept, whose rows do not grow with it.
     """
+    return _spread(seeds, reach, keys, per_id) if reach <= SHORT_REACH else _swept(seeds, reach, keys, per_id)
+
+
+def _spread(seeds: DataFrame, reach: int, keys: list[str], per_id: bool) -> DataFrame:
+    """The minimum over a disc, along rows first and along columns second, with minima before every shuffle."""
     group = [*keys, "id"] if per_id else keys
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     along = seeds.select(*keys, "id", "y", "x", F.explode(steps).alias("_dx"))
@@ -47,6 +59,105 @@ def distances(seeds: DataFrame, reach: int, keys: list[str], per_id: bool) -> Da
     return out.select(*keys, "y", "x", F.col("_b.d2").alias("d2"), F.col("_b.id").alias("id"))
 
 
+def _swept(seeds: DataFrame, reach: int, keys: list[str], per_id: bool) -> DataFrame:
+    """An exact distance transform in two passes.
+
+    Along a line of the raster every seed holds the positions that are nearer to it than to its
+    neighbours, so a position comes out once, however many seeds are within reach. Along a column
+    the minimum over all lines is the lower envelope of parabolas, see ``_envelopes``.
+    """
+    group = [*keys, "id"] if per_id else keys
+    of = seeds.schema
+    points = seeds.select(*keys, "id", "y", "x").distinct() if per_id else seeds.groupBy(*keys, "y", "x").agg(F.min("id").alias("id"))
+    line = Window.partitionBy(*group, "y").orderBy("x")
+
+    def last_of_left(left: Column, left_id: Column, right: Column, right_id: Column) -> Column:
+        """The last position that belongs to the left one of two neighbours; the middle goes to the lower id."""
+        both = left + right
+        return F.floor(both / 2) - F.when((both % 2 == 0) & (right_id < left_id), 1).otherwise(0)
+
+    x, i = F.col("x"), F.col("id")
+    before, before_id, behind, behind_id = F.lag("x").over(line), F.lag("id").over(line), F.lead("x").over(line), F.lead("id").over(line)
+    first = F.coalesce(F.greatest(last_of_left(before, before_id, x, i) + 1, x - reach), x - reach)
+    last = F.coalesce(F.least(last_of_left(x, i, behind, behind_id), x + reach), x + reach)
+    held = points.withColumns({"_first": first.cast("bigint"), "_last": last.cast("bigint")})
+    spread = held.select(*keys, "id", "y", F.col("x").alias("_from"), F.explode(F.sequence("_first", "_last")).alias("x"))
+    along = spread.select(*keys, "y", F.col("x").cast(of["x"].dataType).alias("x"), "id", F.abs(F.col("x") - F.col("_from")).cast("bigint").alias("d"))
+
+    schema = T.StructType([*[T.StructField(k, of[k].dataType) for k in keys], of["y"], of["x"], T.StructField("d2", T.LongType()), T.StructField("id", of["id"].dataType)])
+    sorted_columns = along.repartition(*group, "x").sortWithinPartitions(*group, "x", "y")
+    return sorted_columns.mapInArrow(_envelopes(keys, group, reach), schema)
+
+
+def _envelopes(keys: list[str], group: list[str], reach: int):
+    """Minimum of ``d^2 + dy^2`` over the rows of a column, for every ``y`` where it is ``reach^2`` at most.
+
+    Of two rows, the lower one is the better up to some ``y`` and the upper one beyond it, so a
+    stack holds the rows that are best somewhere and where each of them begins. A row is pushed once
+    and popped once, whatever the reach.
+    """
+    limit = reach * reach
+
+    def overtakes(p: tuple, q: tuple) -> int:
+        """First ``y`` where ``q`` is nearer than ``p``, which lies below it, or as near with a lower id."""
+        (yp, fp, ip), (yq, fq, iq) = p, q
+        above, width = yq * yq + fq - yp * yp - fp, 2 * (yq - yp)
+        return -(-above // width) if iq < ip else above // width + 1
+
+    def spans(rows: list[tuple]) -> Iterator[tuple[tuple, int, int]]:
+        stack: list[tuple[tuple, int | None]] = []
+        for q in rows:
+            start = None
+            while stack:
+                start = overtakes(stack[-1][0], q)
+                if stack[-1][1] is None or start > stack[-1][1]:
+                    break
+                stack.pop()
+                start = None
+            stack.append((q, start))
+        for (row, start), (_, end) in zip(stack, [*stack[1:], (None, None)]):
+            wide = math.isqrt(limit - row[1])
+            low = row[0] - wide if start is None else max(start, row[0] - wide)
+            high = row[0] + wide if end is None else min(end - 1, row[0] + wide)
+            if low <= high:
+                yield row, low, high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column, rows, out, n, fields = None, [], [], 0, None
+
+        def emit() -> pa.RecordBatch:
+            sizes = np.array([high - low + 1 for *_, low, high in out])
+            ends = np.cumsum(sizes)
+            y = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(np.array([low for *_, low, _ in out]), sizes)
+            at, f = (np.repeat(np.array([r[1][i] for r in out], np.int64), sizes) for i in (0, 1))
+            which = pa.array(np.repeat(np.arange(len(out)), sizes))
+            parts = {k: pa.array([r[0][k] for r in out], fields.field(k).type).take(which) for k in [*keys, "x"]}
+            ids = pa.array([r[1][2] for r in out], fields.field("id").type).take(which)
+            values = [*(parts[k] for k in keys), pa.array(y, fields.field("y").type), parts["x"], pa.array(f + (y - at) ** 2, pa.int64()), ids]
+            return pa.RecordBatch.from_arrays(values, [*keys, "y", "x", "d2", "id"])
+
+        for b in batches:
+            fields = b.schema
+            names = list(dict.fromkeys([*group, "x"]))
+            place = zip(*(b.column(c).to_pylist() for c in names))
+            for own, y, d, i in zip(place, *(b.column(c).to_pylist() for c in ("y", "d", "id"))):
+                if own != column:
+                    if rows:
+                        out += [(dict(zip(names, column)), *s) for s in spans(rows)]
+                        n += len(rows)
+                    column, rows = own, []
+                rows.append((y, d * d, i))
+            if n > 50_000 and out:
+                yield emit()
+                out, n = [], 0
+        if rows:
+            out += [(dict(zip(names, column)), *s) for s in spans(rows)]
+        if out:
+            yield emit()
+
+    return run
+
+
 def plain_buffer(seeds: DataFrame, reach: int, keys: list[str]) -> DataFrame:
     """Cells within ``reach`` of each outline; buffers of neighbours may overlap."""
     grown = distances(edge_cells(seeds, keys), reach, keys, per_id=True).select(*keys, "id", "y", "x")

@@ -302,6 +302,16 @@ def non_overlapping_buffers(spark, sf):
     return grown.join(cells, CELL, "left_semi").select(*CELL, "id")
 
 
+@query("w13_wide_buffers", "W13", "px", SEED_SQL + """
+, d as (select p.entry_id, p.y, p.x, s.id, min(pow(p.y - s.y, 2) + pow(p.x - s.x, 2)) as d2 from px p join s on p.entry_id = s.entry_id group by all),
+n as (select *, row_number() over (partition by entry_id, y, x order by d2, id) as rn from d)
+select entry_id, y, x, id from n where rn = 1 and d2 <= 144""")
+def wide_buffers(spark, sf):
+    cells = fx.px(spark, sf).select(*CELL)
+    grown = buffers.buffer_non_overlapping(_seeds(spark, sf), 12, ["entry_id"])
+    return grown.join(cells, CELL, "left_semi").select(*CELL, "id")
+
+
 @query("w14_region_layers", "W14 J12 S10", "px", SEED_SQL + """
 , d as (select p.entry_id, p.y, p.x, s.id, min(pow(p.y - s.y, 2) + pow(p.x - s.x, 2)) as d2 from px p join s on p.entry_id = s.entry_id group by all),
 n as (select *, row_number() over (partition by entry_id, y, x order by d2, id) as rn from d)

@@ -831,3 +831,24 @@ def test_components_with_contraction_have_hubs_chains_and_structs(spark, monkeyp
     assert {r.v: r.component for r in found.collect()} == {v: min(s) for v, s in up.items()} | {9999: 9999}
     structs = components.connected_components(edges.select(vertex("a").alias("a"), vertex("b").alias("b")), vertices.select(vertex("v").alias("v")), contract=True)
     assert {r.v.v: (r.component.k, r.component.v) for r in structs.collect()} == {v: min((x % 7, x) for x in s) for v, s in up.items()} | {9999: (9999 % 7, 9999)}
+
+
+@pytest.mark.parametrize("reach", [1, 4, 30])
+def test_distances_equal_those_to_all_seeds(spark, reach):
+    """Crowded, far and equal seeds of several outlines; ties go to the lower id, at negative places too."""
+    rng = random.Random(reach)
+    seeds = {(e, rng.choice([3, 1, 2]), rng.randrange(-9, 25), rng.randrange(-9, 25)) for e in (0, 1) for _ in range(25)} | {(2, i, 0, 0) for i in (5, 4)}
+    df = spark.createDataFrame(list(seeds), "entry_id int, id int, y int, x int")
+    for per_id in (False, True):
+        expected = {}
+        for e, i, sy, sx in seeds:
+            for y in range(sy - reach, sy + reach + 1):
+                for x in range(sx - reach, sx + reach + 1):
+                    d2 = (y - sy) ** 2 + (x - sx) ** 2
+                    if d2 <= reach * reach:
+                        key = (e, i, y, x) if per_id else (e, y, x)
+                        expected[key] = min(expected.get(key, (1 << 40, 0)), (d2, i))
+        found = buffers.distances(df, reach, ["entry_id"], per_id)
+        assert dict(found.dtypes) == {"entry_id": "int", "y": "int", "x": "int", "d2": "bigint", "id": "int"}
+        got = {((r.entry_id, r.id, r.y, r.x) if per_id else (r.entry_id, r.y, r.x)): (r.d2, r.id) for r in found.collect()}
+        assert got == expected and found.count() == len(expected)

@@ -147,15 +147,32 @@ def cell_extents(cells: DataFrame, grow: int = 0, key: str = "entry_id") -> Data
     )
 
 
+#: Rows of a grid that open together.
+GRID_ROWS = 64
+
+
+def grid_rows(extents: DataFrame, keys: list[str], low: Column, high: Column, name: str) -> DataFrame:
+    """``extents`` with a row for each whole number from ``low`` to ``high``, none where ``high`` is less.
+
+    Ranges of rows are placed by key and range before they open, so neither the rows nor the
+    columns of a large extent come out of one task. The number of partitions is stated, because
+    adaptive execution would merge the small ranges into one.
+    """
+    n = int(extents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = extents.withColumns({"_low": low.cast("bigint"), "_high": high.cast("bigint")}).where("_low <= _high")
+    ranges = ends.withColumn("_from", F.explode(F.sequence("_low", "_high", F.lit(GRID_ROWS).cast("bigint"))))
+    placed = ranges.repartition(n, *keys, "_from")
+    rows = F.sequence("_from", F.least(F.col("_from") + GRID_ROWS - 1, F.col("_high")))
+    return placed.withColumn(name, F.explode(rows)).drop("_low", "_high", "_from")
+
+
 def crop(cells: DataFrame, extents: DataFrame, pad: bool = False, key: str = "entry_id") -> DataFrame:
     """Cells inside the box of their entry; with ``pad`` missing ones appear as NULLs."""
     inside = (F.col("y").between(F.col("miny"), F.col("maxy"))) & (F.col("x").between(F.col("minx"), F.col("maxx")))
     if not pad:
         return cells.join(extents, key).where(inside).select(*cells.columns)
-    grid = (
-        extents.select(key, "minx", "maxx", F.explode(F.sequence("miny", "maxy")).alias("y"))
-        .select(key, "y", F.explode(F.sequence("minx", "maxx")).alias("x"))
-    )
+    rows = grid_rows(extents.select(key, "minx", "maxx", "miny", "maxy"), [key], F.col("miny"), F.col("maxy"), "y")
+    grid = rows.where("minx <= maxx").select(key, "y", F.explode(F.sequence("minx", "maxx")).alias("x"))
     return grid.join(cells, [key, "y", "x"], "left")
 
 

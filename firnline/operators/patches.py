@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firnline.operators.inventory import grid_rows
 from firnline.operators.ordering import row_numbers
 from firnline.session import materialise
 
@@ -24,17 +25,19 @@ def stride_centres(cells: DataFrame, mask: Column, stride: int) -> DataFrame:
 
 
 def grid_centres(extents: DataFrame, radius: int, stride: int) -> DataFrame:
-    """Full grid of centres per entry extent ``(nx, ny)``, with the end point appended."""
-    def axis(n: str) -> Column:
-        end = F.col(n) - radius
-        inner = F.when(
-            end > radius, F.sequence(F.lit(radius).cast("bigint"), (end - 1).cast("bigint"), F.lit(stride).cast("bigint"))
-        ).otherwise(F.array().cast("array<bigint>"))
-        return F.concat(inner, F.array(end.cast("bigint")))
-
-    return extents.select("entry_id", F.explode(axis("ny")).alias("y_center"), axis("nx").alias("_xs")).select(
-        "entry_id", "y_center", F.explode("_xs").alias("x_center")
-    )
+    """Full grid of centres per entry extent ``(nx, ny)``, with the end point appended.
+
+    Rows of centres are placed by range before their columns open, see ``inventory.grid_rows``.
+    """
+    def last(n: str) -> Column:
+        return F.greatest(F.ceil((F.col(n) - 2 * radius) / stride), F.lit(0))
+
+    def centre(i: Column, n: str) -> Column:
+        return F.when(i < last(n), radius + i * stride).otherwise(F.col(n) - radius).cast("bigint")
+
+    rows = grid_rows(extents.select("entry_id", "nx", "ny"), ["entry_id"], F.lit(0), last("ny"), "_i")
+    columns = F.transform(F.sequence(F.lit(0).cast("bigint"), last("nx").cast("bigint")), lambda i: centre(i, "nx"))
+    return rows.select("entry_id", centre(F.col("_i"), "ny").alias("y_center"), F.explode(columns).alias("x_center"))
 
 
 def extra_centres(

@@ -157,6 +157,16 @@ def minmax_scale(
     return cells.withColumns(out)
 
 
+def scale_bands(
+    cells: DataFrame, stats: DataFrame, bands: list[str], standardised: bool, minmax: bool, per_band: bool = True
+) -> DataFrame:
+    """The one scaling that the settings name, or the cells as they are; both at once are refused."""
+    check_one_scaling(standardised, minmax)
+    if standardised:
+        return standardise(cells, stats, bands, per_band=per_band)
+    return minmax_scale(cells, stats, bands, per_band=per_band) if minmax else cells
+
+
 def contrast_stretch(cells: DataFrame, keys: list[str], bands: list[str], q: float = 0.025, scale: bool = True) -> DataFrame:
     """Clip every band to its symmetric quantiles and scale to [0, 1].
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from firnline.functions import naming
@@ -40,6 +42,24 @@ def scaled_constant(spark, sf):
     return rounded(pixels.minmax_scale(_constant(spark, sf), _stats(spark, sf), ["b", "k"]).select(*CELL, "b", "k"))
 
 
+@query("x9_scaling_settings", "X9 X7 X8", "px", CONSTANT_SQL + """
+select entry_id, false as standardised, false as minmax, false as refused, count(*) as n, round(avg(b), 6) as b from px, st group by entry_id
+union all select entry_id, true, false, false, count(*), round(avg((b - mu) / sd), 6) from px, st group by entry_id
+union all select entry_id, false, true, false, count(*), round(avg((least(greatest(b, b0), b1) - b0) / (b1 - b0)), 6) from px, st group by entry_id
+union all select entry_id, true, true, true, count(*), cast(null as double) from px, st group by entry_id""")
+def scaling_settings(spark, sf):
+    """Every pair of settings over all cells; the pair that asks for both scalings is refused and gives no value."""
+    cells, stats, rows = _constant(spark, sf), _stats(spark, sf), []
+    for standardised, minmax in ((False, False), (True, False), (False, True), (True, True)):
+        try:
+            scaled, refused = pixels.scale_bands(cells, stats, ["b", "k"], standardised, minmax), False
+        except ValueError:
+            scaled, refused = cells.withColumn("b", F.lit(None).cast("double")), True
+        rows.append(scaled.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n"), F.avg("b").alias("b")).select(
+            "entry_id", F.lit(standardised).alias("standardised"), F.lit(minmax).alias("minmax"), F.lit(refused).alias("refused"), "n", "b"))
+    return rounded(reduce(lambda a, b: a.unionByName(b), rows))
+
+
 def _keyless(spark, sf):
     """Cells of which some belong to no entry, and one entry without any value."""
     c = fx.px(spark, sf)

@@ -94,6 +94,22 @@ def existing_output(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("s7_resumed_entries", "S7 A1", "px", """
+select entry_id, count(*) as n, sum(b) as total, case when avg(b) >= 5000 then 'first' else 'second' end as computed from px group by entry_id""")
+def resumed_entries(spark, sf):
+    """A first run over part of the entries, one killed before its manifest, and one over all."""
+    path, cells = _path(spark), fx.px(spark, sf)
+
+    def totals(name):
+        return lambda todo: cells.join(todo, "entry_id", "left_semi").groupBy("entry_id").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("b").alias("total")).withColumn("computed", F.lit(name))
+
+    bright = cells.groupBy("entry_id").agg(F.avg("b").alias("mean"))
+    writers.write_missing(bright.where("mean >= 5000").select("entry_id"), path, totals("first"))
+    totals("killed")(bright.select("entry_id")).write.parquet(f"{path}/rows/run=killed")
+    return writers.write_missing(bright.select("entry_id"), path, totals("second"), rounds=2)
+
+
 @query("s8_cached_partials", "S8 A1", "px", """
 select entry_id, 'b' as var_name, count(b) as n, sum(b) as sum_1, sum(b * b) as sum_2, min(b) as vmin, max(b) as vmax from px group by entry_id""")
 def cached_partials(spark, sf):

@@ -16,7 +16,7 @@ from firnline.operators import (
 )
 from firnline.operators.entry_functions import map_entries
 from firnline.session import materialise
-from firnline.sources import readers
+from firnline.sources import readers, writers
 
 
 def rows(df, *columns):
@@ -852,3 +852,55 @@ def test_distances_equal_those_to_all_seeds(spark, reach):
         assert dict(found.dtypes) == {"entry_id": "int", "y": "int", "x": "int", "d2": "bigint", "id": "int"}
         got = {((r.entry_id, r.id, r.y, r.x) if per_id else (r.entry_id, r.y, r.x)): (r.d2, r.id) for r in found.collect()}
         assert got == expected and found.count() == len(expected)
+
+
+def test_write_missing_goes_on_after_a_failed_round(spark, tmp_path):
+    path = str(tmp_path / "out")
+    inputs = spark.createDataFrame([(i,) for i in range(20)] + [(None,)], "entry_id bigint")
+    calls = []
+
+    def compute(todo):
+        calls.append(sorted((r[0] for r in todo.collect()), key=lambda v: (v is None, v)))
+        if len(calls) == 3:
+            raise RuntimeError("killed")
+        return todo.where("entry_id IS NULL OR entry_id <> 4").select("entry_id", F.lit(len(calls)).alias("run_no"))
+
+    with pytest.raises(RuntimeError, match="killed"):
+        writers.write_missing(inputs, path, compute, rounds=4)
+    first, lost = calls[0] + calls[1], calls[2]
+    rows = writers.write_missing(inputs, path, compute, rounds=4).collect()
+    # every entry is there once, NULL too; the one without rows is missing, and only the lost and open rounds ran again
+    assert sorted((r.entry_id for r in rows), key=lambda v: (v is None, v)) == [*[i for i in range(20) if i != 4], None]
+    again = [e for c in calls[3:] for e in c]
+    assert set(lost) <= set(again) and not set(first) & set(again)
+    seen = len(calls)
+    assert writers.write_missing(inputs, path, compute, rounds=4).count() == 20 and len(calls) == seen
+    nothing = writers.write_missing(inputs.limit(0), str(tmp_path / "none"), lambda t: t.withColumn("v", F.lit(1)))
+    assert nothing.columns == ["entry_id", "v"] and nothing.count() == 0
+
+
+@pytest.mark.parametrize("size", [(1, 1), (8, 8), (9, 23), (200, 131)])
+def test_grid_centres_equal_a_plain_grid(spark, size):
+    nx, ny = size
+    def axis(n):
+        return [*range(4, n - 4, 3), n - 4]
+    got = patches.grid_centres(spark.createDataFrame([(1, nx, ny)], "entry_id bigint, nx bigint, ny bigint"), 4, 3)
+    assert sorted((r.y_center, r.x_center) for r in got.collect()) == sorted((y, x) for y in axis(ny) for x in axis(nx))
+
+
+def test_grid_rows_come_from_several_tasks(spark):
+    rows = inventory.grid_rows(
+        spark.createDataFrame([(1, 0, 4999), (2, 3, 2), (3, -1, -1)], "entry_id bigint, lo bigint, hi bigint"), ["entry_id"], F.col("lo"), F.col("hi"), "y")
+    got = rows.select("entry_id", "y", F.spark_partition_id().alias("p")).collect()
+    assert sorted((r.entry_id, r.y) for r in got) == [(1, y) for y in range(5000)] + [(3, -1)]
+    assert len({r.p for r in got}) > 1
+
+
+def test_one_scaling_at_most(spark):
+    cells = spark.createDataFrame([(1, 2.0), (1, 4.0)], "entry_id bigint, b double")
+    stats = spark.createDataFrame([("b", 3.0, 1.0, 2.0, 4.0)], "var_name string, mu double, stddev double, vmin double, vmax double")
+    assert [r.b for r in pixels.scale_bands(cells, stats, ["b"], False, False).orderBy("b").collect()] == [2.0, 4.0]
+    assert [r.b for r in pixels.scale_bands(cells, stats, ["b"], True, False).orderBy("b").collect()] == [-1.0, 1.0]
+    assert [r.b for r in pixels.scale_bands(cells, stats, ["b"], False, True).orderBy("b").collect()] == [0.0, 1.0]
+    with pytest.raises(ValueError):
+        pixels.scale_bands(cells, stats, ["b"], True, True)

@@ -5,7 +5,7 @@ over its pre-tokens. Pieces are counted once for each distinct pre-token of the
 by the tokenizer itself and joined to the pre-token frequencies of each document; no
 ids are kept.
 
-Pre-tokens are as skewed as words. The frequent ones, at most ``frequent`` of them, form
+Pre-tokens are as skewed as words. The frequent ones, bounded in number and bytes, form
 a broadcast table and are summed where the document is read; only the occurrences of the
 rare ones are shuffled, so no join key is hot.
 """
@@ -83,27 +83,29 @@ def piece_table(docs: DataFrame, path: str) -> DataFrame:
     return seen.mapInArrow(piece_counter(path), "token string, seen bigint, pieces bigint")
 
 
-def least_frequent(pieces: DataFrame, most: int) -> int:
-    """Smallest frequency that at most ``most`` pre-tokens reach, from a histogram of a few dozen bins."""
-    bins = pieces.groupBy(F.floor(4 * F.log2("seen")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("least"))
-    total, least = 0, None
+def least_frequent(pieces: DataFrame, most: int, most_bytes: int) -> int:
+    """Smallest frequency that at most ``most`` pre-tokens of ``most_bytes`` together reach, from a histogram of a few dozen bins."""
+    bins = pieces.groupBy(F.floor(4 * F.log2("seen")).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token").cast("bigint")).alias("bytes"), F.min("seen").alias("least")
+    )
+    total, size, least = 0, 0, None
     for row in sorted(bins.collect(), key=lambda r: -r.bin):
-        total += row.n
-        if total > most:
+        total, size = total + row.n, size + row.bytes
+        if total > most or size > most_bytes:
             break
         least = row.least
     return least if least is not None else 1 << 62
 
 
-def token_counts(docs: DataFrame, path: str, frequent: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, frequent: int = 400_000, frequent_bytes: int = 16 << 20) -> DataFrame:
     """Bytes and tokens of each row of ``docs`` (``doc_id``, ``text``): ``doc_id, n_bytes, n_tokens``.
 
     One row for each input row. NULL and empty texts have 0 bytes and 0 tokens; a NULL or
-    repeated ``doc_id`` is no different from any other. ``frequent`` bounds the rows of the
-    broadcast table and does not change the result. Other columns are not read.
+    repeated ``doc_id`` is no different from any other. ``frequent`` and
+    ``frequent_bytes`` bound the rows and the bytes of the broadcast table and do not change the result. Other columns are not read.
     """
     pieces = materialise(piece_table(docs, path))
-    least = least_frequent(pieces, frequent)
+    least = least_frequent(pieces, frequent, frequent_bytes)
     common = pieces.where(F.col("seen") >= least).select("token", F.col("pieces").alias("known"))
 
     text = text_or_empty()
@@ -121,10 +123,10 @@ def token_counts(docs: DataFrame, path: str, frequent: int = 400_000) -> DataFra
         F.count(F.when(F.col("token").isNull(), 1)).alias("rows"),
         F.count(F.lit(1)).alias("times"),
     )
-    # the summed part of a document meets nothing in this join; its id only spreads it
+    # the summed part of a document meets nothing in this join; its id and text only spread it
     uncommon = pieces.where(F.col("seen") < least).select(F.lit(1).alias("side"), F.col("token").alias("met"), "pieces")
     sided = frequencies.withColumn("side", F.col("rare").isNotNull().cast("int")).withColumn(
-        "met", F.coalesce("rare", F.col("key").cast("string"))
+        "met", F.coalesce("rare", F.xxhash64("doc_id", "key").cast("string"))
     )
     total = sided.join(uncommon, ["side", "met"], "left").groupBy("doc_id", "key").agg(
         F.sum(F.coalesce(F.col("n"), F.col("times") * F.col("pieces"))).alias("n"),

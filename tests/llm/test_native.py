@@ -130,8 +130,8 @@ def test_contamination_without_items(spark):
     assert [(r.n_words, r.n_hit, r.items) for r in decontamination.contamination(docs, items).collect()] == [(2, 0, [])]
 
 
-@pytest.mark.parametrize("frequent", [0, 3, 400_000])
-def test_token_counts_equal_the_tokenizer(spark, frequent):
+@pytest.mark.parametrize("frequent,size", [(0, 1 << 24), (3, 1 << 24), (400_000, 1 << 24), (400_000, 8)])
+def test_token_counts_equal_the_tokenizer(spark, frequent, size):
     path = token_counts.vocabulary_path("byte_bpe_50k.json")
     docs, rows = messy(spark)
     more = ["x<|endoftext|> y  <|endoftext|>  ", "don't 's  \n\n\n z q\x1c\x1d a\x85", "à ١٢ ½ 😀😀 　　a", "a\x00b\x00 ", "''ll 'LL"]
@@ -139,7 +139,7 @@ def test_token_counts_equal_the_tokenizer(spark, frequent):
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows[-len(more):], "doc_id bigint, text string"))
     known = Tokenizer.from_file(path)
     expected = Counter((i, len((t or "").encode()), len(known.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
-    assert Counter(tuple(r) for r in token_counts.token_counts(docs, path, frequent).collect()) == expected
+    assert Counter(tuple(r) for r in token_counts.token_counts(docs, path, frequent, size).collect()) == expected
 
 
 def test_other_tokenizers_are_refused():

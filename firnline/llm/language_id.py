@@ -54,7 +54,8 @@ def learn(labelled: DataFrame) -> list[tuple[str, bytes]]:
         return []
     counts = {lang: sum(r.n for r in rows if r.lang == lang) for lang in languages}
     picked = labelled.sparkSession.createDataFrame([(r.lang, r.doc_id) for r in rows], "lang string, doc_id bigint")
-    texts = usable.join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("t"))
+    # rows that repeat an id give one text, so the driver sees no more than the slots
+    texts = usable.join(F.broadcast(picked), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("t"))
     sample: dict[str, list[tuple[int, str]]] = {lang: [] for lang in languages}
     for r in texts.collect():
         sample[r.lang].append((r.doc_id, r.t))

@@ -124,6 +124,30 @@ def brute_model(texts):
     return probability, single
 
 
+def test_language_of_each_row_equals_plain_compression(spark):
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    made = language_id.learn(docs.where("doc_id % 5 <> 0"))
+    expected = {}
+    for r in docs.collect():
+        words = "".join(c if c.isalpha() else " " for c in (r.text or "").lower())
+        body = " ".join(words.split()).encode()
+        sizes = []
+        for order, (lang, content) in enumerate(made):
+            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            small = zstandard.ZstdCompressor(level=6, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append((sum(len(small.compress(body[k:k + 2000])) for k in range(0, len(body), 2000)), order, lang))
+        expected[r.doc_id] = min(sizes)[2] if body else "und"
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(docs, made, F.lit(False)).collect()} == expected
+
+
+def test_repeated_ids_give_one_text_each(spark):
+    rows = [(1, f"wort{'a' * i} und der", "de") for i in range(200)] + [(2, "the one text", "en")]
+    made = dict(language_id.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")))
+    assert made == {"de": b"wort und der", "en": b"the one text"}
+
+
 @pytest.mark.parametrize("size", ["messy", "documents"])
 def test_language_model_equals_brute_force(spark, size):
     if size == "messy":

@@ -1,11 +1,12 @@
 """Similarity join of documents on word n-grams with a MinHash LSH forest.
 
-Every set of shingles gets a signature of ``TREES`` rows of ``DEPTH`` bytes. The rows of
-one number, sorted, are a prefix trie: sets whose rows share a prefix are neighbours in
-the sorted order, and one sort serves every prefix length. The join starts from the
-longest prefixes, links what shares one, verifies the links on the shingles themselves
-and estimates from the similarities it found how many links such prefixes miss; while the
-estimate is under the target it shortens the prefix.
+Every set of shingles gets a signature of ``TREES`` rows of ``DEPTH`` numbers of ``BITS`` bits.
+The rows of one number, sorted, are a prefix trie: sets whose rows share a prefix are neighbours
+in the sorted order, and one sort serves every prefix length. The join starts from the
+longest prefixes, links what shares one and verifies the links on the shingles themselves.
+While links as similar as the least similar one found would be missed too often, it goes on with
+the longest prefix that finds enough of them; components that gain no set by it keep what was
+verified, only the others are compared again.
 
 The sort is by range over ``(tree, row, set)``, so equal rows may span tasks, and only
 neighbours are linked: a group of any size costs as many links as it has members. Pairs
@@ -21,7 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.llm.columns import read_table, text_or_empty
@@ -33,13 +34,13 @@ from firnline.session import materialise
 QUERY = "op10_ngram_join"
 
 SHINGLE, SIMILARITY = 5, "0.8"
-TREES, DEPTH = 64, 8
-#: Expected share of all links found before the prefixes stop being shortened, and their least length.
-RECALL, LEAST_PREFIX = 0.9999, 3
+TREES, DEPTH, BITS = 64, 10, 6
+#: Share of the least similar links that prefixes must find before they stop being shortened, and their least length.
+RECALL, LEAST_PREFIX = 0.99999, 4
 #: A block holds about so many sets and shingles at most.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 1 << 20
 
-#: Bits of a text hash that are looked up before texts are shuffled: 2^20 broadcast numbers at most.
+#: Bits of the hash of a row that are looked up before texts are shuffled: 2^20 broadcast numbers at most.
 COARSE_BITS = 20
 
 _BINS = TREES * DEPTH
@@ -56,12 +57,12 @@ def _borrowing() -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """One row of ``DEPTH`` bytes for each tree, as signed 64-bit numbers, from sorted hashes.
+    """``TREES * DEPTH`` numbers of ``BITS`` bits, one for each bin, from sorted hashes.
 
     One permutation hashing: the upper bits of a hash choose its bin and each bin keeps its
     smallest; empty bins borrow. Two sets agree in a bin with the chance of their similarity.
     """
-    bins = (shingles >> np.uint64(64 - _BINS.bit_length() + 1)).astype(np.int64)
+    bins = ((shingles >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
     least = np.zeros(_BINS, np.uint64)
     filled = np.zeros(_BINS, bool)
@@ -77,8 +78,18 @@ def signature(shingles: np.ndarray) -> np.ndarray:
         least[empty[has]] = least[asked[has, gives[has].argmax(axis=1)]]
         known[empty[has]] = True
     with np.errstate(over="ignore"):
-        small = (mix(least + np.arange(_BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
-    return small.view(">u8").astype(np.int64)
+        return (mix(least + np.arange(_BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.uint8)
+
+
+def trie_rows(signed: np.ndarray) -> np.ndarray:
+    """The signature as one number for each tree, the first of its ``DEPTH`` parts uppermost."""
+    return signed.reshape(TREES, DEPTH).astype(np.int64) @ (np.int64(1) << np.arange(DEPTH - 1, -1, -1) * BITS)
+
+
+def set_key(shingles: np.ndarray, factor: np.uint64) -> np.int64:
+    """A number for a whole set."""
+    with np.errstate(over="ignore"):
+        return mix(shingles + factor).sum(dtype=np.uint64).astype(np.int64)
 
 
 _SIGNED = "doc_id bigint, th bigint, n int, k1 bigint, k2 bigint, rows array<bigint>"
@@ -89,9 +100,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factor = multipliers(2, seed=11)
     for b in (part for whole in batches for part in in_slices(whole, most_bytes=1 << 20)):
         sets = shingle_sets(b.column("text"), SHINGLE)
-        with np.errstate(over="ignore"):
-            keys = [[mix(s + f).sum(dtype=np.uint64).astype(np.int64) for s in sets] for f in factor]
-        rows = [signature(s) if len(s) else None for s in sets]
+        keys = [[set_key(s, f) for s in sets] for f in factor]
+        rows = [trie_rows(signature(s)) if len(s) else None for s in sets]
         flat = np.concatenate([r for r in rows if r is not None] or [np.empty(0, np.int64)])
         ends = np.cumsum([0] + [0 if r is None else TREES for r in rows]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -122,10 +132,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree, row, k1 = (np.append(x, y) for x, y in zip(last, (tree, row, k1)))
         new = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]) | (row[1:] != row[:-1])))
         heads = np.repeat(k1[new], np.diff(np.append(new, len(k1))))
-        differs = (row[new[1:]] ^ row[new[:-1]]).view(np.uint64)
-        shared = np.full(len(differs), DEPTH)
-        for j in range(DEPTH):
-            shared[(shared == DEPTH) & ((differs >> np.uint64(8 * (DEPTH - 1 - j))) & np.uint64(255) > 0)] = j
+        differs = row[new[1:]] ^ row[new[:-1]]
+        # zero parts at the top of what differs
+        shared = sum((differs >> BITS * j == 0).astype(np.int32) for j in range(DEPTH))
         near = (tree[new[1:]] == tree[new[:-1]]) & (shared >= LEAST_PREFIX)
         a = np.concatenate([heads, k1[new[:-1]][near]])
         c = np.concatenate([k1, k1[new[1:]][near]])
@@ -154,7 +163,7 @@ def _links(a: np.ndarray, b: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
 
 
 def forest_links(signed: DataFrame) -> DataFrame:
-    """Neighbours in the sorted tries: ``a, b, shared`` with the longest prefix, in bytes, that they share."""
+    """Neighbours in the sorted tries: ``a, b, shared`` with the length of the longest prefix that they share."""
     spark = signed.sparkSession
     rows = signed.where("n > 0").select("k1", F.posexplode("rows").alias("tree", "row"))
     order = ["tree", "row", "k1"]
@@ -164,8 +173,7 @@ def forest_links(signed: DataFrame) -> DataFrame:
     ends = sorted(found.where("shared IS NULL").select("part", "tree", "row", "a").collect())
     across = []
     for x, y in zip(ends[1::2], ends[2::2]):
-        differs = (x.row ^ y.row) & (2**64 - 1)
-        shared = DEPTH - (differs.bit_length() + 7) // 8
+        shared = DEPTH - ((x.row ^ y.row).bit_length() + BITS - 1) // BITS
         if x.tree == y.tree and x.a != y.a and shared >= LEAST_PREFIX:
             across.append((x.a, y.a, shared))
     joined = found.where("shared IS NOT NULL").select("a", "b", "shared")
@@ -174,18 +182,23 @@ def forest_links(signed: DataFrame) -> DataFrame:
     return joined.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("shared").alias("shared"))
 
 
-_VERIFIED = "k1 bigint, root bigint, links bigint, bin int, pairs bigint"
+_VERIFIED = "component bigint, k1 bigint, root bigint, links bigint, bin int, pairs bigint"
 
 
 @releasing
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of each set; of its copies, which the join brings to the same task, one is enough."""
+    """Shingles of each set; of rows of the same id and text, which the join brings to the same task, one is enough."""
     seen: set[int] = set()
+    factor = multipliers(2, seed=11)[0]
     for b in batches:
-        keys = b.column("k1").to_pylist()
-        first = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-        b = b.take(pa.array(first, pa.int64()))
-        sets = shingle_sets(b.column("text"), SHINGLE)
+        b = b.take(pa.array([i for i, k in enumerate(b.column("k1").to_pylist()) if k not in seen], pa.int64()))
+        sets, first = shingle_sets(b.column("text"), SHINGLE), []
+        for i, (k, s) in enumerate(zip(b.column("k1").to_pylist(), sets)):
+            # another row with the same hash has another set
+            if k not in seen and set_key(s, factor) == k:
+                seen.add(k)
+                first.append(i)
+        b, sets = b.take(pa.array(first, pa.int64())), [sets[i] for i in first]
         keep = [b.column(c) for c in ("component", "k1", "block", "blocks")]
         yield pa.RecordBatch.from_arrays(
             [*keep, pa.array([s.tobytes() for s in sets], pa.binary())], ["component", "k1", "block", "blocks", "shingles"]
@@ -248,8 +261,8 @@ def _verifier(threshold: Fraction):
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins: Counter = Counter()
-        out: list[tuple[int, int, int]] = []
-        for (_, i, j), rows in groups(batches):
+        out: list[tuple[int, int, int, int]] = []
+        for (component, i, j), rows in groups(batches):
             left = {k: s for k, (block, s) in rows.items() if block == i}
             right = left if i == j else {k: s for k, (block, s) in rows.items() if block == j}
             if not left or not right or (i == j and len(left) == 1):
@@ -259,45 +272,49 @@ def _verifier(threshold: Fraction):
             if i == j:
                 np.fill_diagonal(linked, False)
             binned, n = np.unique((how[linked] * 100).astype(int), return_counts=True)
-            bins.update(dict(zip(binned.tolist(), (n if i != j else n // 2 + n % 2).tolist())))
+            bins.update({(component, s): k for s, k in zip(binned.tolist(), (n if i != j else n // 2 + n % 2).tolist())})
             roots = _roots(linked, a, b)
             for x, root, n in ((a, roots[:len(a)], linked.sum(axis=1)), (b, roots[len(a):], linked.sum(axis=0)))[:1 if i == j else 2]:
                 some = n > 0
-                out.extend(zip(x[some].tolist(), root[some].tolist(), n[some].tolist()))
-            if len(out) > 100_000:
-                yield _verified(out, Counter())
-                out = []
+                out.extend((component, *row) for row in zip(x[some].tolist(), root[some].tolist(), n[some].tolist()))
+            if len(out) + len(bins) > 100_000:
+                yield _verified(out, bins)
+                out, bins = [], Counter()
         yield _verified(out, bins)
 
     return verify
 
 
-def _verified(rows: list[tuple[int, int, int]], bins: Counter) -> pa.RecordBatch:
-    k1, root, links = (list(x) for x in zip(*rows)) if rows else ([], [], [])
+def _verified(rows: list[tuple[int, int, int, int]], bins: Counter) -> pa.RecordBatch:
+    component, k1, root, links = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
     pad, none = [None] * len(bins), [None] * len(rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(k1 + pad, pa.int64()), pa.array(root + pad, pa.int64()), pa.array(links + pad, pa.int64()),
-         pa.array(none + list(bins), pa.int32()), pa.array(none + list(bins.values()), pa.int64())],
-        ["k1", "root", "links", "bin", "pairs"],
+        [pa.array(component + [c for c, _ in bins], pa.int64()),
+         pa.array(k1 + pad, pa.int64()), pa.array(root + pad, pa.int64()), pa.array(links + pad, pa.int64()),
+         pa.array(none + [s for _, s in bins], pa.int32()), pa.array(none + list(bins.values()), pa.int64())],
+        ["component", "k1", "root", "links", "bin", "pairs"],
     )
 
 
-def _verify(docs: DataFrame, sets: DataFrame, links: DataFrame, threshold: Fraction) -> DataFrame:
-    """Compare all pairs within each candidate component: link counts, one link for each set, similarities."""
+def _members(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """The sets that have links, with the least key of each candidate component."""
     ends = links.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     components = connected_components(links, ends).select(F.col("v").alias("k1"), "component")
-    members = materialise(components.join(sets, "k1"))
-    sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
+    return materialise(components.join(sets.select("k1", "rk", "n"), "k1"))
+
+
+def _verify(docs: DataFrame, members: DataFrame, sized: DataFrame, threshold: Fraction) -> DataFrame:
+    """Compare all pairs within each component of ``sized``: link counts, one link for each set, similarities."""
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
     wanted = members.join(sized.select("component", blocks.alias("blocks")), "component").select(
-        "th", "component", "k1", "blocks", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int").alias("block")
+        "rk", "component", "k1", "blocks", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int").alias("block")
     )
-    texts = docs.select(F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
+    texts = docs.select(_row_key(F.xxhash64(text_or_empty())).alias("rk"), text_or_empty().alias("text"))
     # a table of a fixed number of bits of the hash, at most, keeps most other texts out of the shuffle
-    coarse = F.col("th").bitwiseAND(F.lit((1 << COARSE_BITS) - 1))
+    coarse = F.col("rk").bitwiseAND(F.lit((1 << COARSE_BITS) - 1))
     near = materialise(wanted.select(coarse.alias("coarse")).distinct())
     texts = texts.withColumn("coarse", coarse).join(F.broadcast(near), "coarse", "left_semi")
-    met = texts.join(wanted, "th").select("component", "k1", "block", "blocks", "text")
+    met = texts.join(wanted, "rk").select("component", "k1", "block", "blocks", "text")
     shingled = met.mapInArrow(_shingled, "component bigint, k1 bigint, block int, blocks int, shingles binary")
     # each pair of blocks of a component meets in one group
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -308,11 +325,21 @@ def _verify(docs: DataFrame, sets: DataFrame, links: DataFrame, threshold: Fract
     return materialise(grouped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(_verifier(threshold)), _VERIFIED))
 
 
+def _row_key(th: Column) -> Column:
+    """A hash of the id and the text of a row, so copies of a text do not meet by it."""
+    return F.xxhash64("doc_id", th)
+
+
 def expected_recall(similarities: dict[int, int], prefix: int) -> float:
-    """Share of the links that prefixes of this length find, from the links found, by hundredths of similarity."""
-    chance = {s: 1 - (1 - (s / 100) ** prefix) ** TREES for s in similarities}
-    found = sum(similarities.values())
-    return found / sum(n / chance[s] for s, n in similarities.items()) if found else 1.0
+    """Share of the least similar links that prefixes of this length find; links are counted by hundredths of similarity."""
+    return 1 - (1 - (min(similarities) / 100) ** prefix) ** TREES if similarities else 1.0
+
+
+def next_prefix(similarities: dict[int, int], prefix: int, recall: float) -> int | None:
+    """The longest shorter prefix that finds enough, the least one if none does, or None where ``prefix`` does."""
+    if prefix <= LEAST_PREFIX or expected_recall(similarities, prefix) >= recall:
+        return None
+    return next((p for p in range(prefix - 1, LEAST_PREFIX, -1) if expected_recall(similarities, p) >= recall), LEAST_PREFIX)
 
 
 def similar_documents(docs: DataFrame, threshold: str = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -337,17 +364,27 @@ def _classes(docs: DataFrame, threshold: str, recall: float) -> DataFrame:
     limit = Fraction(threshold)
     signed = materialise(docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text")).mapInArrow(_sign, _SIGNED))
     sets = materialise(signed.where("n > 0").groupBy("k1").agg(
-        F.min("th").alias("th"), F.min("n").alias("n"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"),
+        F.min(_row_key(F.col("th"))).alias("rk"), F.min("n").alias("n"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"),
         F.min("k2").alias("k2"), F.max("k2").alias("other_k2"),
     ))
     if not sets.where("k2 != other_k2").isEmpty():
         raise RuntimeError("two sets of shingles have the same 64-bit key")
     links = materialise(forest_links(signed))
-    for prefix in range(DEPTH, LEAST_PREFIX - 1, -1):
-        verified = _verify(docs, sets.select("k1", "th", "n"), links.where(F.col("shared") >= prefix).select("a", "b"), limit)
+    verified = before = None
+    prefix = DEPTH
+    while prefix is not None:
+        members = _members(sets, links.where(F.col("shared") >= prefix).select("a", "b"))
+        sized = materialise(members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")))
+        if verified is None:
+            verified = _verify(docs, members, sized, limit)
+        else:
+            # shorter prefixes only add links, so a component of the same least key and size is the same
+            same = ["component", "m"]
+            known = verified.join(sized.join(before, same, "left_semi").select("component"), "component", "left_semi")
+            verified = materialise(known.unionByName(_verify(docs, members, sized.join(before, same, "left_anti"), limit)))
+        before = sized.select("component", "m")
         seen = verified.where("bin IS NOT NULL").groupBy("bin").agg(F.sum("pairs").alias("n")).collect()
-        if expected_recall({r.bin: r.n for r in seen}, prefix) >= recall:
-            break
+        prefix = next_prefix({r.bin: r.n for r in seen}, prefix, recall)
 
     linked = verified.where("k1 IS NOT NULL").groupBy("k1").agg(F.sum("links").alias("n_links"))
     edges = verified.where("k1 IS NOT NULL").select(F.col("k1").alias("a"), F.col("root").alias("b")).distinct()

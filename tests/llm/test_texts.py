@@ -249,6 +249,58 @@ def test_prefixes_are_shortened_until_the_recall_is_expected():
     assert ngram_join.expected_recall({99: 10}, 8) > long
 
 
+def test_next_prefix_is_the_longest_that_finds_the_least_similar_links():
+    assert ngram_join.next_prefix({}, ngram_join.DEPTH, ngram_join.RECALL) is None
+    assert ngram_join.next_prefix({95: 3}, ngram_join.DEPTH, ngram_join.RECALL) is None
+    assert ngram_join.next_prefix({80: 1, 99: 10**9}, ngram_join.DEPTH, ngram_join.RECALL) == 8
+    assert ngram_join.next_prefix({80: 1}, 8, ngram_join.RECALL) is None
+    assert ngram_join.next_prefix({20: 1}, ngram_join.DEPTH, ngram_join.RECALL) == ngram_join.LEAST_PREFIX
+    assert ngram_join.next_prefix({20: 1}, ngram_join.LEAST_PREFIX, ngram_join.RECALL) is None
+
+
+@pytest.mark.parametrize("steps", [1, 2, 3, 7])
+def test_every_step_of_the_shortening_finds_links_of_brute_force(spark, monkeypatch, steps):
+    rows, took = near_rows(), []
+
+    def stepwise(similarities, prefix, recall):
+        took.append(prefix)
+        return prefix - 1 if len(took) < steps else None
+
+    monkeypatch.setattr(ngram_join, "next_prefix", stepwise)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = {r.doc_id: r.n_links for r in ngram_join.similar_documents(docs).collect()}
+    exact = {i: n for i, _, n, _, _ in brute_classes(rows)}
+    assert took == list(range(ngram_join.DEPTH, ngram_join.DEPTH - steps, -1))
+    assert all(found[i] <= n for i, n in exact.items())
+    assert sum(found.values()) >= 0.9 * sum(exact.values())
+    if ngram_join.DEPTH - steps < 8:
+        assert found == exact
+
+
+def test_production_settings_shorten_where_links_are_near_the_threshold(spark, monkeypatch):
+    took, plain = [], ngram_join.next_prefix
+    monkeypatch.setattr(ngram_join, "next_prefix", lambda *a: (took.append(a[1]), plain(*a))[1])
+    rows = near_rows()
+    found = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert Counter(tuple(r) for r in found.collect()) == Counter(brute_classes(rows))
+    assert took[0] == ngram_join.DEPTH and len(took) > 1
+
+
+def test_shared_prefixes_of_trie_rows_are_counted():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    first = [rng.randrange(1 << ngram_join.BITS) for _ in range(ngram_join.TREES * ngram_join.DEPTH)]
+    depths = [t % (ngram_join.DEPTH + 1) for t in range(ngram_join.TREES)]
+    second = [x if i % ngram_join.DEPTH < depths[i // ngram_join.DEPTH] else x ^ 1 for i, x in enumerate(first)]
+    one, two = (ngram_join.trie_rows(np.array(x, np.uint8)) for x in (first, second))
+    for tree, depth in enumerate(depths):
+        (low, a), (high, b) = sorted([(int(one[tree]), 1), (int(two[tree]), 2)])
+        batch = pa.RecordBatch.from_pydict({"part": [0, 0], "tree": [tree, tree], "row": [low, high], "k1": [a, b]})
+        links = [r for x in ngram_join._neighbours([batch]) for r in x.to_pylist() if r["shared"] is not None]
+        assert [r["shared"] for r in links] == ([depth] if depth >= ngram_join.LEAST_PREFIX else [])
+
+
 def test_signatures_estimate_similarity():
     common, a, b = (shingles.mix(np.arange(x, y, dtype=np.uint64)) for x, y in ((0, 800), (1000, 1100), (2000, 2100)))
     one, two = (ngram_join.signature(np.sort(np.concatenate([common, x]))).view(np.uint8) for x in (a, b))

@@ -40,6 +40,9 @@ RECALL, LEAST_PREFIX = 0.99999, 4
 #: A block holds about so many sets and shingles at most.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 1 << 20
 
+#: Parts that the verified rows of a component are dealt to.
+SALTS = 32
+
 #: Bits of the hash of a row that are looked up before texts are shuffled: 2^20 broadcast numbers at most.
 COARSE_BITS = 20
 
@@ -380,7 +383,9 @@ def _classes(docs: DataFrame, threshold: str, recall: float) -> DataFrame:
         else:
             # shorter prefixes only add links, so a component of the same least key and size is the same
             same = ["component", "m"]
-            known = verified.join(sized.join(before, same, "left_semi").select("component"), "component", "left_semi")
+            stays = sized.join(before, same, "left_semi").select("component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            salt = F.pmod(F.xxhash64("k1", "bin"), F.lit(SALTS)).cast("int").alias("salt")
+            known = verified.select("*", salt).join(stays, ["component", "salt"], "left_semi").drop("salt").select(*verified.columns)
             verified = materialise(known.unionByName(_verify(docs, members, sized.join(before, same, "left_anti"), limit)))
         before = sized.select("component", "m")
         seen = verified.where("bin IS NOT NULL").groupBy("bin").agg(F.sum("pairs").alias("n")).collect()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions import probability
 from firnline.operators.ordering import exact_quantiles
-from firnline.tables import join_null_safe
+from firnline.tables import join_null_safe, unbroadcast
 
 # Decision threshold, smallest sub-class area (km2) and smallest sub-class share that give a recall.
 DECISION = 0.5
@@ -25,15 +25,15 @@ def _n(flag: Column) -> Column:
 
 def overlay_intersection(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Cells of both layers, with the attributes of both."""
-    return left.join(right, on, "inner")
+    return left.join(unbroadcast(right), on, "inner")
 
 
 def overlay_difference(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    return left.join(right.select(*on), on, "left_anti")
+    return left.join(unbroadcast(right.select(*on)), on, "left_anti")
 
 
 def clip_layer(layer: DataFrame, by: DataFrame, on: list[str]) -> DataFrame:
-    return layer.join(by.select(*on), on, "left_semi")
+    return layer.join(unbroadcast(by.select(*on)), on, "left_semi")
 
 
 def dissolve(layer: DataFrame, on: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions import geometry
 from firnline.operators.ordering import row_numbers
-from firnline.tables import columns_first, missing_to_null, require_columns
+from firnline.tables import columns_first, missing_to_null, require_columns, unbroadcast
 
 # Fixed value: objects below one 10 m pixel (km2) are dropped.
 MIN_OBJECT_KM2 = 1e-4
@@ -173,7 +173,7 @@ def crop(cells: DataFrame, extents: DataFrame, pad: bool = False, key: str = "en
         return cells.join(extents, key).where(inside).select(*cells.columns)
     rows = grid_rows(extents.select(key, "minx", "maxx", "miny", "maxy"), [key], F.col("miny"), F.col("maxy"), "y")
     grid = rows.where("minx <= maxx").select(key, "y", F.explode(F.sequence("minx", "maxx")).alias("x"))
-    return grid.join(cells, [key, "y", "x"], "left")
+    return grid.join(unbroadcast(cells), [key, "y", "x"], "left")
 
 
 def require_covered(cells: DataFrame, extents: DataFrame, key: str = "entry_id") -> DataFrame:

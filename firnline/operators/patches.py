@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from firnline.operators.inventory import grid_rows
 from firnline.operators.ordering import row_numbers
 from firnline.session import materialise
+from firnline.tables import unbroadcast
 
 # Fixed value: share of the patch size dropped on every side before mosaicking.
 MARGIN_SHARE = 0.05
@@ -113,7 +114,7 @@ def cut(cells: DataFrame, patches: DataFrame, radius: int, whole_only: bool = Tr
         (F.col("x") >= F.col("minx")) & (F.col("x") < F.col("maxx"))
         & (F.col("y") >= F.col("miny")) & (F.col("y") < F.col("maxy"))
     )
-    hits = keyed.join(placed, ["entry_id", "_by", "_bx"]).where(inside).drop("_by", "_bx")
+    hits = keyed.join(unbroadcast(placed), ["entry_id", "_by", "_bx"]).where(inside).drop("_by", "_bx")
     if not whole_only:
         return hits
     w = Window.partitionBy("entry_id", "y_center", "x_center")

@@ -11,7 +11,7 @@ from firnline.functions import spectral
 from firnline.functions.probability import clip
 from firnline.operators.ordering import exact_quantiles, raster_row_numbers
 from firnline.session import materialise
-from firnline.tables import join_null_safe, require_columns
+from firnline.tables import join_null_safe, require_columns, unbroadcast
 
 CELL = ["entry_id", "y", "x"]
 
@@ -39,7 +39,7 @@ def other_outline(any_outline: Column, this_outline: Column) -> Column:
 
 def reduce_region(cells: DataFrame, region: DataFrame, keys: list[str], reducers: dict[str, Column]) -> DataFrame:
     """Aggregate the cells that fall into a region given as a cell set."""
-    inside = cells.join(region.select(*CELL), CELL, "left_semi")
+    inside = cells.join(unbroadcast(region.select(*CELL)), CELL, "left_semi")
     return inside.groupBy(*keys).agg(*[c.alias(n) for n, c in reducers.items()])
 
 

@@ -15,7 +15,7 @@ from firnline.functions import geometry
 from firnline.operators import buffers
 from firnline.operators.components import connected_components
 from firnline.session import materialise
-from firnline.tables import missing_to_null
+from firnline.tables import missing_to_null, unbroadcast
 
 
 #: Outlines of more edges are not tested whole.
@@ -83,7 +83,7 @@ def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
         p, h = _probing(probe, _levels(held), above_only), _on_tiles(held)
         p = p.withColumnRenamed("box", "ba" if probe is left else "bb").drop("_own")
         h = h.withColumnRenamed("box", "ba" if held is left else "bb")
-        return p.join(h, _TILE).where(geometry.boxes_meet(F.col("ba"), F.col("bb"))).where(
+        return p.join(unbroadcast(h), _TILE).where(geometry.boxes_meet(F.col("ba"), F.col("bb"))).where(
             _first_common_tile(F.col("ba"), F.col("bb"))
         ).drop(*_TILE)
 
@@ -145,7 +145,7 @@ def close_pairs(outlines: DataFrame, distance: float, key: str = "entry_id") ->
     # the smaller of two boxes looks the larger one up; of the same size, both look
     probing = _probing(edges.select(F.col(key).alias("a"), F.col("edge").alias("ea"), "box", "_level"), _levels(edges), False).withColumnRenamed("box", "ba")
     held = _on_tiles(edges.select(F.col(key).alias("b"), F.col("edge").alias("eb"), "box", "_level")).withColumnRenamed("box", "bb")
-    met = probing.join(held, _TILE).where(F.col("a") != F.col("b")).where(geometry.boxes_meet(F.col("ba"), F.col("bb")))
+    met = probing.join(unbroadcast(held), _TILE).where(F.col("a") != F.col("b")).where(geometry.boxes_meet(F.col("ba"), F.col("bb")))
     close = met.where(_first_common_tile(F.col("ba"), F.col("bb"))).where(
         geometry.edges_within(F.col("ea"), F.col("eb"), distance)
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -199,12 +199,12 @@ def nearest_points(left: DataFrame, right: DataFrame, start: float, left_key: st
         tiles = candidates.withColumns({"_ty": F.floor(F.col("qy") / radius), "_tx": F.floor(F.col("qx") / radius)})
         dy, dx = F.col("py") - F.col("qy"), F.col("px") - F.col("qx")
         best = (
-            probes.join(tiles, ["_ty", "_tx"])
+            probes.join(unbroadcast(tiles), ["_ty", "_tx"])
             .select(left_key, (dx * dx + dy * dy).alias("_d2"), "_q")
             .where(F.col("_d2") <= radius * radius)
             .groupBy(left_key).agg(F.min(F.struct("_d2", "_q")).alias("_b"))
         )
-        tried = materialise(pending.join(best, left_key, "left"))
+        tried = materialise(pending.join(unbroadcast(best), left_key, "left"))
         done.append(tried.where(F.col("_b").isNotNull()))
         pending = tried.where(F.col("_b").isNull()).select(left_key, "px", "py")
         if pending.isEmpty():
@@ -212,7 +212,7 @@ def nearest_points(left: DataFrame, right: DataFrame, start: float, left_key: st
         radius *= 2
     every = reduce(lambda a, b: a.unionByName(b), done)
     found = every.select(left_key, F.col("_b._q").alias(right_key), F.sqrt("_b._d2").alias("distance"))
-    return left.select(left_key).join(found, left_key, "left")
+    return left.select(left_key).join(unbroadcast(found), left_key, "left")
 
 
 def rasterise(outlines: DataFrame, gsd: float, key: str = "entry_id", keep: list[str] | None = None) -> DataFrame:
@@ -249,7 +249,7 @@ def rasterise(outlines: DataFrame, gsd: float, key: str = "entry_id", keep: list
 def id_raster(cells: DataFrame, covered: DataFrame, order: str, value: str, no_value: int = -1) -> DataFrame:
     """Id of the outline that covers a cell; the highest order wins, ``no_value`` elsewhere."""
     top = covered.groupBy("y", "x").agg(F.max_by(value, order).alias(value))
-    return cells.join(top, ["y", "x"], "left").withColumn(value, F.coalesce(F.col(value), F.lit(no_value)))
+    return cells.join(unbroadcast(top), ["y", "x"], "left").withColumn(value, F.coalesce(F.col(value), F.lit(no_value)))
 
 
 def outline_mask(cells: DataFrame, covered: DataFrame, name: str = "mask_glacier", buffer: int = 0, key: str = "entry_id") -> DataFrame:
@@ -259,7 +259,7 @@ def outline_mask(cells: DataFrame, covered: DataFrame, name: str = "mask_glacier
         grown = buffers.plain_buffer(own.withColumn("id", F.lit(0)), buffer, [key])
         own = grown.select(key, "y", "x")
     hit = own.distinct().withColumn(name, F.lit(True))
-    return cells.join(hit, [key, "y", "x"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    return cells.join(unbroadcast(hit), [key, "y", "x"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 def outline_components(outlines: DataFrame, distance: float, key: str = "entry_id") -> DataFrame:
@@ -272,7 +272,7 @@ def outline_components(outlines: DataFrame, distance: float, key: str = "entry_i
 def buffers_by_component(outlines: DataFrame, reaches: list[int], gsd: float, key: str = "entry_id") -> DataFrame:
     """Non-overlapping buffers of several sizes; outlines compete within their component only."""
     parts = outline_components(outlines, max(reaches) * gsd, key)
-    cells = rasterise(outlines.join(parts, key), gsd, key, ["component"]).withColumnRenamed(key, "id")
+    cells = rasterise(outlines.join(unbroadcast(parts), key), gsd, key, ["component"]).withColumnRenamed(key, "id")
     grown = buffers.buffers_non_overlapping(materialise(cells), reaches, ["component"])
     return grown.withColumnRenamed("id", key)
 
@@ -298,11 +298,11 @@ def segments(cells: DataFrame, mask: Column, gsd: float, min_km2: float = 0.0, c
         "entry_id", (F.col("y") + 1).alias("y"), F.explode(F.sequence(F.col("x") - reach, F.col("x") + reach)).alias("x"),
         F.col("run").alias("a"),
     )
-    links = up.join(runs.select("entry_id", "y", "x", F.col("run").alias("b")), ["entry_id", "y", "x"]).select("a", "b").distinct()
+    links = up.join(unbroadcast(runs.select("entry_id", "y", "x", F.col("run").alias("b"))), ["entry_id", "y", "x"]).select("a", "b").distinct()
     labels = connected_components(links, runs.select(F.col("run").alias("v")).distinct(), contract=True)
     named = materialise(labels.select(F.col("v").alias("run"), F.col("component").alias("segment")))
     # sizes are summed over runs, so the cells are joined only once
     lengths = runs.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = named.join(lengths, "run").groupBy("segment").agg((F.sum("_n") * (gsd * gsd / 1e6)).alias("area_km2"))
-    kept = named.join(sizes.where(F.col("area_km2") >= min_km2), "segment")
-    return runs.join(kept, "run").select("entry_id", "segment", "y", "x", "area_km2")
+    sizes = named.join(unbroadcast(lengths), "run").groupBy("segment").agg((F.sum("_n") * (gsd * gsd / 1e6)).alias("area_km2"))
+    kept = named.join(unbroadcast(sizes.where(F.col("area_km2") >= min_km2)), "segment")
+    return runs.join(unbroadcast(kept), "run").select("entry_id", "segment", "y", "x", "area_km2")

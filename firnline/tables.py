@@ -47,6 +47,15 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """``df`` marked for a join in which both sides are shuffled.
+
+    Rows that open inside a plan and columns that compress well look far smaller than they are
+    in memory, so Spark's size rule would send such a table to the driver and to every executor.
+    """
+    return df.hint("merge")
+
+
 def columns_first(df: DataFrame, first: list[str]) -> DataFrame:
     """Reorder columns so that ``first`` lead."""
     require_columns(df, first)

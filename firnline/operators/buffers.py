@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firnline.session import materialise
+from firnline.tables import unbroadcast
 
 
 #: Reach up to which seeds are spread instead of swept.
@@ -30,7 +31,7 @@ def edge_cells(seeds: DataFrame, keys: list[str]) -> DataFrame:
     ])
     touched = seeds.select(*keys, "id", F.inline(around)).groupBy(*keys, "id", "y", "x").agg(F.count(F.lit(1)).alias("_n"))
     inner = touched.where(F.col("_n") == 4).select(*keys, "id", "y", "x")
-    return seeds.join(inner, [*keys, "id", "y", "x"], "left_anti")
+    return seeds.join(unbroadcast(inner), [*keys, "id", "y", "x"], "left_anti")
 
 
 def distances(seeds: DataFrame, reach: int, keys: list[str], per_id: bool) -> DataFrame:
@@ -167,7 +168,7 @@ def plain_buffer(seeds: DataFrame, reach: int, keys: list[str]) -> DataFrame:
 def exclusive_distances(seeds: DataFrame, reach: int, keys: list[str]) -> DataFrame:
     """Nearest outline and squared distance of the cells around, but outside of, all outlines."""
     grown = distances(edge_cells(seeds, keys), reach, keys, per_id=False)
-    return grown.join(seeds.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
+    return grown.join(unbroadcast(seeds.select(*keys, "y", "x")), [*keys, "y", "x"], "left_anti")
 
 
 def buffer_non_overlapping(seeds: DataFrame, reach: int, keys: list[str]) -> DataFrame:
@@ -217,7 +218,7 @@ def region_layers(
 
     layers = {
         "buffer_clouds": plain(qc),
-        "buffer_ndsi": within(per, qc).join(own.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti"),
+        "buffer_ndsi": within(per, qc).join(unbroadcast(own.select(*keys, "y", "x")), [*keys, "y", "x"], "left_anti"),
         "buffer_patch_sampling": plain(patch_sampling),
         "buffer_infer": within(near, infer).unionByName(own),
         # both buffers hold the outlines themselves, so these cancel
@@ -255,9 +256,10 @@ def equal_area_distance(
         reach = reach if furthest is None else min(reach, furthest)
         near = distances(selected_edge, reach, keys, per_id=False)
         far = distances(rest_edge, reach, keys, per_id=False).select(*at, F.col("d2").alias("_r2"))
-        ring = near.join(far, at, "left").join(selected.select(*at), at, "left_anti").join(rest.select(*at), at, "left_anti")
+        taken = selected.select(*at).unionByName(rest.select(*at))
+        ring = near.join(unbroadcast(far), at, "left").join(unbroadcast(taken), at, "left_anti")
         if within is not None:
-            ring = ring.join(within.select(*at), at, "left_semi")
+            ring = ring.join(unbroadcast(within.select(*at)), at, "left_semi")
         d_sel, d_rest = F.sqrt("d2") * gsd, F.sqrt("_r2") * gsd
         joins = F.ceil(F.round((d_sel - start) / step, 9))
         leaves = F.ceil(F.round(2 * (d_rest - start) / step, 9))

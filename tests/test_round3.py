@@ -19,3 +19,9 @@ def test_id_raster_keeps_cells_from_the_driver(spark):
     one = covered.select(F.lit("all").alias("raster"), "y", "x")
     cells = inventory.crop(one.distinct(), inventory.cell_extents(one, key="raster"), pad=True, key="raster")
     assert broadcasts(spatial.id_raster(cells.select("y", "x"), covered, "entry_id", "entry_id")) == 0
+
+
+def test_outline_mask_keeps_cells_from_the_driver(spark):
+    covered = spatial.rasterise(squares(spark, 5), 1.0)
+    cells = inventory.crop(covered, inventory.cell_extents(covered, 3), pad=True).select("entry_id", "y", "x")
+    assert broadcasts(spatial.outline_mask(cells, covered, "m", 2)) == 0

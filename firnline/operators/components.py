@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firnline.session import materialise
+from firnline.tables import unbroadcast
 
 
 #: Vertices that a task contracts at once.
@@ -41,7 +42,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame, contract: bool =
         current = materialise(shrink(_small_star(materialise(_large_star(current)))))
     roots = current.select(F.col("hi").alias("v"), F.col("lo").alias("component"))
     return (
-        vertices.select("v").join(roots, "v", "left")
+        vertices.select("v").join(unbroadcast(roots), "v", "left")
         .select("v", F.coalesce("component", "v").alias("component"))
     )
 
@@ -91,7 +92,7 @@ def _large_star(e: DataFrame) -> DataFrame:
     )
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (
-        both.where(F.col("v") > F.col("u")).join(least, "u")
+        both.where(F.col("v") > F.col("u")).join(unbroadcast(least), "u")
         .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         .distinct()
     )
@@ -102,7 +103,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     links = F.array(
         F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     )
-    return e.join(least, "hi").select(F.inline(links)).where(F.col("hi") != F.col("lo")).distinct()
+    return e.join(unbroadcast(least), "hi").select(F.inline(links)).where(F.col("hi") != F.col("lo")).distinct()
 
 
 def _only_stars(e: DataFrame) -> bool:

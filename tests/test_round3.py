@@ -25,3 +25,8 @@ def test_outline_mask_keeps_cells_from_the_driver(spark):
     covered = spatial.rasterise(squares(spark, 5), 1.0)
     cells = inventory.crop(covered, inventory.cell_extents(covered, 3), pad=True).select("entry_id", "y", "x")
     assert broadcasts(spatial.outline_mask(cells, covered, "m", 2)) == 0
+
+
+def test_exclusive_buffers_keep_cells_from_the_driver(spark):
+    seeds = spatial.rasterise(squares(spark, 5), 1.0).withColumnRenamed("entry_id", "id").withColumn("component", F.lit(0))
+    assert broadcasts(buffers.buffers_non_overlapping(seeds, [1, 3], ["component"])) == 0

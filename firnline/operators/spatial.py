@@ -93,11 +93,15 @@ def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
 def points_in_outlines(points: DataFrame, outlines: DataFrame, attributes: list[str], key: str = "entry_id") -> DataFrame:
     """Left join of points ``px, py`` with a unique ``key`` to the outlines that contain them.
 
-    A point looks outlines up in its one tile of every level in use, so it meets an
-    outline at most once. Outlines of many edges do not travel whole: a ray from the point
-    to the right looks up the edges of the strips it runs through, see ``_ray_hits``.
+    A point looks rings up in its one tile of every level in use, so it meets a ring at most
+    once; it is inside an outline when it is inside an odd number of its rings. Rings far
+    apart thus do not share one box. Rings of many edges do not travel whole: a ray from the
+    point to the right looks up the edges of the strips it runs through, see ``_ray_hits``.
     """
-    areas = _with_level(with_edges(outlines))
+    numbered = materialise(outlines.select("rings", *attributes).withColumn("_outline", F.monotonically_increasing_id()))
+    single = numbered.select("_outline", F.posexplode("rings").alias("_i", "_ring")).select(
+        F.struct("_outline", "_i").alias("_ring"), F.array("_ring").alias("_points"))
+    areas = _with_level(with_edges(single, "_points")).drop("_points")
     large = F.size("edges") > WHOLE_EDGES
     found = areas.groupBy("_level").agg(F.max(large).alias("large")).collect()  # exponents of box sizes: a few dozen
     levels = F.array(*[F.lit(r["_level"]) for r in sorted(found)]).cast("array<int>")
@@ -106,34 +110,34 @@ def points_in_outlines(points: DataFrame, outlines: DataFrame, attributes: list[
         points.select(key, "px", "py").withColumn("_level", F.explode(levels))
         .withColumns({"_ty": F.floor(F.col("py") / side), "_tx": F.floor(F.col("px") / side)})
     )
-    held = _on_tiles(areas.where(~large)).select(*_TILE, "edges", *attributes)
-    hits = keyed.join(held, _TILE).where(geometry.contains(F.col("edges"), F.col("px"), F.col("py"))).select(key, *attributes)
+    held = _on_tiles(areas.where(~large)).select(*_TILE, "edges", "_ring")
+    hits = keyed.join(unbroadcast(held), _TILE).where(geometry.contains(F.col("edges"), F.col("px"), F.col("py"))).select(key, "_ring")
     if any(r["large"] for r in found):
-        hits = hits.unionByName(_ray_hits(keyed, areas.where(large), attributes, key))
-    return points.join(hits, key, "left")
+        hits = hits.unionByName(_ray_hits(keyed, areas.where(large), key))
+    inside = hits.groupBy(key, F.col("_ring._outline").alias("_outline")).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1")
+    named = inside.join(unbroadcast(numbered.select("_outline", *attributes)), "_outline").select(key, *attributes)
+    return points.join(unbroadcast(named), key, "left")
 
 
-def _ray_hits(keyed: DataFrame, areas: DataFrame, attributes: list[str], key: str) -> DataFrame:
-    """Points on tiles and the outlines that contain them, by counting the edges that a ray to the right crosses.
+def _ray_hits(keyed: DataFrame, areas: DataFrame, key: str) -> DataFrame:
+    """Points on tiles and the rings that contain them, by counting the edges that a ray to the right crosses.
 
     An edge lives in the strips of its own height that it touches, two at most, and a ray looks up
-    one strip of every height in use in its outline. What is tested follows the edges at the
-    height of the point and not the size of the outline, and edges of one outline are spread by strip.
+    one strip of every height in use in its ring. What is tested follows the edges at the
+    height of the point and not the size of the ring, and edges of one ring are spread by strip.
     """
-    numbered = materialise(areas.select("_level", "box", "edges", *attributes).withColumn("_outline", F.monotonically_increasing_id()))
     b, e = F.col("box"), F.col("e")
-    near = keyed.join(_on_tiles(numbered.select("_level", "box", "_outline")), _TILE).where(
+    near = keyed.join(unbroadcast(_on_tiles(areas.select("_level", "box", "_ring"))), _TILE).where(
         (F.col("px") >= b["minx"]) & (F.col("px") <= b["maxx"]) & (F.col("py") >= b["miny"]) & (F.col("py") <= b["maxy"])
-    ).select(key, "px", "py", "_outline")
+    ).select(key, "px", "py", "_ring")
     low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
-    sloped = numbered.select("_outline", F.explode("edges").alias("e")).where(e["y1"] != e["y2"]).withColumn("_strip", F.ceil(F.log2(high - low)).cast("int"))
+    sloped = areas.select("_ring", F.explode("edges").alias("e")).where(e["y1"] != e["y2"]).withColumn("_strip", F.ceil(F.log2(high - low)).cast("int"))
     height = F.pow(F.lit(2.0), F.col("_strip"))
     strips = sloped.withColumn("_sy", F.explode(F.sequence(F.floor(low / height), F.floor(high / height))))
-    heights = sloped.groupBy("_outline").agg(F.collect_set("_strip").alias("_strips"))
-    rays = near.join(heights, "_outline").withColumn("_strip", F.explode("_strips")).drop("_strips").withColumn("_sy", F.floor(F.col("py") / height))
-    crossed = rays.join(strips, ["_outline", "_strip", "_sy"]).where(geometry.crosses_ray(e, F.col("px"), F.col("py")))
-    inside = crossed.groupBy(key, "_outline").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1")
-    return inside.join(numbered.select("_outline", *attributes), "_outline").select(key, *attributes)
+    heights = sloped.groupBy("_ring").agg(F.collect_set("_strip").alias("_strips"))
+    rays = near.join(unbroadcast(heights), "_ring").withColumn("_strip", F.explode("_strips")).drop("_strips").withColumn("_sy", F.floor(F.col("py") / height))
+    crossed = rays.join(unbroadcast(strips), ["_ring", "_strip", "_sy"]).where(geometry.crosses_ray(e, F.col("px"), F.col("py")))
+    return crossed.groupBy(key, "_ring").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select(key, "_ring")
 
 
 def close_pairs(outlines: DataFrame, distance: float, key: str = "entry_id") -> DataFrame:

@@ -30,3 +30,16 @@ def test_outline_mask_keeps_cells_from_the_driver(spark):
 def test_exclusive_buffers_keep_cells_from_the_driver(spark):
     seeds = spatial.rasterise(squares(spark, 5), 1.0).withColumnRenamed("entry_id", "id").withColumn("component", F.lit(0))
     assert broadcasts(buffers.buffers_non_overlapping(seeds, [1, 3], ["component"])) == 0
+
+
+def test_rings_far_apart_do_not_share_a_box(spark):
+    def at(x, half):
+        return [{"x": float(x + sx * half), "y": float(sy * half)} for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+
+    # two parts, one of them with a hole; a row of points between them
+    around = spark.createDataFrame([("a", [at(0, 5), at(0, 2), at(100_000, 5)])], "entry_id string, rings array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([(i, float(x), 0.5) for i, x in enumerate((0, 4, 50_000, 100_001, 100_006))], "p int, px double, py double")
+    found = spatial.points_in_outlines(points, around.withColumnRenamed("entry_id", "around"), ["around"], "p")
+    assert sorted((r["p"], r["around"]) for r in found.collect()) == [(0, None), (1, "a"), (2, None), (3, "a"), (4, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_ring" in plan  # looked up by ring

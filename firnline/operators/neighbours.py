@@ -5,11 +5,15 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firnline.operators.ordering import rank_lookup, running_totals
 from firnline.session import materialise
+from firnline.tables import unbroadcast
 
 # Number of source cells for gap filling, and the 3-point Gaussian (sigma 1, radius 1).
 FILL_CELLS = 30
@@ -19,44 +23,96 @@ GAUSS_MID = 0.45186276
 CELL = ["entry_id", "y", "x"]
 
 
+#: Side of the tiles of cells that one task fills at once, and of the blocks within them that share a list of sources.
+TILE = 64
+SUB = 8
+
+
 def nearest_fill(cells: DataFrame, value: str, to_fill: Column, ok: Column, k: int = FILL_CELLS) -> DataFrame:
     """Mean of the ``k`` nearest usable cells of the entry, ties included.
 
     Returns ``entry_id, y, x, filled``. A usable cell without a value is no source. Entries
-    with fewer than ``k`` sources are left out. Cells meet in small blocks of fixed size. The
-    sources of each block are counted first; the counts bound how far the ``k``-th source of
-    a block of gaps can be, and only blocks within that bound are joined cell by cell. The
-    pairs of a gap thus follow ``k`` and the rim of its hole, not the area of the hole.
+    with fewer than ``k`` sources are left out. Sources deep inside solid ground are never among
+    the nearest and stay behind, see ``_near_rims``. The others are counted by tile; the counts bound
+    how far the ``k``-th source of a tile of gaps can be, and a tile meets only the sources within
+    that bound, which follow the rim of its hole and not the area. Groups are single tiles.
     """
-    side = max(1, math.isqrt(k))
     base = materialise(
         cells.select(
             *CELL, F.col(value).cast("double").alias("_v"), to_fill.alias("_fill"), ok.alias("_ok"),
-            F.floor(F.col("y") / side).alias("_by"), F.floor(F.col("x") / side).alias("_bx"),
+            F.floor(F.col("y") / TILE).alias("_by"), F.floor(F.col("x") / TILE).alias("_bx"),
         ).where(F.col("_fill") | F.col("_ok"))
     )
-    sources = base.where(F.col("_ok") & F.col("_v").isNotNull()).select(*CELL, *_BLOCK, "_v")
-    counts = materialise(sources.groupBy("entry_id", *_BLOCK).agg(F.count(F.lit(1)).alias("_n")))
-    enough = counts.groupBy("entry_id").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k)
+    usable = F.coalesce(F.col("_ok") & F.col("_v").isNotNull(), F.lit(False))
+    every = base.where(usable)
+    enough = every.groupBy("entry_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
     gaps = base.where("_fill").select(*CELL, *_BLOCK).join(enough.select("entry_id"), "entry_id", "left_semi")
-    near = materialise(_blocks_in_reach(gaps.select("entry_id", *_BLOCK).distinct(), counts, side, k))
-
-    target = ["entry_id", "fy", "fx"]
-    probes = gaps.select("entry_id", *_BLOCK, F.col("y").alias("fy"), F.col("x").alias("fx")).join(near, ["entry_id", *_BLOCK])
-    dy, dx = F.col("y") - F.col("fy"), F.col("x") - F.col("fx")
-    others = sources.select("entry_id", F.col("_by").alias("_sy"), F.col("_bx").alias("_sx"), "y", "x", "_v")
-    by_distance = (
-        probes.join(others, ["entry_id", "_sy", "_sx"])
-        .select(*target, (dy * dy + dx * dx).alias("_d2"), "_v", "_reach")
-        .where(F.col("_d2") <= F.col("_reach"))
-        .groupBy(*target, "_d2").agg(F.count("_v").alias("_n"), F.sum("_v").alias("_s"))
-    )
-    w = Window.partitionBy(*target).orderBy("_d2").rowsBetween(Window.unboundedPreceding, 0)
-    reached = by_distance.select(
-        *target, "_d2", F.sum("_n").over(w).alias("_cn"), F.sum("_s").over(w).alias("_cs")
-    ).where(F.col("_cn") >= k)
-    found = reached.groupBy(*target).agg(F.min_by(F.col("_cs") / F.col("_cn"), "_d2").alias("filled"))
-    return found.select("entry_id", F.col("fy").alias("y"), F.col("fx").alias("x"), "filled")
+    sources = materialise(_near_rims(base, usable, k))
+    counts = materialise(sources.groupBy("entry_id", *_BLOCK).agg(F.count(F.lit(1)).alias("_n")))
+    near = materialise(_blocks_in_reach(gaps.select("entry_id", *_BLOCK).distinct(), counts, TILE, k))
+
+    def beyond(c: str, block: str) -> Column:
+        low = F.col(block) * TILE
+        return F.greatest(low - F.col(c), F.col(c) - low - (TILE - 1), F.lit(0))
+
+    dy, dx = beyond("y", "_by"), beyond("x", "_bx")
+    held = sources.withColumnsRenamed({"_by": "_sy", "_bx": "_sx"})
+    offered = held.join(unbroadcast(near), ["entry_id", "_sy", "_sx"]).where(dy * dy + dx * dx <= F.col("_reach")).select("entry_id", *_BLOCK, "y", "x", "_v")
+    of = cells.schema
+    schema = T.StructType([of["entry_id"], of["y"], of["x"], T.StructField("filled", T.DoubleType())])
+    tile = ["entry_id", *_BLOCK]
+    return gaps.groupBy(*tile).cogroup(offered.groupBy(*tile)).applyInArrow(_filled(k), schema)
+
+
+def _near_rims(base: DataFrame, usable: Column, k: int) -> DataFrame:
+    """The sources without those in blocks where all blocks around are full of sources and free of gaps.
+
+    Blocks have side ``b``, and the solid ground reaches ``2 (b + 1)`` cells from such a source. From
+    it to any gap, the disc of radius ``b + 1`` that touches it lies in solid ground and nearer to the gap.
+    It holds ``(b + 1)^2 > k`` cells at least, so the source is not among the ``k`` nearest.
+    """
+    b = max(1, math.isqrt(k))
+    rim = math.ceil(2 * (b + 1) / b)
+    around = F.explode(F.sequence(F.lit(-rim), F.lit(rim)))
+    at = base.withColumns({"_qy": F.floor(F.col("y") / b), "_qx": F.floor(F.col("x") / b)})
+    block = ["entry_id", "_qy", "_qx"]
+    solid = at.groupBy(*block).agg(
+        F.size(F.collect_set(F.when(usable, F.struct("y", "x")))).alias("_n"), F.bool_or(F.coalesce("_fill", F.lit(False))).alias("_gap")
+    ).where((F.col("_n") == b * b) & ~F.col("_gap")).select(*block)
+    for c in ("_qx", "_qy"):
+        solid = solid.withColumn("_d", around).withColumn(c, F.col(c) + F.col("_d")).groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 2 * rim + 1).select(*block)
+    return at.where(usable).join(unbroadcast(solid), block, "left_anti").select(*CELL, *_BLOCK, "_v")
+
+
+def _filled(k: int):
+    """Means of the ``k`` nearest sources, ties included, for the gaps of one tile.
+
+    The distance to the ``k``-th source changes by no more than the way between two cells, so
+    the middle of a block of gaps bounds which sources its cells have to look at.
+    """
+    def run(gaps: pa.Table, sources: pa.Table) -> pa.Table:
+        def places(t: pa.Table) -> np.ndarray:
+            return np.stack([t.column(c).to_numpy() for c in ("y", "x")], axis=1)
+
+        g, s, v = places(gaps), places(sources), sources.column("_v").to_numpy()
+        out = np.full(len(g), np.nan)
+        blocks = np.floor_divide(g, SUB)
+        _, which = np.unique(blocks, axis=0, return_inverse=True)
+        order = np.argsort(which.ravel(), kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(which.ravel()[order])) + 1) if len(g) else []:
+            own = g[part]
+            centre = (own.min(axis=0) + own.max(axis=0)) / 2
+            span = math.sqrt(((own - centre) ** 2).sum(axis=1).max())
+            far = ((s - centre) ** 2).sum(axis=1)
+            reach = math.sqrt(np.partition(far, k - 1)[k - 1]) + 2 * span
+            use = far <= reach * reach * (1 + 1e-9) + 1e-6
+            t, w = s[use], v[use]
+            d2 = (own[:, :1] - t[:, 0]) ** 2 + (own[:, 1:] - t[:, 1]) ** 2
+            hit = d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1:k]
+            out[part] = np.where(hit, w, 0.0).sum(axis=1) / hit.sum(axis=1)
+        return pa.table({"entry_id": gaps.column("entry_id"), "y": gaps.column("y"), "x": gaps.column("x"), "filled": pa.array(out, pa.float64())})
+
+    return run
 
 
 _BLOCK = ["_by", "_bx"]
@@ -150,7 +206,7 @@ def elevation_fill(cells: DataFrame, value: str, elevation: str, to_fill: Column
         ((pick(1, "s1") - pick(0, "s0")) / (pick(1, "n1") - pick(0, "n0"))).alias("filled")
     )
     gaps = base.where("_fill").select(*CELL, "_h")
-    return gaps.join(means, ["entry_id", "_h"]).select(*CELL, "filled")
+    return gaps.join(unbroadcast(means), ["entry_id", "_h"]).select(*CELL, "filled")
 
 
 def fill_gaps(
@@ -171,7 +227,7 @@ def fill_gaps(
         raise ValueError("method must be 'nn', 'hypso' or None")
     filled = materialise(filled)
     entries = filled.select("entry_id").distinct().withColumn("_touched", F.lit(True))
-    joined = cells.join(filled, CELL, "left").join(entries, "entry_id", "left")
+    joined = cells.join(unbroadcast(filled), CELL, "left").join(entries, "entry_id", "left")
     new = F.when(F.col("_touched").isNull(), F.col(value)).when(to_fill, F.col("filled")).when(ok, F.col(value))
     return joined.withColumns({f"{value}_orig": F.col(value), value: new}).withColumn(
         f"{value}_b", F.col(value) >= threshold
@@ -280,6 +336,6 @@ def bilinear(targets: DataFrame, source: DataFrame, value: str, y: Column, x: Co
     spread = t.select(*targets.columns, F.inline(corners)).where(F.col("_w") > 0)
     side = source.select(*keys, F.col("y").alias("_sy"), F.col("x").alias("_sx"), F.col(value).cast("double").alias("_v"))
     weight = F.when(F.col("_v").isNotNull(), F.col("_w"))
-    return spread.join(side, [*keys, "_sy", "_sx"], "left").groupBy(*targets.columns).agg(
+    return spread.join(unbroadcast(side), [*keys, "_sy", "_sx"], "left").groupBy(*targets.columns).agg(
         F.try_divide(F.sum(F.col("_v") * weight), F.sum(weight)).alias(value)
     )

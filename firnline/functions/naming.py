@@ -25,7 +25,10 @@ def scene_id_parts(scene_id: Column) -> dict[str, Column]:
     }
 
 
-def padded_id(number: Column, prefix: str, width: int) -> Column:
+def padded_id(number: Column, prefix: str, width: int, cut: bool = False) -> Column:
+    """Prefix and number with leading zeros. A longer number stays whole, or with ``cut`` keeps its first ``width`` digits."""
+    if cut:
+        return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
     return F.format_string(f"{prefix}%0{width}d", number)
 
 

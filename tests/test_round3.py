@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from firnline.functions import naming
 from firnline.operators import buffers, inventory, neighbours, outlines, spatial
 
 
@@ -60,3 +61,9 @@ def test_nearest_fill_in_a_hole_far_wider_than_its_rim(spark):
     base = df.select("entry_id", "y", "x", F.col("v").alias("_v"), F.col("gap").alias("_fill"), (~F.col("gap")).alias("_ok"), F.lit(0).alias("_by"), F.lit(0).alias("_bx"))
     left = neighbours._near_rims(base, F.col("_ok"), 30)
     assert left.count() < len(s) and left.where("y between 60 and 80 and x between 25 and 30").count() == 0
+
+
+def test_padded_ids_are_cut_to_their_width(spark):
+    ids = spark.createDataFrame([(7,), (9999,), (12345,)], "n bigint")
+    assert [r[0] for r in ids.select(naming.padded_id(F.col("n"), "g_", 4, cut=True)).collect()] == ["g_0007", "g_9999", "g_1234"]
+    assert [r[0] for r in ids.select(naming.padded_id(F.col("n"), "g_", 4)).collect()] == ["g_0007", "g_9999", "g_12345"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.operators.ordering import block_row_numbers, row_numbers
@@ -29,6 +29,14 @@ def px(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean whose sum is exact, so equal scores tie whatever the order of rows; where decimals do not hold a value, that of doubles."""
+    exact = value.try_cast("decimal(38,12)")
+    mean = F.try_divide(F.try_sum(exact).cast("double"), F.count(value))
+    held = F.bool_and(F.coalesce(exact.cast("double") == value, value.isNull()))
+    return F.when(held, F.coalesce(mean, F.avg(value))).otherwise(F.avg(value))
+
+
 def img(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One acquisition per entry and day with its quality metrics."""
     err = F.col("event_type") == "error"
@@ -38,7 +46,7 @@ def img(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.avg(F.when(err, F.lit(1.0)).otherwise(F.lit(0.0))).alias("cloud_p"),
-            F.avg(F.when(~err, F.col("value"))).alias("ndsi"),
+            exact_mean(F.when(~err, F.col("value"))).alias("ndsi"),
         )
         .withColumn("coverage", F.least(F.lit(1.0), F.col("n").cast("double") / 3))
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions import naming
 from firnline.operators import buffers, inventory, neighbours, outlines, spatial
+from firnline.plans import fixtures
 
 
 def squares(spark, n):
@@ -67,3 +68,12 @@ def test_padded_ids_are_cut_to_their_width(spark):
     ids = spark.createDataFrame([(7,), (9999,), (12345,)], "n bigint")
     assert [r[0] for r in ids.select(naming.padded_id(F.col("n"), "g_", 4, cut=True)).collect()] == ["g_0007", "g_9999", "g_1234"]
     assert [r[0] for r in ids.select(naming.padded_id(F.col("n"), "g_", 4)).collect()] == ["g_0007", "g_9999", "g_12345"]
+
+
+def test_mean_of_an_acquisition_does_not_depend_on_the_order_of_rows(spark):
+    values = [0.1, 0.2, 0.3, 122.79, 29.27, 56.25]
+    data = [(g, v) for g, vs in (("a", values), ("b", values[::-1]), ("c", [0.3, 0.1, 122.79, 0.2, 56.25, 29.27])) for v in vs]
+    means = spark.createDataFrame(data, "g string, v double").coalesce(1).groupBy("g").agg(fixtures.exact_mean(F.col("v")).alias("m"))
+    assert len({r["m"] for r in means.collect()}) == 1
+    odd = spark.createDataFrame([("n", None), ("x", 1e30), ("x", 3e30)], "g string, v double").groupBy("g").agg(fixtures.exact_mean(F.col("v")).alias("m"))
+    assert {r["g"]: r["m"] for r in odd.collect()} == {"n": None, "x": 2e30}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions import geometry
 from firnline.session import materialise
+from firnline.tables import unbroadcast
 
 _SEGMENT = ["entry_id", "segment"]
 
@@ -27,7 +28,7 @@ def boundary_edges(segment_cells: DataFrame) -> DataFrame:
     ])
     spread = segment_cells.select(*_SEGMENT, "y", "x", F.inline(around))
     inside = segment_cells.select(*_SEGMENT, F.col("y").alias("_ny"), F.col("x").alias("_nx"))
-    return spread.join(inside, [*_SEGMENT, "_ny", "_nx"], "left_anti").select(*_SEGMENT, "y", "x", "side")
+    return spread.join(unbroadcast(inside), [*_SEGMENT, "_ny", "_nx"], "left_anti").select(*_SEGMENT, "y", "x", "side")
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def _successors(pieces: DataFrame) -> DataFrame:
     """The piece that follows each: at a corner where two cells touch, the walk stays with its own cell, to the left."""
     ends = pieces.select(*_SEGMENT, "piece", "d", F.col("by").alias("vy"), F.col("bx").alias("vx"))
     starts = pieces.select(*_SEGMENT, F.col("piece").alias("next"), F.col("d").alias("nd"), F.col("ay").alias("vy"), F.col("ax").alias("vx"))
-    turns = ends.join(starts, [*_SEGMENT, "vy", "vx"]).where((F.col("nd") - F.col("d")) % 2 != 0)
+    turns = ends.join(unbroadcast(starts), [*_SEGMENT, "vy", "vx"]).where((F.col("nd") - F.col("d")) % 2 != 0)
     left = F.pmod(F.col("nd") - F.col("d"), F.lit(4)) == 1
     return turns.groupBy("piece").agg(F.min_by("next", F.when(left, 0).otherwise(1)).alias("next"))
 
@@ -90,14 +91,14 @@ def ranked_cycles(successors: DataFrame) -> DataFrame:
             F.struct(F.col("seen.least").alias("least"), (F.col("seen.ahead") + reach).alias("ahead")).alias("_seen"),
         )
         # of the same element, the nearer place is the smaller pair
-        new = materialise(state.join(beyond, "to").select(
+        new = materialise(state.join(unbroadcast(beyond), "to").select(
             "piece", F.col("_to").alias("to"), F.least("seen", "_seen").alias("seen"), (F.col("_seen.least") < F.col("seen.least")).alias("learned")
         ))
         state, reach = new.drop("learned"), 2 * reach
         if new.where("learned").isEmpty():
             break
     lengths = state.groupBy(F.col("seen.least").alias("cycle")).agg((F.max("seen.ahead") + 1).alias("n"))
-    found = state.select("piece", F.col("seen.least").alias("cycle"), F.col("seen.ahead").alias("ahead")).join(lengths, "cycle")
+    found = state.select("piece", F.col("seen.least").alias("cycle"), F.col("seen.ahead").alias("ahead")).join(unbroadcast(lengths), "cycle")
     return found.select("piece", "cycle", F.pmod(F.col("n") - F.col("ahead"), F.col("n")).alias("place"))
 
 
@@ -110,7 +111,7 @@ def segment_rings(segment_cells: DataFrame, gsd: float) -> DataFrame:
     """
     pieces = materialise(_pieces(boundary_edges(segment_cells)))
     placed = materialise(ranked_cycles(_successors(pieces)))
-    corners = materialise(pieces.join(placed, "piece").withColumnRenamed("cycle", "ring"))
+    corners = materialise(pieces.join(unbroadcast(placed), "piece").withColumnRenamed("cycle", "ring"))
     corner = F.struct("place", (F.col("ax") * F.lit(float(gsd))).alias("x"), (F.col("ay") * F.lit(float(gsd))).alias("y"))
     ordered = F.transform(F.sort_array(F.collect_list(corner)), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
     rings = corners.groupBy(*_SEGMENT, "ring").agg(
@@ -119,7 +120,7 @@ def segment_rings(segment_cells: DataFrame, gsd: float) -> DataFrame:
     )
     area = geometry.signed_area(geometry.edges(F.array("points"))) / 1e6
     rings = materialise(rings.withColumn("area_km2", area))
-    return rings.join(_parts(rings, corners), "ring").select(*_SEGMENT, "ring", "part", "points", "area_km2")
+    return rings.join(unbroadcast(_parts(rings, corners)), "ring").select(*_SEGMENT, "ring", "part", "points", "area_km2")
 
 
 def _parts(rings: DataFrame, corners: DataFrame) -> DataFrame:
@@ -128,12 +129,12 @@ def _parts(rings: DataFrame, corners: DataFrame) -> DataFrame:
     # that of the outer ring or of another hole of the same part
     holes = rings.where("area_km2 < 0").select(*_SEGMENT, "ring", F.col("_r.x").alias("hx"), F.col("_r.y").alias("y"))
     walls = corners.where("d = 3").select(*_SEGMENT, F.col("ring").alias("wall"), F.col("line").alias("wx"), F.explode(F.sequence("low", F.col("high") - 1)).alias("y"))
-    looked = holes.join(walls, [*_SEGMENT, "y"]).where("wx < hx").groupBy("ring").agg(F.max_by("wall", "wx").alias("to"))
+    looked = holes.join(unbroadcast(walls), [*_SEGMENT, "y"]).where("wx < hx").groupBy("ring").agg(F.max_by("wall", "wx").alias("to"))
     outer = rings.where("area_km2 > 0").select("ring", F.col("ring").alias("to"))
     state = materialise(outer.unionByName(looked))
     while True:
         further = state.select(F.col("ring").alias("to"), F.col("to").alias("_to"))
-        new = materialise(state.join(further, "to").select("ring", F.col("_to").alias("to"), (F.col("to") != F.col("_to")).alias("moved")))
+        new = materialise(state.join(unbroadcast(further), "to").select("ring", F.col("_to").alias("to"), (F.col("to") != F.col("_to")).alias("moved")))
         state = new.drop("moved")
         if new.where("moved").isEmpty():
             return state.withColumnRenamed("to", "part")

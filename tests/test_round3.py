@@ -85,3 +85,8 @@ def test_segments_that_share_a_number_are_joined(spark):
     s = df.select("entry_id", F.struct("entry_id", F.col("top").alias("y"), "x").alias("segment"), "y", "x")
     got = {(r["entry_id"], r["y"]): r["segment"] for r in spatial_queries._numbered(s).collect()}
     assert got == {(1, 9_999): 1_999_903, (1, 10_000): 1_999_903, (2, 0): 1_999_903, (2, 5): 2_000_501}
+
+
+def test_boundary_edges_keep_cells_from_the_driver(spark):
+    cells = spark.range(40).select(F.lit(1).alias("entry_id"), F.lit(0).alias("segment"), F.floor(F.col("id") / 8).alias("y"), (F.col("id") % 8).alias("x"))
+    assert broadcasts(outlines.boundary_edges(cells)) == 0

@@ -9,6 +9,7 @@ from firnline.plans import fixtures as fx
 from firnline.plans.pixel_queries import RADIUS, SCORED_SQL, scored_patches
 from firnline.plans.registry import query, rounded
 from firnline.session import materialise
+from firnline.tables import unbroadcast
 
 CELL = ["entry_id", "y", "x"]
 
@@ -38,12 +39,12 @@ def scores_to_areas(spark, sf):
     """Score patches, mosaic them, fill what clouds cover, cut segments and measure them against the truth."""
     cells = fx.px(spark, sf)
     mosaic = patches.mosaic(scored_patches(spark, sf), RADIUS, 0.125)
-    seen = cells.join(mosaic, CELL, "left").select(
+    seen = cells.join(unbroadcast(mosaic), CELL, "left").select(
         *CELL, "pred", (F.col("swir") < 4200).alias("gap"), (F.col("b") + F.col("g") >= 10000).alias("truth"))
     filled = neighbours.nearest_fill(seen, "pred", F.col("gap"), ~F.col("gap"))
-    full = seen.join(filled, CELL, "left").withColumn("pred", F.when(F.col("gap"), F.col("filled")).otherwise(F.col("pred")))
+    full = seen.join(unbroadcast(filled), CELL, "left").withColumn("pred", F.when(F.col("gap"), F.col("filled")).otherwise(F.col("pred")))
     kept = spatial.segments(full, F.col("pred") >= evaluate.DECISION, 10.0, 0.00015).select(*CELL, "segment")
-    both = full.join(kept, CELL, "left").groupBy("entry_id").agg(
+    both = full.join(unbroadcast(kept), CELL, "left").groupBy("entry_id").agg(
         F.count_distinct("segment").alias("segments"), *[
             (F.count(F.when(c, 1)) * 100 / 1e6).alias(n) for n, c in (
                 ("area_km2", F.col("segment").isNotNull()), ("area_true", F.col("truth")), ("area_hit", F.col("truth") & F.col("segment").isNotNull()))])
@@ -97,7 +98,7 @@ def members_to_rates(spark, sf):
     def epoch(year: int, share: float):
         members = fx.ens(spark, sf).withColumn("p", F.col("p") * share)
         cells = ensemble.aggregate_members(calibrate.scale_members(members, temperatures), [1, 2, 3, 4]).select(*CELL, "pred", "pred_std")
-        seen = cells.join(fx.px(spark, sf).select(*CELL, truth), CELL)
+        seen = cells.join(unbroadcast(fx.px(spark, sf).select(*CELL, truth)), CELL)
         hit = F.col("pred") >= evaluate.DECISION
         measured = seen.groupBy("entry_id").agg(
             *[(F.count(F.when(c, 1)) * 100 / 1e6).alias(n) for n, c in (

@@ -6,7 +6,8 @@ encoded once: its substrings of bounded length are exploded
 and equi-joined to the piece table, the edges that remain are grouped by word, and a fold
 with Spark's ``aggregate`` picks the path. For a unigram model the fold is Viterbi. A BPE
 model has no path scores to add up: there the fold takes, step by step, the best-scored
-edge that joins two neighbouring symbols, which is how such a model is defined.
+edge that joins two neighbouring symbols, which is how such a model is defined. In words where
+no merge can make way for a better one, as the pieces show, one visit of the edges does the same.
 
 The encoded words are written as sorted hash arrays to the shared folder. Documents look
 their words up in the mapped files, so no text is shuffled and a frequent word costs
@@ -21,6 +22,8 @@ import unicodedata
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -48,7 +51,8 @@ REMEMBERED = 300_000
 class Pieces:
     """The content of a model: ``rows`` are the pieces that text can match, ``bytes_`` the ids of single bytes.
 
-    ``apart`` are characters that no piece joins with any others, so that words end at them.
+    ``apart`` are characters that no piece joins with any others, so that words end at them; ``letters`` are the
+    others that pieces join. What is in neither is a word of its own.
     """
 
     path: str
@@ -57,12 +61,17 @@ class Pieces:
     bytes_: list[int]
     longest: int
     apart: str = ""
+    letters: str = ""
 
     @property
     def word(self) -> str:
-        """Pattern of a word, for Java and Python alike."""
-        apart = "".join(f"\\u{ord(c):04x}" for c in self.apart)
-        return f"{MARK}*(?:[^{MARK}{apart}]+|[{apart}]+)|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+"
+        """Pattern of a word."""
+        apart, letters = ("".join(f"\\U{ord(c):08x}" for c in part) for part in (self.apart, self.letters))
+        if not apart:
+            return f"{MARK}*[^{MARK}]+|{MARK}+"
+        if not letters:
+            return f"{MARK}*(?:[^{MARK}{apart}]+|[{apart}]+)|{MARK}+"
+        return f"{MARK}*(?:[{letters}]+|[{apart}]+)|[^{MARK}{apart}{letters}]|{MARK}+"
 
 
 def standing_apart(pieces: list[str]) -> str:
@@ -92,7 +101,37 @@ def read_model(path: str, kind: str = "bpe") -> Pieces:
     if any(MARK in p.lstrip(MARK) for p, _, _ in rows) or not any(p == MARK for p, _, _ in rows):
         raise ValueError("pieces must hold space marks at their start only, and the mark must be one")
     names = [p for p, _, _ in rows]
-    return Pieces(path, kind, rows, bytes_, max(map(len, names)), standing_apart(names))
+    apart = standing_apart(names)
+    letters = {c for p in names if len(p) > 1 for c in p} - {MARK, *apart}
+    return Pieces(path, kind, rows, bytes_, max(map(len, names)), apart, "".join(sorted(letters)))
+
+
+def late_pieces(pieces: Pieces) -> list[str]:
+    """Pieces that a merge of a worse score may open to a merge; a word without them is merged in order of score.
+
+    When that happens both ends of the piece are symbol bounds already, so the signs around it play no part and
+    each piece is tried by itself.
+    """
+    scores = {p: s for p, _, s in pieces.rows}
+
+    def late(piece: str) -> bool:
+        n = len(piece)
+        spans = ((piece[s:e], s, e) for s in range(n) for e in range(s + 2, n + 1))
+        inner, turn = set(range(1, n)), (-scores[piece], 0, n)
+        for edge in sorted((-scores[p], s, e) for p, s, e in spans if p in scores):
+            _, s, e = edge
+            if edge == turn:
+                if len(inner) == 1:
+                    return False
+            elif (s == 0 or s in inner) and (e == n or e in inner):
+                gone = inner.intersection(range(s + 1, e))
+                if len(gone) == 1:
+                    inner -= gone
+                    if len(inner) == 1 and edge > turn:
+                        return True
+        return False
+
+    return [p for p in scores if len(p) > 2 and late(p)]
 
 
 def splitter(pieces: Pieces):
@@ -156,6 +195,29 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def merged_in_order(edges: Column, length: Column) -> Column:
+    """``merged`` by one visit of each edge, for words without ``late_pieces``."""
+    def step(bounds: Column, x: Column) -> Column:
+        s, e = _edge(x)["s"], _edge(x)["e"]
+        inner = _mask(s, e)[1]
+        fits = (F.getbit(bounds, s) == 1) & (F.getbit(bounds, e) == 1) & (F.bit_count(bounds.bitwiseAND(inner)) == 1)
+        return F.when(fits, bounds.bitwiseAND(F.bitwise_not(inner))).otherwise(bounds)
+
+    return F.aggregate(edges, F.call_function("shiftleft", F.lit(1).cast("bigint"), length + 1) - 1, step)
+
+
+#: More late pieces than these are not looked for in each word.
+LATE = 50
+
+
+def merged_in_any_order(edges: Column, length: Column, late: list[str]) -> Column:
+    """``merged``, by one visit in the words where that does the same."""
+    if len(late) > LATE:
+        return merged(edges, length)
+    has_late = reduce(or_, (F.contains(F.col("word"), F.lit(p)) for p in late), F.lit(False))
+    return F.when(has_late, merged(edges, length)).otherwise(merged_in_order(edges, length))
+
+
 def merged(edges: Column, length: Column) -> Column:
     """Mask of the symbol bounds that byte-pair merging leaves, by folding over the edges of the lattice."""
     def masks(x: Column) -> Column:
@@ -204,19 +266,15 @@ def viterbi(edges: Column, length: Column, scores: list[float], unknown: float)
 
 def path_ids(folded: DataFrame, bounds: Column, byte_ids: list[int]) -> DataFrame:
     """``word, ids`` along the symbols between ``bounds``; characters without a piece become their bytes."""
-    def on_path(b: Column) -> Column:
-        """The edges with both ends at bounds and none between, as numbers that sort by place."""
-        def fits(x: Column) -> Column:
-            ends, inner = _mask(_edge(x)["s"], _edge(x)["e"])
-            return b.bitwiseAND(ends.bitwiseOR(inner)) == ends
-
-        return F.sort_array(F.transform(F.filter("edges", fits), lambda x: x.bitwiseAND(F.lit((1 << 36) - 1))))
-
-    def parts(x: Column) -> Column:
-        return F.struct(*[_edge(x)[n].alias(n) for n in ("s", "e", "id")])
-
-    taken = folded.select("word", F.transform(let(bounds, on_path), parts).alias("taken"))
-    covered = F.aggregate("taken", F.lit(0), lambda n, x: n + x["e"] - x["s"])
+    def fits(x: Column) -> Column:
+        """Both ends are at bounds and none is between."""
+        s, e = _edge(x)["s"], _edge(x)["e"]
+        return (F.getbit("bounds", s) == 1) & (F.getbit("bounds", e) == 1) & (F.col("bounds").bitwiseAND(_mask(s, e)[1]) == 0)
+
+    # numbers that sort by place
+    bounded = folded.select("word", "edges", bounds.alias("bounds"))
+    placed = F.sort_array(F.transform(F.filter("edges", fits), lambda x: x.bitwiseAND(F.lit((1 << 36) - 1))))
+    taken = bounded.select("word", placed.alias("taken"), (F.bit_count("bounds") - 1).alias("symbols"))
     table = F.array(*map(F.lit, byte_ids))
 
     def as_bytes(i: Column) -> Column:
@@ -227,10 +285,10 @@ def path_ids(folded: DataFrame, bounds: Column, byte_ids: list[int]) -> DataFram
         return F.struct(i.alias("s"), F.transform(numbers, lambda b: F.element_at(table, b + 1)).alias("ids"))
 
     places = F.sequence(F.lit(0), F.char_length("word") - 1)
-    bare = F.filter(places, lambda i: ~F.exists("taken", lambda x: (x["s"] <= i) & (i < x["e"])))
-    symbols = F.transform("taken", lambda x: F.struct(x["s"].alias("s"), F.array(x["id"]).alias("ids")))
+    bare = F.filter(places, lambda i: ~F.exists("taken", lambda x: (_edge(x)["s"] <= i) & (i < _edge(x)["e"])))
+    symbols = F.transform("taken", lambda x: F.struct(_edge(x)["s"].alias("s"), F.array(_edge(x)["id"]).alias("ids")))
     mixed = F.flatten(F.transform(F.array_sort(F.concat(symbols, F.transform(bare, as_bytes))), lambda x: x["ids"]))
-    return taken.select("word", F.when(covered == F.char_length("word"), F.transform("taken", lambda x: x["id"])).otherwise(mixed).alias("ids"))
+    return taken.select("word", F.when(F.size("taken") == F.col("symbols"), F.transform("taken", lambda x: _edge(x)["id"])).otherwise(mixed).alias("ids"))
 
 
 def _library(pieces: Pieces):
@@ -276,7 +334,7 @@ def encoded_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
         scores = [-s for s in sorted({-s for _, _, s in pieces.rows})]
         bounds = viterbi(F.col("edges"), length, scores, scores[-1] - 10.0)
     else:
-        bounds = merged(F.col("edges"), length)
+        bounds = merged_in_any_order(F.col("edges"), length, late_pieces(pieces))
     short = path_ids(folded, bounds, pieces.bytes_)
     long = distinct.where(length > LONGEST)
     if pieces.kind == "bpe":
@@ -417,11 +475,11 @@ def encode(docs: DataFrame, pieces: Pieces, folder: str | None = None) -> DataFr
                     known.clear()
                 new = list(set().union(*split).difference(known))
                 known.update(zip(new, opened.look_up(new)))
-                ids = [np.frombuffer(b"".join(map(known.__getitem__, s)), "<i4") for s in split]
+                ids = [b"".join(map(known.__getitem__, s)) for s in split]
                 # if every word of the table comes back, so does every text
-                same = [not table.wrong or decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
-                ends = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, "<i4")]), pa.int32()))
+                same = [not table.wrong or decode(np.frombuffer(i, "<i4").tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
+                ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(np.diff(ends), pa.int64()), lists, pa.array(same, pa.bool_())],
                     ["doc_id", "n_tokens", "ids", "round_trip"],

@@ -158,6 +158,45 @@ def test_encoding_an_empty_table(spark):
     assert sentencepiece.encode(spark.createDataFrame([], "doc_id bigint, text string"), pieces).count() == 0
 
 
+def best_merges(word, scores):
+    """Symbols after joining the best-scored, then leftmost neighbours until none are a piece."""
+    symbols = list(word)
+    while True:
+        joins = [(-scores[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in scores]
+        if not joins:
+            return symbols
+        i = min(joins)[1]
+        symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
+
+
+@pytest.mark.parametrize("kept, limit", [(0.03, 50), (0.3, 10_000), (0.3, 0)])
+def test_merges_visited_once_equal_the_best_merge_each_time(spark, monkeypatch, kept, limit):
+    monkeypatch.setattr(sentencepiece, "LATE", limit)
+    rng = random.Random(6)
+    names = ["".join(p) for n in (1, 2, 3, 4) for p in itertools.product("abcd", repeat=n)]
+    names = [p for p in names if len(p) == 1 or rng.random() < kept * (5 - len(p))] + ["▁"]
+    scores = {p: float(-rng.randint(0, 60)) for p in names}
+    pieces = sentencepiece.Pieces("", "bpe", [(p, i, s) for i, (p, s) in enumerate(scores.items())], list(range(1000, 1256)), 4)
+    words = sorted({"▁" + "".join(rng.choice("abcd") for _ in range(rng.randint(1, 14))) for _ in range(400)})
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    bounds = sentencepiece.merged_in_any_order(F.col("edges"), F.char_length("word"), sentencepiece.late_pieces(pieces))
+    got = {r.word: [names[i] for i in r.ids] for r in sentencepiece.path_ids(sentencepiece.lattice(table, pieces), bounds, pieces.bytes_).collect()}
+    assert got == {w: best_merges(w, scores) for w in words}
+
+
+def test_late_pieces_open_after_a_worse_merge():
+    rows = [(p, i, s) for i, (p, s) in enumerate({"▁": -9.0, "a": -9.0, "b": -9.0, "c": -9.0, "ab": -3.0, "abc": -1.0, "bc": -2.0, "bca": -4.0}.items())]
+    assert sentencepiece.late_pieces(sentencepiece.Pieces("", "bpe", rows, [], 3)) == ["abc"]
+    late = sentencepiece.late_pieces(sentencepiece.read_model(vocabulary_path("piece_bpe_32k.model")))
+    assert late == ["▁" * 16]
+
+
+def test_characters_that_no_piece_joins_are_words():
+    split = sentencepiece.splitter(sentencepiece.read_model(vocabulary_path("piece_bpe_32k.model")))
+    assert split("a\nb  \n😀c, 1 ") == ["▁a", "\n", "b", "▁▁", "\n", "😀", "c", ",", "▁1", "▁"]
+    assert split("") == []
+
+
 def test_viterbi_finds_the_best_path(spark):
     rng = random.Random(5)
     letters = "▁abc"
